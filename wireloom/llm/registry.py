@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules, token_store
 
 QUERIES = {
+    "op7_token_store": token_store.op7_token_store,
+    "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
