@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, token_store
+from . import bpe, quality_rules, token_store, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op7_token_store": token_store.op7_token_store,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op4_warc": warc.OP4_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
