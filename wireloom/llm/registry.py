@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, token_store, warc
+from . import bpe, mixing, quality_rules, token_store, warc
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op4_warc": warc.op4_warc,
     "op7_token_store": token_store.op7_token_store,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
