@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, token_store, warc
+from . import bpe, line_dedup, mixing, quality_model, quality_rules, token_store, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_warc": warc.op4_warc,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_quality_model": quality_model.op6_quality_model,
     "op7_token_store": token_store.op7_token_store,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
     "op4_warc": warc.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
