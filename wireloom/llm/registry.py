@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, quality_model, quality_rules, token_store, warc
+from . import bpe, line_dedup, mixing, quality_model, quality_rules, substring_dedup, token_store, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_warc": warc.op4_warc,
     "op5_line_dedup": line_dedup.op5_line_dedup,
