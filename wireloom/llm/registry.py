@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, quality_model, quality_rules, substring_dedup, token_store, warc
+from . import bpe, jaccard_join, line_dedup, mixing, quality_model, quality_rules, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_token_store": token_store.op7_token_store,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
