@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality_model, quality_rules, substring_dedup, token_store, warc
+from . import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, oracles, quality_model, quality_rules, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_warc": warc.op4_warc,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_model": quality_model.op6_quality_model,
@@ -16,7 +17,10 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op1_substring_dedup": oracles.OP1_SQL,
+    "op3_embedding_dedup": oracles.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op8_jaccard_join": oracles.OP8_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
