@@ -13,12 +13,12 @@ Integers are little-endian.  Spark's text sink writes the records, with the sepa
 committed once however often tasks rerun.
 
 Null texts count as empty.  Every document ends with the end id, so empty texts have one id.  Null ids come first;
-documents with equal ids are ordered by their content, so reruns agree.  Other columns are not stored.
+rows with equal ids are ordered by their content, so reruns agree.  Other columns are not stored.
 """
 
 from __future__ import annotations
 
-import zlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, slices, table, text_bytes
+from .bpe import byte_letters
+from .common import cut, scratch, table, text_bytes
+from .words import gather, portions, words
 
 SEPARATOR = "\nWLX1\n"
 BLOCK, FOOTER, END = b"WLB1", b"WLF1", b"WLE1"
 BLOCK_IDS = 1 << 18
 SHARD_BYTES = 24 << 20
 END_ID = 1
+#: The ids of the default vocabulary file.
+VOCABULARY = 49_408
 CACHE = 600_000
+LETTERS = byte_letters()
 
 
 def width(vocabulary: int) -> int:
@@ -59,6 +64,17 @@ def unpack(data, bits: int, start: int, stop: int) -> np.ndarray:
     return (flat.reshape(-1, bits).astype(np.uint32) << np.arange(bits - 1, -1, -1, dtype=np.uint32)).sum(1, dtype=np.uint32).astype("<u4")
 
 
+def narrow(vocabulary: int) -> int:
+    """Bytes of an id on its way to a store."""
+    return 2 if width(vocabulary) <= 16 else 4
+
+
+def as_binary(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary value for each run of ids."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, ends.buffers()[1], pa.py_buffer(ids.tobytes())])
+
+
 def block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
     head = BLOCK + bytes([bits, 0, 0, 0]) + np.array([len(doc_ids)], "<u4").tobytes() + np.array([len(ids)], "<u8").tobytes()
     known = [d is not None for d in doc_ids]
@@ -116,8 +132,9 @@ class Shard:
 class WordEncoder:
     """The ids of whole texts from a tokenizer of the tokenizers library that drops white space.
 
-    Such a tokenizer never joins what white space divides, so words are given to the library once and kept while the
-    bounded cache has room.
+    Such a tokenizer never joins what white space divides, so each distinct word of a portion of texts is given to the
+    library once and kept while the bounded cache has room.  A final point or comma after an ASCII letter or digit is
+    a token of its own, so it is looked up by itself.
     """
 
     def __init__(self, path: str):
@@ -127,20 +144,43 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(x or "").encode().split() for x in texts]  # bytes are split at the six blanks of a word, no others
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        self.tails = {t: np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in (b".", b",")}
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Words of letters below U+0130 are their own normal form in lower case and one pre-token, so the library's model takes them as they are."""
+        known, rest, tokenize = self.known, [], self.library.model.tokenize
+        for word in new:
+            stem = word[:-1] if word[-1:] in b".," and word[-2:-1].isalnum() else word
+            text = stem.decode()
+            if text.isalpha() and (text.isascii() or max(text) < "\u0130"):
+                low = text.lower().encode()
+                ids = known.get(low)
+                if ids is None:
+                    tokens = tokenize(low.decode("latin-1").translate(LETTERS))
+                    known[low] = ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+                known[word] = ids if stem is word else ids + self.tails[word[-1:]]
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for word, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[word] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by end_id, and the number of each text's ids."""
+        split = words(texts)
+        codes, distinct = split.codes()
+        found = [w[:-1] for w in distinct.to_pylist()]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        self._learn([w for w in found if w not in self.known])
+        coded = list(map(self.known.__getitem__, found))
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        counts = length[codes]
+        ids = flat[gather((np.cumsum(length) - length)[codes], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[split.first]
+        return np.insert(ids, ends[1:], np.uint32(end_id)), np.diff(ends) + 1
 
 
 @lru_cache(maxsize=2)
@@ -154,27 +194,28 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(df: DataFrame, path: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id as packed 16- or 32-bit integers."""
+def encode(df: DataFrame, path: str | None = None, size: int = VOCABULARY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids): each whole text's ids and the end id as little-endian integers of ``narrow(size)`` bytes."""
     path = path or vocabulary()
-    end = np.uint32(end_id).tobytes()
+    step = narrow(size)
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = load(path)
-        for batch in slices(batches):
-            coded = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "ids"])
+        for batch in portions(batches, 1, 8 << 20, 16384):
+            ids, lengths = encoder.encode(batch.column(1), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), as_binary(ids.astype(f"<u{step}"), lengths)], names=["doc_id", "ids"])
 
     return df.select(doc_id, text).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write(spark: SparkSession, coded: DataFrame, path: str, bits: int, size: int) -> None:
+def write(coded: DataFrame, path: str, vocabulary: int, size: int) -> None:
     """Write the documents' ids as shards of about SHARD_BYTES under path.  size: bytes of all texts, for the number of shards."""
+    bits, step = width(vocabulary), narrow(vocabulary)
     separator = len(SEPARATOR.encode())
-    ordered = coded.repartitionByRange(max(1, round(size / SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"), "ids")
+    ordered = coded.repartitionByRange(max(1, round(size / SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id", "ids")
 
     def run(batches):
         starts, before, place, total = [], [], 0, 0
@@ -182,16 +223,16 @@ def write(spark: SparkSession, coded: DataFrame, path: str, bits: int, size: int
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(doc)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids) // step)
                 held.append(ids)
                 n += lengths[-1]
                 if n >= BLOCK_IDS:
-                    record = block(docs, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
+                    record = block(docs, lengths, np.frombuffer(b"".join(held), f"<u{step}"), bits)
                     starts, before, place, total = [*starts, place], [*before, total], place + len(record) + separator, total + n
                     docs, lengths, held, n = [], [], [], 0
                     yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
         if docs:
-            record = block(docs, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
+            record = block(docs, lengths, np.frombuffer(b"".join(held), f"<u{step}"), bits)
             starts, before = [*starts, place], [*before, total]
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
         if starts:
@@ -209,10 +250,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if not len(data.as_buffer()):
                     continue
                 for doc_ids, known, first, lengths, ids in Shard(data.as_buffer().to_pybytes()).documents():
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]) * 4, pa.int32())
-                    packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets.buffers()[1], pa.py_buffer(ids.tobytes())])
                     docs = pa.array(doc_ids, pa.int64(), mask=known == 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(docs), pa.string()), docs, pa.array(first, pa.int64()), pa.array(lengths, pa.int64()), packed], names=["shard", "doc_id", "first", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(docs), pa.string()), docs, pa.array(first, pa.int64()), pa.array(lengths, pa.int64()), as_binary(ids, lengths)], names=["shard", "doc_id", "first", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.select("path", "content").mapInArrow(run, "shard string, doc_id long, first long, n_tokens long, ids binary")
@@ -229,8 +268,8 @@ def with_starts(stored: DataFrame) -> DataFrame:
 def op7_token_store(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = text_bytes(docs, "text")
-    coded = cut(encode(docs), "ids")
+    coded = cut(encode(docs), "ids", "zstd")
     path = scratch(spark, "store")
-    write(spark, coded, path, width(49_408), size)
+    write(coded, path, VOCABULARY, size)
     stored = cut(read(spark, path).select("shard", "doc_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32")), "read")
     return with_starts(stored).select("doc_id", "start", "n_tokens", "ids_crc32")
