@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .components import components
+from ..operators.components import components
 
 COSINE = 0.95
 SAMPLE = 4096

@@ -11,7 +11,8 @@ each band of sizes the universe of shingle hashes is cut into ``m`` segments, so
 The allocation is chosen for each band by its cost, which is the keys plus the expected pairs of unrelated documents.
 Equal sets are collapsed before keys are made.  In a key's group all members are compared with one leader, then linked
 ones are merged into components; only groups that still hold several components give the pairs between these, so
-copies never give all pairs.  Every comparison is exact, on the texts' shingles.
+copies never give all pairs.  Parity sketches, whose bits differ at most as often as the sets, rule pairs out before
+texts move; every link is verified exactly, on the texts' shingles.
 
 Sets are of 64-bit hashes of word runs.  Null texts and texts without words have no shingles and link with nothing.
 Rows with a null id link with nothing and have a null component.  Rows with one id are one document that has the links
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .components import components
+from ..operators.components import components
 from .words import gather, hashes, mixed, offsets, portions, runs, words
 
 WIDTH = 4
@@ -37,8 +38,10 @@ PERCENT = 85
 RATIO = 1.3
 BUCKETS = 256
 KEY_BYTES = 6
-RARE = 1 / 20_000
+FREQUENT = 20_000
 PER_LEADER = 256
+TILE = 2048
+OPEN_ROWS = 20_000
 
 
 class Band(NamedTuple):
@@ -126,6 +129,38 @@ def digests(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     return mixed(a), mixed(totals(mixed(sets.values + np.uint64(0xD6E8FEB86659FD93)), sets.first) ^ mixed(a + np.uint64(1)))
 
 
+def sketches(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches: bytes of all, and where each begins and the last ends.
+
+    Bit i tells whether an odd number of elements hash to i.  An element that only one of two sets has flips one bit,
+    so two sketches differ in at most as many bits as the sets differ in elements.  A sketch has at least two bits for
+    each element; folding its halves together gives the sketch of half its bits.
+    """
+    size = sets.sizes()
+    bits = np.where(size > 0, np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64)), 0)
+    base = offsets(np.cumsum(bits))
+    owner = sets.owners()
+    bit = (mixed(sets.values + np.uint64(0xA0761D6478BD642F)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(base[owner] + bit, minlength=int(base[-1])) & 1
+    return np.packbits(odd.astype(np.uint8)), base // 8
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(sketch, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def differences(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one.view(np.uint64) ^ two.view(np.uint64)).sum(-1, dtype=np.int64)
+
+
+def may_link(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in so many elements, or more, can be linked."""
+    return differ * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
 def band_range(sizes: np.ndarray, plan: list[Band], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The bands that hold a set as the larger one, and as the smaller one up to its largest partner."""
     highs = np.array([b.high for b in plan])
@@ -180,34 +215,35 @@ def keys(sets: Sets, plan: list[Band], percent: int, frequent: np.ndarray) -> tu
     return np.concatenate(owners), np.concatenate(found)
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that over a RARE part of all texts hold, sorted; at most 2 / RARE of the shingles of one text each.
+def _described(docs: DataFrame, width: int) -> DataFrame:
+    """Size, digest (a, b) and sketch of each text's set; and in rows of their own the frequent shingles of a portion.
 
-    A shingle above that share has it in some portion of texts, so portions report no others.
+    A shingle that over 1/200 of all texts hold has that share in some portion, so each portion reports those it holds.
     """
 
     def run(batches):
-        for batch in portions(batches, 0):
-            sets = shingles(batch.column(0), width)
-            value, n = np.unique(sets.values, return_counts=True)
-            many = n > max(2, batch.num_rows / 200)
-            yield pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(n[many].astype(np.int64))], names=["value", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "value").limit(round(1 / RARE)).select("value").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-
-
-def _described(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, a, b): size and digest of each text's set."""
-
-    def run(batches):
+        names = ["shingle", "doc_id", "n", "a", "b", "sketch"]
         for batch in portions(batches, 1):
             sets = shingles(batch.column(1), width)
             a, b = digests(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes(), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n", "a", "b"])
+            data, where = sketches(sets)
+            rows = batch.num_rows
+            packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, bool)), batch.column(0), pa.array(sets.sizes(), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), packed], names=names)
+            value, n = np.unique(sets.values, return_counts=True)
+            many = n > max(2, rows / 200)
+            value, n = value[many].view(np.int64), n[many].astype(np.int64)
+            nothing = [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), nothing[0], pa.array(n), pa.array(value), nothing[0], nothing[1]], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long")
+    return docs.mapInArrow(run, "shingle boolean, doc_id long, n long, a long, b long, sketch binary")
+
+
+def _frequent(described: DataFrame) -> np.ndarray:
+    """The FREQUENT most frequent shingles, sorted by hash; they only steer which keys are dropped."""
+    counted = described.filter("shingle").groupBy("a").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "a").limit(FREQUENT).select("a").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
 def _keyed(docs: DataFrame, width: int, percent: int, plan: list[Band], frequent: np.ndarray) -> DataFrame:
@@ -294,11 +330,12 @@ def _linked(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of those pairs (leader, doc_id) that are linked.
 
     A leader's members are dealt into groups of about PER_LEADER by a hash, and its text is sent to each of these.
     """
+    texts = _holding(docs, pairs.select("doc_id").union(pairs.select("leader")).distinct())
     n = pairs.groupBy(F.col("leader").alias("l")).agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / PER_LEADER).cast("int")
     members = pairs.join(n, F.col("l") == F.col("leader")).select("leader", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), "doc_id")
@@ -309,17 +346,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return leaders.groupBy("leader", "part").cogroup(members.groupBy("of", "in")).applyInArrow(_linked(width, percent), "a long, b long")
 
 
-def _rest(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs of a group that lie in different components and that its leader is not part of.
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (leader, doc_id) whose sketches don't rule a link out."""
+    one = sets.select(F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+    two = sets.select(F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+    both = pairs.join(one, F.col("d1") == F.col("leader")).join(two, F.col("d2") == F.col("doc_id")).select("leader", "doc_id", "n1", "n2", "s1", "s2")
+
+    def run(batches):
+        for batch in batches:
+            s1, s2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            differ = np.array([differences(folded(x, min(len(x), len(y))), folded(y, min(len(x), len(y)))) for x, y in zip(s1, s2, strict=True)], np.int64)
+            keep = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), differ, percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "leader long, doc_id long")
+
+
+def _crossing(percent: int):
+    def run(rows):
+        """Pairs of members of one key that lie in different components and whose sketches don't rule a link out."""
+        rows = rows.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        key, low, high, tile, doc, component, n = (rows[c].to_numpy() for c in ("key", "low", "high", "tile", "doc_id", "component", "n"))
+        sketch = rows["sketch"].to_pylist()
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        found = []
+        for start, stop in zip(first, np.append(first[1:], len(key)), strict=True):
+            size = min(len(sketch[k]) for k in range(start, stop))
+            bits = np.stack([folded(sketch[k], size) for k in range(start, stop)])
+            for k in range(start, stop - 1):
+                rest = slice(k + 1, stop)
+                good = (component[rest] != component[k]) & may_link(n[rest], n[k], differences(bits[k - start + 1 :], bits[k - start]), percent)
+                if low[k] != high[k]:  # pairs within a tile are compared by the tile's own task
+                    good &= tile[rest] != tile[k]
+                if good.any():
+                    other = doc[rest][good]
+                    found.append(np.column_stack([np.minimum(other, doc[k]), np.maximum(other, doc[k])]))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["leader", "doc_id"])
+
+    return run
+
+
+def _rest(groups: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a group that its leader is not part of, lie in different components, and may be linked.
 
-    Members are grouped by key, and each is paired with the members of other components once.
+    Only groups that still hold several components are looked at, in tiles of TILE members at most on either side.
     """
-    named = groups.join(found, F.col("vertex") == F.col("doc_id"), "left").select("key", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
+    named = groups.filter("doc_id <> leader").join(found, F.col("vertex") == F.col("doc_id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     named = cut(named, "named")
-    open_ = named.filter("doc_id <> leader").groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("k")
-    left = named.filter("doc_id <> leader").join(open_, F.col("k") == F.col("key")).select("key", "doc_id", "component")
-    other = left.select(F.col("key").alias("key2"), F.col("doc_id").alias("leader"), F.col("component").alias("component2"))
-    return left.join(other, (F.col("key") == F.col("key2")) & (F.col("component") != F.col("component2")) & (F.col("leader") < F.col("doc_id"))).select("leader", "doc_id").distinct()
+    open_ = named.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("t")).filter("least < most").select("k", "t")
+    left = named.join(open_, F.col("k") == F.col("key")).select("key", "t", "doc_id", "component")
+    own = sets.select(F.col("doc_id").alias("d"), "n", "sketch")
+    left = left.join(own, F.col("d") == F.col("doc_id")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "t").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    left = cut(left.select("key", "t", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "doc_id", "component", "n", "sketch"), "open")
+    parts = max(64, left.count() // OPEN_ROWS)
+    task = F.when(F.col("t") == 1, F.pmod("key", F.lit(parts))).otherwise(F.xxhash64("key", "low", "high"))
+    return left.groupBy(task.alias("task")).applyInArrow(_crossing(percent), "leader long, doc_id long").distinct()
 
 
 def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -340,33 +422,34 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     """(doc_id, n_shingles, component_id): the smallest id reachable by links from each row, itself included."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
-    described = cut(_described(docs, width), "described")
+    everything = cut(_described(docs, width), "described")
+    described = everything.filter("NOT shingle").select("doc_id", "n", "a", "b")
     largest = described.agg(F.max("n")).first()[0] or 0
     plain = bands(percent, max(1, largest))
     real = described.filter("doc_id IS NOT NULL AND n > 0")
-    edges_of_band = [F.lit(b.high) for b in plain]
-    band = F.size(F.filter(F.array(*edges_of_band), lambda h: h < F.col("n")))
+    band = F.size(F.filter(F.array(*[F.lit(b.high) for b in plain]), lambda h: h < F.col("n")))
     counts = dict(real.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect())
     plan = allocate(plain, counts)
-    frequent = _frequent(known, width)
+    frequent = _frequent(everything)
     # documents with equal sets: the smallest id stands for all of them
     classes = cut(real.groupBy("a", "b").agg(F.min("doc_id").alias("stands")), "classes")
     own = classes.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "stands")
-    keyed = _keyed(known, width, percent, plan, frequent)
-    keyed = keyed.join(own, (F.col("stands") == F.col("doc_id")) & (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b")), "left_semi")
+    standing = (F.col("stands") == F.col("doc_id")) & (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b"))
+    keyed = _keyed(known, width, percent, plan, frequent).join(own, standing, "left_semi")
     groups = cut(_dealt(keyed, BUCKETS).groupBy("bucket").applyInArrow(_grouped, "key long, doc_id long, leader long"), "groups")
-    pairs = cut(groups.filter("doc_id <> leader").select("leader", "doc_id").distinct(), "pairs")
-    wanted = pairs.select("doc_id").union(pairs.select("leader")).distinct()
-    texts = _holding(known, wanted)
-    links = cut(_verified(pairs, texts, width, percent), "links")
+    met = groups.select("doc_id").distinct().select(F.col("doc_id").alias("m"))
+    sets = everything.filter("NOT shingle").join(own, standing, "left_semi").join(met, F.col("m") == F.col("doc_id"), "left_semi").select("doc_id", "n", "sketch")
+    sets = cut(sets, "sketches")
+    pairs = cut(_possible(groups.filter("doc_id <> leader").select("leader", "doc_id").distinct(), sets, percent), "pairs")
+    links = cut(_verified(pairs, known, width, percent), "links")
     # rows of one id with different sets are one document
     several = real.groupBy("doc_id").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select(F.col("doc_id").alias("d"))
     same = real.join(several, F.col("d") == F.col("doc_id"), "left_semi").join(own, (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b"))).select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
     links = links.union(same)
     found = components(links)
-    rest = cut(_rest(groups, found), "rest")
+    rest = cut(_rest(groups, found, sets, percent), "rest")
     if rest.limit(1).count():
-        links = links.union(cut(_verified(rest, texts, width, percent), "more"))
+        links = links.union(cut(_verified(rest, known, width, percent), "more"))
         found = components(links)
     out = described.join(own, (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b")) & (F.col("n") > 0), "left")
     out = out.join(found, F.col("vertex") == F.col("stands"), "left")

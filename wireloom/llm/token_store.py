@@ -211,11 +211,18 @@ def encode(df: DataFrame, path: str | None = None, size: int = VOCABULARY, end_i
     return df.select(doc_id, text).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write(coded: DataFrame, path: str, vocabulary: int, size: int) -> None:
-    """Write the documents' ids as shards of about SHARD_BYTES under path.  size: bytes of all texts, for the number of shards."""
+def write(coded: DataFrame, ids: DataFrame, path: str, vocabulary: int, size: int) -> None:
+    """Write the documents' ids as shards of about SHARD_BYTES under path.
+
+    ids: the doc_id column alone, whose quantiles bound the shards, so that texts are encoded once.  size: bytes of all
+    texts, for the number of shards.
+    """
     bits, step = width(vocabulary), narrow(vocabulary)
     separator = len(SEPARATOR.encode())
-    ordered = coded.repartitionByRange(max(1, round(size / SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id", "ids")
+    shards = max(1, round(size / SHARD_BYTES))
+    bounds = ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 1 / (8 * shards)) if shards > 1 else []
+    shard = F.size(F.filter(F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]), lambda b: b < F.coalesce("doc_id", F.lit(-(2**63))))) if bounds else F.lit(0)
+    ordered = coded.withColumn("shard", shard).repartitionById(shards, "shard").drop("shard").sortWithinPartitions("doc_id", "ids")
 
     def run(batches):
         starts, before, place, total = [], [], 0, 0
@@ -268,8 +275,7 @@ def with_starts(stored: DataFrame) -> DataFrame:
 def op7_token_store(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = text_bytes(docs, "text")
-    coded = cut(encode(docs), "ids", "zstd")
     path = scratch(spark, "store")
-    write(coded, path, VOCABULARY, size)
+    write(encode(docs), docs.select(F.col("doc_id").cast("long")), path, VOCABULARY, size)
     stored = cut(read(spark, path).select("shard", "doc_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32")), "read")
     return with_starts(stored).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -96,8 +98,20 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def portions(batches, column: int, size: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many bytes in the column, but one text at least, and so many rows."""
+@lru_cache(maxsize=1)
+def _trim():
+    """What gives freed memory back to the system; nothing where the C library has no such function."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def portions(batches, column: int, size: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many bytes in the column, but one text at least, and so many rows.
+
+    Memory is given back after each, as idle Python workers would else hold what their largest portion took.
+    """
     for batch in batches:
         length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(length)
@@ -106,4 +120,5 @@ def portions(batches, column: int, size: int = 4 << 20, rows: int = 4096) -> Ite
             to = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
             to = min(max(to, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, to - at)
+            _trim()(0)
             at = to
