@@ -10,6 +10,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 # Wire colours, lexicon words and patterns that decide how a label is read.
 COLOURS = "BLACK WHITE BLUE GREEN RED ORANGE BROWN GREY GRAY YELLOW VIOLET PURPLE PINK TAN CLEAR SHIELD".split()
@@ -98,7 +99,7 @@ def _closest(token: str) -> tuple[str, float]:
     return token, 0.4
 
 
-@F.pandas_udf("text string, confidence double")
+@F.pandas_udf(StructType().add("text", StringType()).add("confidence", DoubleType()))
 def fuzzy_token(tokens: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_closest(t) for t in tokens], columns=["text", "confidence"])
 

@@ -44,5 +44,5 @@ def nearest(points: DataFrame, targets: DataFrame, on: list[str], key: list[str]
     both = grid_neighbours(points.select(*on, *key, *xy), targets, on, xy, target_xy, radius)
     d = F.hypot(F.col(xy[0]) - F.col(target_xy[0]), F.col(xy[1]) - F.col(target_xy[1]))
     within = both.withColumn("wireloom_d", d).filter(F.col("wireloom_d") <= radius)
-    best = within.groupBy(*on, *key).agg(F.min(F.struct("wireloom_d", ordinal, target_id)).alias("wireloom_best"))
-    return points.join(best, [*on, *key], "left").withColumn("nearest_id", F.col(f"wireloom_best.{target_id}")).withColumn("nearest_distance", F.col("wireloom_best.wireloom_d")).drop("wireloom_best")
+    best = within.groupBy(*on, *key).agg(F.min(F.struct(F.col("wireloom_d").alias("d"), F.col(ordinal).alias("ordinal"), F.col(target_id).alias("target"))).alias("wireloom_best"))
+    return points.join(best, [*on, *key], "left").withColumn("nearest_id", F.col("wireloom_best.target")).withColumn("nearest_distance", F.col("wireloom_best.d")).drop("wireloom_best")

@@ -203,9 +203,9 @@ def fuzzy_lexicon(spark, sf_dir):
     return X.corrections(words)
 
 
-@registered("edit_neighbours", "SELECT DISTINCT upper(w) AS token, l.word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) d JOIN (SELECT unnest(['" + "','".join(w.replace("'", "''") for w in X.LEXICON) + "']) AS word) l ON abs(length(upper(w)) - length(l.word)) <= 1 AND levenshtein(upper(w), l.word) <= 1 WHERE w <> ''")
+@registered("edit_neighbours", "SELECT DISTINCT upper(w) AS token, l.word FROM (SELECT unnest(string_split(replace(text, 'ß', 'SS'), ' ')) AS w FROM documents) d JOIN (SELECT unnest(['" + "','".join(w.replace("'", "''") for w in X.LEXICON) + "']) AS word) l ON abs(length(upper(w)) - length(l.word)) <= 1 AND levenshtein(regexp_replace(upper(w), '[^\\x00-\\x7F]', '~', 'g'), l.word) <= 1 WHERE w <> ''")
 def edit_neighbours(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.upper(F.explode(F.split("text", " "))).alias("token")).filter("token <> ''")
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.upper("text"), " ")).alias("token")).filter("token <> ''")
     return X.edit_neighbours(words)
 
 
@@ -219,7 +219,7 @@ def line_correction(spark, sf_dir):
 
 @registered("band_join_labels", "SELECT a.event_id AS run, b.event_id AS label FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND epoch(a.ts) <= epoch(b.ts) + b.value AND epoch(b.ts) <= epoch(a.ts) + 36000")
 def band_join_labels(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros("ts") / 1e6)
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     runs = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("run"), F.col("t").alias("r0"), (F.col("t") + 36000).alias("r1"))
     marks = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("label"), F.col("t").alias("l0"), (F.col("t") + F.col("value")).alias("l1"))
     return band_join(runs, marks, ["user_id"], ("r0", "r1"), ("l0", "l1"), 36000.0).select("run", "label")
@@ -246,7 +246,7 @@ def polyline_measures(spark, sf_dir):
 
 @registered("text_line_islands", "SELECT event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS island FROM (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 7200 THEN 0 ELSE 1 END AS new FROM events)")
 def text_line_islands(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros("ts") / 1e6)
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return lines.gap_islands(e, ["user_id"], "t", ["t", "event_id"], 7200).select("event_id", F.col("island").cast("long").alias("island"))
 
 
@@ -389,7 +389,7 @@ def sheet_graph(spark, sf_dir):
     return out.union(found.select(F.lit("problems"), "p")).union(found.select(F.lit("notes"), "o"))
 
 
-@registered("sheet_path_125", _values("step, at, via", [(0, "125", None), (1, "120", "BYPASS-CB 1-2"), (2, "121", "CR2 11-14"), (3, "0V", "CR1 11-14")]))
+@registered("sheet_path_125", _values('step, "at", via', [(0, "125", None), (1, "120", "BYPASS-CB 1-2"), (2, "121", "CR2 11-14"), (3, "0V", "CR1 11-14")]))
 def sheet_path_125(spark, sf_dir):
     return query.path(_sheet(spark), "125", "0V")
 

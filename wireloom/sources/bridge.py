@@ -33,6 +33,6 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b): orders and suppliers of line items of 45 pieces or more, as vertices o and -(s)."""
+    """(a, b): orders and parts of discounted line items of 49 pieces or more, as vertices o and -p."""
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09")
     return rows.select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey")).alias("b")).distinct()
