@@ -10,8 +10,8 @@ each band of sizes the universe of shingle hashes is cut into ``m`` segments, so
 
 The allocation is chosen for each band by its cost, which is the keys plus the expected pairs of unrelated documents.
 Equal sets are collapsed before keys are made.  In a key's group all members are compared with one leader, then linked
-ones are merged into components; only groups that still hold several components give the pairs between these, so
-copies never give all pairs.  Parity sketches, whose bits differ at most as often as the sets, rule pairs out before
+ones are merged into components; in groups that still hold several, members of different components are compared in
+rounds, the most alike first, so copies never give all pairs.  Parity sketches, whose bits differ at most as often as the sets, rule pairs out before
 texts move; every link is verified exactly, on the texts' shingles.
 
 Sets are of 64-bit hashes of word runs.  Null texts and texts without words have no shingles and link with nothing.
@@ -42,6 +42,7 @@ FREQUENT = 20_000
 PER_LEADER = 256
 TILE = 2048
 OPEN_ROWS = 20_000
+NEAREST = 2
 
 
 class Band(NamedTuple):
@@ -362,10 +363,14 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "leader long, doc_id long")
 
 
-def _crossing(percent: int):
+def _crossing(percent: int, limit: int):
     def run(rows):
-        """Pairs of members of one key that lie in different components and whose sketches don't rule a link out."""
-        rows = rows.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        """Pairs of members of one key that lie in different components and whose sketches don't rule a link out.
+
+        Of two members the one of the later component reports the pair, and of its pairs the limit most alike; more
+        tells that it has others.
+        """
+        rows = rows.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("component", "ascending")])
         key, low, high, tile, doc, component, n = (rows[c].to_numpy() for c in ("key", "low", "high", "tile", "doc_id", "component", "n"))
         sketch = rows["sketch"].to_pylist()
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
@@ -373,35 +378,62 @@ def _crossing(percent: int):
         for start, stop in zip(first, np.append(first[1:], len(key)), strict=True):
             size = min(len(sketch[k]) for k in range(start, stop))
             bits = np.stack([folded(sketch[k], size) for k in range(start, stop)])
-            for k in range(start, stop - 1):
-                rest = slice(k + 1, stop)
-                good = (component[rest] != component[k]) & may_link(n[rest], n[k], differences(bits[k - start + 1 :], bits[k - start]), percent)
-                if low[k] != high[k]:  # pairs within a tile are compared by the tile's own task
-                    good &= tile[rest] != tile[k]
-                if good.any():
-                    other = doc[rest][good]
-                    found.append(np.column_stack([np.minimum(other, doc[k]), np.maximum(other, doc[k])]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["leader", "doc_id"])
+            begins = np.searchsorted(component[start:stop], component[start:stop])
+            for k in np.flatnonzero(begins):
+                before, own = slice(start, start + begins[k]), start + k
+                differ = differences(bits[: begins[k]], bits[k])
+                good = may_link(n[before], n[own], differ, percent)
+                if low[own] != high[own]:  # pairs within a tile are compared by the tile's own task
+                    good &= tile[before] != tile[own]
+                at = np.flatnonzero(good)
+                more = len(at) > limit
+                if more:
+                    at = at[np.lexsort((doc[start + at], differ[at]))[:limit]]
+                other = doc[start + at]
+                found.append(np.column_stack([np.minimum(other, doc[own]), np.maximum(other, doc[own]), np.full(len(at), more, np.int64)]))
+        pairs = np.concatenate([np.zeros((0, 3), np.int64), *found])
+        return pa.table([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64()), pa.array(pairs[:, 2] > 0)], names=["leader", "doc_id", "more"])
 
     return run
 
 
-def _rest(groups: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a group that its leader is not part of, lie in different components, and may be linked.
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, F.col("vertex") == F.col("doc_id"), "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("component"))
 
-    Only groups that still hold several components are looked at, in tiles of TILE members at most on either side.
-    """
-    named = groups.filter("doc_id <> leader").join(found, F.col("vertex") == F.col("doc_id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = cut(named, "named")
-    open_ = named.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("t")).filter("least < most").select("k", "t")
-    left = named.join(open_, F.col("k") == F.col("key")).select("key", "t", "doc_id", "component")
+
+def _open(groups: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members but the leader of those groups that hold several components, in tiles of about TILE members on either side."""
+    named = cut(_named(groups.filter("doc_id <> leader").select("key", "doc_id"), found), "named")
+    several = named.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("t")).filter("least < most").select("k", "t")
+    left = named.join(several, F.col("k") == F.col("key")).select("key", "t", "doc_id")
     own = sets.select(F.col("doc_id").alias("d"), "n", "sketch")
     left = left.join(own, F.col("d") == F.col("doc_id")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "t").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    left = cut(left.select("key", "t", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "doc_id", "component", "n", "sketch"), "open")
+    return cut(left.select("key", "t", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "doc_id", "n", "sketch"), "open")
+
+
+def _closed(links: DataFrame, groups: DataFrame, sets: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """The components of all documents, from those that the links with leaders give.
+
+    In each round a member of an open group is compared with the members of other components that are most alike by
+    their sketches, a few at first and then more, until none has any left; most find a link among the first.
+    """
+    found = components(links)
+    left = _open(groups, found, sets)
     parts = max(64, left.count() // OPEN_ROWS)
     task = F.when(F.col("t") == 1, F.pmod("key", F.lit(parts))).otherwise(F.xxhash64("key", "low", "high"))
-    return left.groupBy(task.alias("task")).applyInArrow(_crossing(percent), "leader long, doc_id long").distinct()
+    limit, tried = NEAREST, None
+    while True:
+        named = _named(left, found).withColumn("task", task)
+        rest = cut(named.groupBy("task").applyInArrow(_crossing(percent, limit), "leader long, doc_id long, more boolean"), "rest")
+        pairs = rest.select("leader", "doc_id").distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["leader", "doc_id"], "left_anti"), "untried")
+        if pairs.limit(1).count():
+            links = links.union(cut(_verified(pairs, known, width, percent), "more"))
+            found = components(links)
+        if not rest.filter("more").limit(1).count():
+            return found
+        tried = pairs if tried is None else tried.union(pairs)
+        limit *= 8
 
 
 def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -446,11 +478,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     several = real.groupBy("doc_id").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select(F.col("doc_id").alias("d"))
     same = real.join(several, F.col("d") == F.col("doc_id"), "left_semi").join(own, (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b"))).select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
     links = links.union(same)
-    found = components(links)
-    rest = cut(_rest(groups, found, sets, percent), "rest")
-    if rest.limit(1).count():
-        links = links.union(cut(_verified(rest, known, width, percent), "more"))
-        found = components(links)
+    found = _closed(links, groups, sets, known, width, percent)
     out = described.join(own, (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b")) & (F.col("n") > 0), "left")
     out = out.join(found, F.col("vertex") == F.col("stands"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "stands", "doc_id"))
