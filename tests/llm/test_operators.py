@@ -1,0 +1,161 @@
+"""Parts of the operators against plain versions."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from wireloom.llm import bpe, jaccard_join, line_dedup, mixing, quality_model, quality_rules, token_store, warc
+from wireloom.llm.words import words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_components(rows, width, percent):
+    sets = []
+    for doc_id, text in rows:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append((doc_id, frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()))
+    parent = {d: d for d, _ in sets if d is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if a is not None and b is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return Counter((d, len(s), None if d is None else root(d)) for d, s in sets)
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_join_of_near_copies(spark, width, percent):
+    """Copies drift apart from each other, so that groups stay open after the leader is compared."""
+    rnd = random.Random(width)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = []
+    for size, copies, edits in ((60, 90, 5), (25, 60, 2), (200, 60, 16), (9, 40, 1), (3, 20, 1)):
+        base = [rnd.choice(vocabulary) for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rnd.randrange(edits + 1)):
+                w[rnd.randrange(size)] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(None, rows[0][1]), (5, rows[100][1]), (2000, None), (2001, " "), (2002, rows[3][1].upper())]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, percent)
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows, width, percent)
+
+
+@given(st.lists(st.text(alphabet=" \t\n\x0b\x0c\rabÄ  x", max_size=30), max_size=8))
+@settings(deadline=None, max_examples=60)
+def test_words_are_those_of_the_pattern(texts):
+    import pyarrow as pa
+
+    split = words(pa.array(texts, pa.string()))
+    ends = [0, *split.ends.tolist()]
+    every = [bytes(split.data[a : b - 1]).decode() for a, b in zip(ends, ends[1:], strict=False)]
+    assert [every[a:b] for a, b in zip(split.first, split.first[1:], strict=False)] == [WORD.findall(t) for t in texts]
+
+
+@given(st.lists(st.integers(0, 49_407), max_size=80), st.integers(16, 20), st.data())
+@settings(deadline=None, max_examples=60)
+def test_packed_ids_are_read_from_anywhere(ids, bits, data):
+    packed = token_store.pack(np.array(ids, np.uint32), bits)
+    assert len(packed) == -(-len(ids) * bits // 8)
+    low = data.draw(st.integers(0, len(ids)))
+    high = data.draw(st.integers(low, len(ids)))
+    assert token_store.unpack(packed, bits, low, high).tolist() == ids[low:high]
+
+
+@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text(alphabet="ab 's\n 　.,1é", max_size=40))
+@settings(deadline=None, max_examples=150)
+def test_bpe_is_the_library(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = bpe.load(path), Tokenizer.from_file(path)
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
+    assert own.decode(own.encode(text)) == library.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_of_either_version(version):
+    bodies = [b"", b"\n\nhttp://x 0.0.0.0 1 text/html 5\n", b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)), b"x" * 5000]
+    image = warc.arc_head(version, "a.arc", "20240102030405") + b"".join(warc.arc_record(version, "http://h/ä b", "20240102030405", "text/html", b, k) + b"\n" * (k % 2) for k, b in enumerate(bodies))
+    records = list(warc.parse_arc(image))
+    assert [r.content for r in records] == bodies and {r.url for r in records} == {"http://h/%C3%A4%20b"} and {r.version for r in records} == {version}
+    head, block = warc.parse_warc(warc.to_warc(records[2], "k"))
+    assert block == bodies[2] and head["warc-type"] == "response" and head["warc-date"] == "2024-01-02T03:04:05Z" and head["warc-record-id"] == warc.record_id("k")
+    with pytest.raises(ValueError, match="declares"):
+        list(warc.parse_arc(image[:-200]))
+    with pytest.raises(ValueError, match="version block"):
+        list(warc.parse_arc(b"http://x 0.0.0.0 1 text/html 0\n\n"))
+
+
+def test_splitting_tree_spends_each_quota():
+    quotas = np.array([0, 1, 7, 1000, 33])
+    out = mixing.split(quotas, 16, np.random.default_rng(1))
+    assert (out >= 0).all() and (out.sum(0) == quotas).all() and np.ptp(out.sum(1)) <= 4
+
+
+def test_mix_repeats_documents_and_keeps_their_columns(spark, hard):
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    mixed = mixing.mix(docs).cache()
+    assert set(docs.columns) - set(mixing.RESULTS) <= set(mixed.columns)
+    assert mixed.filter(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) != F.col("words")).count() == 0
+    assert mixed.agg(F.sum("words")).first()[0] == mixing.quotas(docs).agg(F.sum("taken")).first()[0]
+    assert mixed.select("shard").distinct().count() > 8
+
+
+def test_line_dedup_thresholds(spark):
+    """Nine sites are too few, ten are enough, and the exact count decides near the threshold."""
+    rows = [(k, f"nine\nten\n own {k} \n\n", f"s{k if k < 9 else 8 if k < 12 else 9}") for k in range(12)]
+    rows += [(50, "ten", "s9"), (51, None, None), (52, " ten\r", "s0")]
+    got = {r.doc_id: (r.text, r.wireloom_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == (rows[0][1], 0) and got[3] == ("nine\n own 3 \n\n", 1) and got[50] == ("", 1) and got[51] == (None, 0) and got[52] == ("", 1)
+
+
+def test_ledger_ablation(spark):
+    texts = ["good words " + " ".join(f"word{k}" for k in range(30)), "few", "", None, "A B C", "### " * 30]
+    entries = quality_rules.ledger(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).cache()
+    rows = [r.failures for r in entries.collect()]
+    mask = quality_rules.POLICIES["v1"]
+    for r in quality_rules.ablation(entries).collect():
+        bit = quality_rules.BIT[r.rule]
+        assert r.failed == sum(bool(f & bit) for f in rows)
+        assert r.failed_alone == sum((f & mask) == bit for f in rows)
+        assert r.passed_without == sum(not f & mask & ~bit for f in rows)
+
+
+def test_network_gradients_are_those_of_differences():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, n, np.uint8)) for n in (0, 5, 130, 700)]
+    labels, weights = np.array([1, 0, 1, 0]), np.ones(4)
+    normal = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+    net = quality_model.Network(normal(quality_model.WIDTH, 256, quality_model.FILTERS), normal(quality_model.FILTERS), normal(quality_model.FILTERS + 1, quality_model.HIDDEN), normal(quality_model.HIDDEN), normal(2 * quality_model.HIDDEN), normal(1))
+
+    def loss():
+        p = quality_model.scores(net, texts)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    grads = quality_model.gradients(net, texts, labels, weights)
+    for w, g in zip((net.last, net.hidden, net.bias), (grads.last, grads.hidden, grads.bias), strict=True):
+        flat, at = w.reshape(-1), int(np.abs(g).argmax())
+        keep, step = flat[at], 2e-3
+        flat[at] = keep + step
+        high = loss()
+        flat[at] = keep - step
+        low = loss()
+        flat[at] = keep
+        assert abs((high - low) / (2 * step) - g.reshape(-1)[at]) < 0.02 * max(0.1, abs(g.reshape(-1)[at]))

@@ -55,13 +55,13 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", t
     boilerplate = spread(keys, min_sites).select(F.col("key").alias("bad"), "first_doc")
     held = keys.join(boilerplate, F.col("bad") == F.col("key")).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     own = held.groupBy(F.col("doc_id").alias("wireloom_id")).agg(F.collect_set("key").alias("wireloom_bad"))
-    joined = docs.join(own, F.col(doc_id).eqNullSafe(F.col("wireloom_id")), "left").drop("wireloom_id")
+    joined = docs.drop("wireloom_removed").join(own, F.col(doc_id).eqNullSafe(F.col("wireloom_id")), "left").drop("wireloom_id")
     kept = F.filter(_lines(text), lambda x: ~(x.rlike(WORD) & F.array_contains("wireloom_bad", _hash(x))))
     bad = F.col("wireloom_bad").isNotNull() & F.col(text).isNotNull()
     out = joined.withColumn("wireloom_kept", F.when(bad, F.array_join(kept, "\n")))
     removed = F.when(bad, F.size(_lines(text)) - F.size(kept)).otherwise(F.lit(0))
     out = out.withColumn("wireloom_removed", removed.cast("long")).withColumn(text, F.coalesce("wireloom_kept", F.col(text)))
-    return out.select(*docs.columns, "wireloom_removed")
+    return out.select(*[c for c in docs.columns if c != "wireloom_removed"], "wireloom_removed")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,9 @@ LIMIT = 2
 BLOCKS = 1024
 BLOCK_DOCUMENTS = 32
 SHARDS = 16
-RESULTS = ("size", "source_size", "target", "taken", "copy", "shard", "place", "words")
+RESULTS = ("size", "source_size", "target", "taken", "copies", "copy", "shard", "place", "words")
+#: The input's own columns travel as one, so that none of their names meets one used here.
+ROW = "wireloom_row"
 
 
 def sizes(text: str = "text") -> Column:
@@ -114,12 +116,11 @@ def dealt(planned: DataFrame, shards: int, seed: int) -> DataFrame:
     return joined.withColumn("copies", copies).drop("ends", "n", "p")
 
 
-def quotas(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = SHARDS, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs with size, source_size, target, taken (words), and copies: the shard of each use, the last maybe in part."""
-    keep = [c for c in docs.columns if c not in (*RESULTS, "copies")]
+def _taken(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = SHARDS, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """Each row of docs with what the mix takes of it."""
     mine = "wireloom_source"
     hashed = F.xxhash64(F.lit(seed), doc_id, source, text)
-    sized = docs.select(*keep, sizes(text).alias("size"), F.col(source).cast("string").alias(mine), hashed.alias("wireloom_order"))
+    sized = docs.select(F.struct(*docs.columns).alias(ROW), sizes(text).alias("size"), F.col(source).cast("string").alias(mine), hashed.alias("wireloom_order"))
     slim = cut(sized.select(F.col(mine).alias("source"), "size", F.col("wireloom_order").alias("u")), "sizes")
     # a block holds about BLOCK_DOCUMENTS documents, but no source has more than BLOCKS
     by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
@@ -142,7 +143,17 @@ def quotas(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float
     out = out.join(uses, F.col(mine).eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).drop("s2", "b2", "b")
     out = out.join(part, (F.col("wireloom_order") == F.col("pu")) & F.col(mine).eqNullSafe(F.col("ps")), "left").drop("pu", "ps")
     last = F.when(F.col("remainder") == 0, F.lit(0)).when(F.col("remainder") == F.col("block_size"), F.col("size")).otherwise(F.coalesce("part", F.lit(0)))
-    return out.withColumn("wireloom_last", last).withColumn("taken", F.col("passes") * F.col("size") + F.col("wireloom_last")).drop("part", "passes_", "remainder", "block_size", mine)
+    out = out.withColumn("wireloom_last", last).withColumn("taken", F.col("passes") * F.col("size") + F.col("wireloom_last"))
+    return out.select(ROW, "size", "source_size", "target", "taken", "copies", "passes", "wireloom_last", "wireloom_order")
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(ROW)[c].alias(c) for c in docs.columns if c not in RESULTS]
+
+
+def quotas(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs with size, source_size, target, taken (words), and copies: the shard of each use, the last maybe in part."""
+    return _taken(docs, text=text, **options).select(*_own(docs), "size", "source_size", "target", "taken", "copies")
 
 
 def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -150,12 +161,14 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
     Sort by (shard, place) to write shards: places are hashes, which shuffle a shard locally.
     """
-    taken = quotas(docs, text=text, **options)
+    taken = _taken(docs, text=text, **options)
     uses = taken.select("*", F.posexplode("copies").alias("copy", "shard")).withColumn("words", F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("wireloom_last")))
     uses = uses.filter((F.col("words") > 0) | ((F.col("size") == 0) & (F.col("copy") == 0)))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    uses = uses.withColumn(text, F.when(F.col("words") < F.col("size"), head).otherwise(F.col(text)))
-    return uses.withColumn("place", F.xxhash64("wireloom_order", "copy")).drop("copies", "passes", "wireloom_last", "wireloom_order")
+    whole = F.col(ROW)[text]
+    head = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    uses = uses.withColumn("wireloom_text", F.when(F.col("words") < F.col("size"), head).otherwise(whole)).withColumn("place", F.xxhash64("wireloom_order", "copy"))
+    own = [F.col("wireloom_text").alias(text) if c == text else x for c, x in zip([c for c in docs.columns if c not in RESULTS], _own(docs), strict=True)]
+    return uses.select(*own, "size", "source_size", "target", "taken", "copy", "shard", "words", "place")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

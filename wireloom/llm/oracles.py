@@ -25,7 +25,7 @@ OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), g AS (
-  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT rid, vec_id, list_transform(e, lambda x: coalesce(x, 0)) AS e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.rid, a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.rid <> b.rid AND list_cosine_similarity(a.e, b.e) >= 0.95
