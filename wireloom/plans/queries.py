@@ -14,7 +14,7 @@ from ..operators.components import components
 from ..operators.matching import greedy_match
 from ..operators.spatial import band_join, nearest
 from ..sources import sheet
-from ..sources.bridge import heavy_edges, points, table, terminals, wires
+from ..sources.bridge import heavy_edges, net_edges, points, table, terminals, wires
 from ..streaming.events import sessions, windowed
 from . import extract, kg, netlist, query, simulate, tiles
 
@@ -264,13 +264,23 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, w) AS (SELECT a, a FROM
 SELECT v AS vertex, min(w) AS component FROM r GROUP BY 1"""
 
 
-@registered("nets_cc", CC_SQL)
-def nets_cc(spark, sf_dir):
-    e = heavy_edges(spark, sf_dir)
+def _named(e: DataFrame) -> DataFrame:
     every = e.select("a").union(e.select("b")).distinct()
     return every.join(components(e), F.col("vertex") == F.col("a"), "left").select(F.col("a").alias("vertex"), F.coalesce("component", "a").alias("component"))
 
 
+@registered("nets_cc", CC_SQL)
+def nets_cc(spark, sf_dir):
+    """Nets of the heavy line items only, which is what WITH RECURSIVE can check; nets_whole has them all."""
+    return _named(heavy_edges(spark, sf_dir))
+
+
+@registered("nets_whole")
+def nets_whole(spark, sf_dir):
+    """Nets of all terminals; tests hold it against a plain union-find."""
+    return _named(net_edges(spark, sf_dir))
+
+
 @registered("degree_junctions", f"SELECT part AS node, count(*) AS degree FROM (SELECT from_part AS part FROM {W_SQL} UNION ALL SELECT to_part FROM {W_SQL}) GROUP BY 1 HAVING count(*) >= 3")
 def degree_junctions(spark, sf_dir):
     ends = wires(spark, sf_dir).select(F.explode(F.array("from_part", "to_part")).alias("node"))

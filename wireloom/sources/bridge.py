@@ -36,3 +36,8 @@ def heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b): orders and parts of discounted line items of 49 pieces or more, as vertices o and -p."""
     rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09")
     return rows.select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey")).alias("b")).distinct()
+
+
+def net_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): orders and parts of all terminals, as vertices o and -1 - p; keys begin at 0, so -p would meet order 0."""
+    return terminals(spark, sf_dir).select(F.col("net").alias("a"), (-1 - F.col("part")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
