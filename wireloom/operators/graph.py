@@ -3,45 +3,69 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..shared import cut
+from ..shared import cut, walk
 from .components import components
 
 
-def snap_nodes(segments: DataFrame, prm: Params = Params()) -> DataFrame:
-    """segments (page, seg, x0, y0, x1, y1) as edges (page, edge, a, b, ax, ay, bx, by, length) between snapped nodes.
-
-    An end takes the first node within node_tol in the 3 x 3 cells around it, in the order of segments; this is
-    sequential by definition, so a page is a group.
-    """
-    tol = prm.node_tol
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _snap_walk(tol: float):
+    def start():
         cells: dict[tuple[int, int], list[int]] = {}
-        nodes: list[tuple[float, float]] = []
+        nodes: list[tuple[float, float, int, int]] = []
 
-        def node(x: float, y: float) -> int:
+        def step(row):
+            if row is None:
+                return []
+            _, page, _, at, end, x, y = row
             cx, cy = round(x / tol), round(y / tol)
             near = [k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in cells.get((cx + i, cy + j), ())]
             for k in sorted(near):
                 if (nodes[k][0] - x) ** 2 + (nodes[k][1] - y) ** 2 <= tol * tol:
-                    return k
+                    return [(page, at, end, *nodes[k])]
             cells.setdefault((cx, cy), []).append(len(nodes))
-            nodes.append((x, y))
-            return len(nodes) - 1
-
-        rows = []
-        for r in pdf.sort_values("seg").itertuples():
-            a, b = node(r.x0, r.y0), node(r.x1, r.y1)
-            if a != b:
-                (ax, ay), (bx, by) = nodes[a], nodes[b]
-                rows.append((r.page, r.seg, a, b, ax, ay, bx, by, ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5))
-        return pd.DataFrame(rows, columns=["page", "edge", "a", "b", "ax", "ay", "bx", "by", "length"])
-
-    return segments.groupBy("page").applyInPandas(run, "page int, edge long, a long, b long, ax double, ay double, bx double, by double, length double")
+            nodes.append((x, y, at, end))
+            return [(page, at, end, *nodes[-1])]
+
+        return step
+
+    return start
+
+
+def snap_nodes(segments: DataFrame, prm: Params = Params()) -> DataFrame:
+    """segments (page, seg, x0, y0, x1, y1) as edges (page, edge, a, b, ax, ay, bx, by, length) between snapped nodes.
+
+    An end takes the first node within node_tol in the 3 x 3 cells around it, in the order of segments.  Ends whose
+    cells are not tied by adjoining cells never meet, so the walk runs through each component of cells by itself and
+    holds its nodes.
+    """
+    tol = prm.node_tol
+    # nodes are numbered by page in the order of segments; equal seg are told apart by their place
+    own = cut(segments.select("page", "seg", "x0", "y0", "x1", "y1").withColumn("row", F.monotonically_increasing_id()), "segments")
+    end = lambda k: F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    points = own.select("page", "seg", "row", F.explode(F.array(end(0), end(1))).alias("e")).select("page", "seg", "row", "e.*")
+    cell = lambda c: F.rint(F.col(c) / tol).cast("long")
+    points = points.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    key = lambda x, y: F.xxhash64("page", x, y)
+    cells = points.select("page", "cx", "cy").distinct()
+    step = F.sequence(F.lit(-1), F.lit(1))
+    near = cells.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).filter("(dx, dy) > (0, 0)").select("page", F.col("cx").alias("ox"), F.col("cy").alias("oy"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    found = components(near.join(cells, ["page", "cx", "cy"]).select(key("ox", "oy").alias("a"), key("cx", "cy").alias("b")))
+    tied = points.withColumn("v", key("cx", "cy")).join(found, F.col("vertex") == F.col("v"), "left")
+    rows = tied.select(F.coalesce("component", "v").alias("group"), "page", "seg", "row", "end", "x", "y")
+    schema = "page int, row long, end int, x double, y double, first_row long, first_end int"
+    out = pa.schema([("page", pa.int32()), ("row", pa.int64()), ("end", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("first_row", pa.int64()), ("first_end", pa.int32())])
+    snapped = cut(walk(rows, ["group", "page"], ["seg", "row", "end"], _snap_walk(tol), schema, out), "snapped")
+    first = snapped.filter("row = first_row AND end = first_end").select("page", "row", "end").join(own.select("seg", "row"), "row")
+    number = first.select(F.col("row").alias("first_row"), F.col("end").alias("first_end"), (F.row_number().over(Window.partitionBy("page").orderBy("seg", "row", "end")) - 1).cast("long").alias("node"))
+    named = snapped.join(number, ["first_row", "first_end"])
+    one = lambda k, n: named.filter(F.col("end") == k).select("row", F.col("node").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    edges = own.select("page", F.col("seg").alias("edge"), "row").join(one(0, "a"), "row").join(one(1, "b"), "row").filter("a <> b")
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return edges.select("page", "edge", "a", "b", "ax", "ay", "bx", "by", F.sqrt(dx * dx + dy * dy).alias("length"))
 
 
 def ends(edges: DataFrame) -> DataFrame:

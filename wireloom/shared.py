@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +28,31 @@ def cut(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     path = scratch(df.sparkSession, what)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def walk(df: DataFrame, key: list[str], order: list, start: Callable[[], Callable], schema: str, out: pa.Schema) -> DataFrame:
+    """Rows of a sequential walk over each key's rows in order.
+
+    start() makes the walk of one key, which maps a row (a tuple) to a list of rows, and None, at the key's end, to the
+    last ones.  A key is dealt to one task and sorted there by Spark, which may spill; rows pass in batches and only
+    what the walk keeps is held.
+    """
+    n, names = len(key), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, None
+        for batch in batches:
+            made = []
+            for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+                if step is None or row[:n] != at:
+                    if step is not None:
+                        made += step(None)
+                    at, step = row[:n], start()
+                made += step(row)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+        if step is not None and (made := step(None)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+
+    assert names[:n] == key
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
