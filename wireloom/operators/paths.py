@@ -1,4 +1,4 @@
-"""Paths over an undirected graph: breadth-first rounds that carry each path, cut at blocked vertices."""
+"""Paths over an undirected graph: breadth-first rounds over vertices, then back along the steps between levels."""
 
 from __future__ import annotations
 
@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 from ..shared import cut
 
 
-def trace(edges: DataFrame, start: str, goal: str, longest: int = 32) -> DataFrame:
-    """(vertices, via) of all shortest simple paths from start to goal over edges (a, b, via)."""
+def trace(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """(vertices, via) of the shortest path from start to goal over edges (a, b, via); none if they are not connected.
+
+    Of several shortest paths it is the first by via.  A round holds only vertices that were not reached before, and
+    rounds go on until the goal or no new vertex is reached.
+    """
     both = cut(edges.select("a", "b", "via").union(edges.select("b", "a", "via")).distinct(), "both")
     spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start, [start], [])], "at string, vertices array<string>, via array<string>")
-    for _ in range(longest):
-        done = frontier.filter(F.col("at") == goal)
-        if not done.isEmpty():
-            return done.select("vertices", "via")
-        step = frontier.withColumnRenamed("via", "so_far").join(both, F.col("a") == F.col("at")).filter(~F.array_contains("vertices", F.col("b")))
-        frontier = cut(step.select(F.col("b").alias("at"), F.array_append("vertices", F.col("b")).alias("vertices"), F.array_append("so_far", F.col("via")).alias("via")), "frontier")
-        if frontier.isEmpty():
-            break
-    return frontier.filter(F.lit(False)).select("vertices", "via")
+    # from the goal, so that the first path by via is chosen step by step from the start
+    frontier = spark.createDataFrame([(goal,)], "at string")
+    levels, before = [], frontier.limit(0)
+    while frontier.filter(F.col("at") == start).isEmpty():
+        # a neighbour of a level lies in it, in the level before or in the next one
+        new = both.join(frontier, F.col("a") == F.col("at"), "left_semi").select(F.col("b").alias("at")).distinct()
+        new = cut(new.join(before, "at", "left_anti").join(frontier, "at", "left_anti"), "frontier")
+        levels.append(frontier)
+        if new.isEmpty():
+            return spark.createDataFrame([], "vertices array<string>, via array<string>")
+        before, frontier = frontier, new
+    ways = spark.createDataFrame([(start, [start], [])], "at string, vertices array<string>, via array<string>")
+    for level in reversed(levels):
+        steps = ways.withColumnRenamed("via", "so_far").join(both, F.col("a") == F.col("at")).join(level.select(F.col("at").alias("b")), "b", "left_semi")
+        steps = cut(steps.select(F.col("b").alias("at"), F.array_append("vertices", F.col("b")).alias("vertices"), F.array_append("so_far", F.col("via")).alias("via")), "steps")
+        # all ways have one via so far, so one for each vertex is enough
+        first = steps.agg(F.min("via").alias("via"))
+        ways = cut(steps.join(F.broadcast(first), "via").groupBy("at", "via").agg(F.min("vertices").alias("vertices")).select("at", "vertices", "via"), "ways")
+    return ways.select("vertices", "via")

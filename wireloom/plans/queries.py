@@ -418,6 +418,8 @@ def sheet_cables(spark, sf_dir):
 def sheet_truth_table(spark, sf_dir):
     """Bits of a scenario: PB1, PB2, bypass, reverse."""
     out = simulate.simulate(_sheet(spark), simulate.scenarios(spark, ["PB1", "PB2", "BYPASS-CB", "REVERSE-CB"]))
+    if not out["settled"]:
+        raise ValueError("some scenarios oscillate")
     state = out["nets"].groupBy("scenario").agg(F.bool_or((F.col("net") == "RUN") & F.col("has24")).alias("run24"), F.bool_or((F.col("net") == "DIR") & F.col("has24")).alias("dir24"))
     on = out["coils"].groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_list("component")), ",").alias("coils"))
     return state.join(on, "scenario", "left").select(F.col("scenario").cast("int").alias("scenario"), "run24", "dir24", F.coalesce("coils", F.lit("")).alias("coils"))

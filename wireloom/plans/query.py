@@ -139,5 +139,5 @@ def path(netlist: dict[str, DataFrame], start: str, goal: str) -> DataFrame:
     from .simulate import switch_edges
 
     edges = switch_edges(netlist).select(F.col("net_1").alias("a"), F.col("net_2").alias("b"), F.col("switch").alias("via"))
-    found = trace(edges, start, goal).orderBy("via").limit(1)  # one of the shortest paths, the first by name
+    found = trace(edges, start, goal)  # one of the shortest paths, the first by name
     return found.select(F.posexplode("vertices").alias("step", "at"), "via").select("step", "at", F.get("via", F.col("step") - 1).alias("via"))

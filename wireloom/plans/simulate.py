@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,12 @@ def scenarios(spark: SparkSession, devices: list[str]) -> DataFrame:
     return spark.range(1 << n).select(F.col("id").alias("scenario"), F.explode(bits).alias("d")).select("scenario", "d.*")
 
 
-def simulate(netlist: dict[str, DataFrame], settings: DataFrame, rounds: int = 12) -> dict[str, DataFrame]:
+def simulate(netlist: dict[str, DataFrame], settings: DataFrame) -> dict[str, DataFrame]:
     """nets (scenario, net, has24, has0), coils (scenario, coil) that are energised, and whether it settled.
 
-    Hand switches that settings (scenario, component, closed) don't name are closed.
+    Hand switches that settings (scenario, component, closed) don't name are closed.  Rounds go on until the coils of
+    each scenario are as they were in some round before: the last one, or else it is among ``oscillating`` (scenario),
+    and its nets and coils are those of one round of its cycle.
     """
     edges = cut(switch_edges(netlist), "switches")
     coils = _pairs(netlist, COILS, "coil").select("component", "net_1", "net_2")
@@ -53,12 +57,15 @@ def simulate(netlist: dict[str, DataFrame], settings: DataFrame, rounds: int = 1
     each = cut(edges.join(F.broadcast(cases)).join(settings, ["scenario", "component"], "left"), "each")
     nets = cut(netlist["nets"].select(F.col("id").alias("net")).join(F.broadcast(cases)), "nets")
     coil_of = cut(coils.join(F.broadcast(cases)), "coils")
-    on, settled = cases.select("scenario", F.lit("").alias("component")).filter(F.lit(False)), False
+    on = cases.select("scenario", F.lit("").alias("component")).filter(F.lit(False))
+    shown = lambda c: cases.join(c, "scenario", "left").groupBy("scenario").agg(F.array_sort(F.collect_set("component")).alias("set"))
+    last = cut(shown(on), "last")
+    seen = [last]
     node = lambda s, n: F.xxhash64(s, n)
-    for _ in range(rounds):
-        now = each.join(on.withColumn("energised", F.lit(True)), ["scenario", "component"], "left")
+    while True:
+        acting = each.join(on.withColumn("energised", F.lit(True)), ["scenario", "component"], "left")
         lit = F.coalesce("energised", F.lit(False))
-        shut = now.filter(F.when(F.col("hand"), F.coalesce("closed", F.lit(True))).otherwise(lit == F.col("when_on")))
+        shut = acting.filter(F.when(F.col("hand"), F.coalesce("closed", F.lit(True))).otherwise(lit == F.col("when_on")))
         found = components(shut.select(node("scenario", "net_1").alias("a"), node("scenario", "net_2").alias("b")))
         groups = nets.withColumn("v", node("scenario", "net")).join(found, F.col("vertex") == F.col("v"), "left").select("scenario", "net", F.coalesce("component", "v").alias("group"))
         live = groups.groupBy("group").agg(F.bool_or(F.col("net") == SOURCE).alias("has24"), F.bool_or(F.col("net") == RETURN).alias("has0"))
@@ -66,9 +73,10 @@ def simulate(netlist: dict[str, DataFrame], settings: DataFrame, rounds: int = 1
         one = state.select("scenario", F.col("net").alias("net_1"), F.col("has24").alias("p1"), F.col("has0").alias("z1"))
         two = state.select("scenario", F.col("net").alias("net_2"), F.col("has24").alias("p2"), F.col("has0").alias("z2"))
         new = coil_of.join(one, ["scenario", "net_1"]).join(two, ["scenario", "net_2"]).filter("(p1 AND z2) OR (z1 AND p2)").select("scenario", "component")
-        new = cut(new, "energised")
-        if new.exceptAll(on).isEmpty() and on.exceptAll(new).isEmpty():
-            settled = True
-            break
-        on = new
-    return {"nets": state, "coils": new, "settled": settled}
+        new = cut(new.distinct(), "energised")
+        now = cut(shown(new), "last")
+        if now.join(reduce(DataFrame.union, seen), ["scenario", "set"], "left_anti").isEmpty():
+            oscillating = cut(now.join(last, ["scenario", "set"], "left_anti").select("scenario"), "oscillating")
+            return {"nets": state, "coils": new, "settled": oscillating.isEmpty(), "oscillating": oscillating}
+        on, last = new, now
+        seen.append(now)
