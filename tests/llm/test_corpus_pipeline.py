@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_operators import brute_components
+from brute import brute_components
 from wireloom.llm import quality_model
 
 STAGES = dict(corpus_pipeline.STAGES)
