@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import Tables
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of all vertices of edges (a, b) but the least of each component, which names it.
 
     A vertex keeps an edge to some lower vertex throughout, so hubs only grow at the names; their rows are summed
-    before they are dealt.  Each round is written to the shared folder; rounds grow with the logarithm of the vertices.
+    before they are dealt.  Each round is written to the shared folder, in place of the one before; rounds grow with
+    the logarithm of the vertices.
     """
+    tables = Tables(edges.sparkSession)
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = cut(edges, "edges")
+    edges = tables.cut(edges, "stars")
     before = None
     while (now := _sign(edges)) != before and now[0]:
         before = now
-        edges = cut(_small(_large(edges)), "stars")
+        edges = tables.cut(_small(_large(edges)), "stars")
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))

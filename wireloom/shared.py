@@ -7,27 +7,85 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir.
+
+    Only a local master, whose executors are this process, may go without one; it gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='wireloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder that holds all tables of this application; ``clear`` removes it."""
+    return f"{shared_dir(spark)}/wireloom-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/wireloom-{uuid.uuid4().hex}/{what}"
+    return f"{run_dir(spark)}/{uuid.uuid4().hex}/{what}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this application, once no result that it gave is read any more."""
+    remove(spark, run_dir(spark))
 
 
 def cut(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df in the shared folder and read it back: a later loss of executors costs no recomputation."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).cut(df, what, compression)
+
+
+class Tables:
+    """Tables of one operator in the shared folder, which are deleted by name as soon as no later step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+        """Write df and read it back, in place of an earlier table of that name, which df may read."""
+        path = scratch(self.spark, what)
+        df.write.parquet(path, compression=compression)
+        self.drop(what)
+        self.paths[what] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for what in names:
+            if what in self.paths:
+                remove(self.spark, self.paths.pop(what))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's place, from 0 on, in the order of these columns, nulls first.
+
+    Rows are dealt and sorted by ranges of the order; only one count for each partition is brought together.
+    """
+    at, part, before, size = (f"wireloom_{x}" for x in ("at", "part", "before", "size"))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranged")
+    bits = 33  # of a monotonically increasing id, which tell a row's place in its partition
+    ranged = ranged.withColumn(part, F.shiftright(at, bits))
+    counts = ranged.groupBy(part).agg(F.count("*").alias(size))
+    counts = counts.select(F.col(part).alias("wireloom_of"), F.coalesce(F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    joined = ranged.join(F.broadcast(counts), F.col(part) == F.col("wireloom_of"))
+    place = F.col(before) + F.col(at).bitwiseAND(F.lit((1 << bits) - 1))
+    return joined.select(*df.columns, place.alias(name))
 
 
 def walk(df: DataFrame, key: list[str], order: list, start: Callable[[], Callable], schema: str, out: pa.Schema) -> DataFrame:
