@@ -18,9 +18,25 @@ from wireloom.llm.words import words
 
 from brute import WORD, brute_components
 
-@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
-def test_jaccard_join_of_near_copies(spark, width, percent):
-    """Copies drift apart from each other, so that groups stay open after the leader is compared."""
+
+SMALL = jaccard_join.Sizes(bucket=3000, part=700, tile=5, tile_bytes=900, task=12)
+ALLOCATIONS = {
+    "by cost": jaccard_join.allocate,
+    "exact": lambda plain, counts: plain,
+    "deletions": lambda plain, counts: [b._replace(segments=(b.differ + 2) // 2, drop=0, deletions=True) for b in plain],
+}
+
+
+@pytest.mark.parametrize(
+    ("width", "percent", "sizes", "allocation"),
+    [(4, 85, jaccard_join.Sizes(), "by cost"), (5, 80, SMALL, "by cost"), (4, 85, SMALL, "exact"), (5, 80, SMALL, "deletions")],
+)
+def test_jaccard_join_of_near_copies(spark, monkeypatch, width, percent, sizes, allocation):
+    """Copies drift apart from each other, so that groups stay open after the leader is compared.
+
+    With small sizes there are many buckets, parts of a leader's members, tiles of a group and tasks.
+    """
+    monkeypatch.setattr(jaccard_join, "allocate", ALLOCATIONS[allocation])
     rnd = random.Random(width)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = []
@@ -32,7 +48,7 @@ def test_jaccard_join_of_near_copies(spark, width, percent):
                 w[rnd.randrange(size)] = rnd.choice(vocabulary)
             rows.append((len(rows), " ".join(w)))
     rows += [(None, rows[0][1]), (5, rows[100][1]), (2000, None), (2001, " "), (2002, rows[3][1].upper())]
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, percent)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, percent, sizes=sizes)
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows, width, percent)
 
 

@@ -9,10 +9,13 @@ each band of sizes the universe of shingle hashes is cut into ``m`` segments, so
                equals the other's or one of its one-deletion neighbours.
 
 The allocation is chosen for each band by its cost, which is the keys plus the expected pairs of unrelated documents.
-Equal sets are collapsed before keys are made.  In a key's group all members are compared with one leader, then linked
-ones are merged into components; in groups that still hold several, members of different components are compared in
-rounds, the most alike first, so copies never give all pairs.  Parity sketches, whose bits differ at most as often as the sets, rule pairs out before
-texts move; every link is verified exactly, on the texts' shingles.
+Equal sets are collapsed before keys are made.  Within a batch of documents a key's members are tied to one leader,
+and only leaders and single members are sent to the key's bucket, where they are tied to a leader of all; so a hot key
+sends one entry from each batch.  Members are compared with their leaders, then linked ones are merged into components;
+in groups that still hold several, members of different components are compared in rounds, the most alike first, so
+copies never give all pairs.  Of such a group the largest component's members meet the others only, in tiles of a
+bounded size.  Parity sketches, whose bits differ at most as often as the sets, rule pairs out before texts move; every
+link is verified exactly, on the texts' shingles, in parts of a bounded number of bytes.
 
 Sets are of 64-bit hashes of word runs.  Null texts and texts without words have no shingles and link with nothing.
 Rows with a null id link with nothing and have a null component.  Rows with one id are one document that has the links
@@ -29,20 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
 from ..operators.components import components
-from .words import gather, hashes, mixed, offsets, portions, runs, words
+from ..shared import Tables
+from .common import table
+from .words import gather, hashes, mixed, offsets, portions, release, runs, words
 
 WIDTH = 4
 PERCENT = 85
 RATIO = 1.3
-BUCKETS = 256
 KEY_BYTES = 6
 FREQUENT = 20_000
-PER_LEADER = 256
-TILE = 2048
-OPEN_ROWS = 20_000
 NEAREST = 2
+#: Bytes of a bucket's keys and ids, of the texts that one leader meets at once, and of the sketches of a tile or task.
+BUCKET_BYTES, PART_BYTES, TILE_BYTES = 2 << 20, 1 << 20, 4 << 20
+TILE, TASK_ROWS, LOCAL_ROWS = 2048, 20_000, 100_000
 
 
 class Band(NamedTuple):
@@ -66,6 +69,22 @@ def bands(percent: int, largest: int) -> list[Band]:
     return out
 
 
+class Sizes(NamedTuple):
+    """What one task may hold; none of these changes a result."""
+
+    bucket: int = BUCKET_BYTES
+    part: int = PART_BYTES
+    tile: int = TILE
+    tile_bytes: int = TILE_BYTES
+    task: int = TASK_ROWS
+
+
+def number_of_keys(plan: list[Band], counts: dict[int, int]) -> int:
+    """About how many keys the documents have, which are at home in one band and may have partners in the next."""
+    each = [(b.segments - b.drop + b.deletions * b.high) * (b.differ > 0) for b in [*plan, plan[-1]]]
+    return sum(n * (each[k] + each[k + 1]) for k, n in counts.items())
+
+
 def allocate(plain: list[Band], counts: dict[int, int]) -> list[Band]:
     """The cheaper allocation for each band, given the number of documents whose keys it holds."""
     out = []
@@ -270,47 +289,83 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _short(key: np.ndarray) -> np.ndarray:
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return at, np.diff(np.append(at, len(key)))
+
+
 def _dealt(keyed: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc_ids, keys): the keys of a batch of documents for each bucket, which the key's low bits give."""
+    """(bucket, docs, keys, more): for each bucket, which the key's low bits give, a batch's keys and their leaders.
+
+    more has a byte for each key, 1 where the leader has members in the batch.  Those members are rows of their own
+    with a negative bucket, in which ``more`` holds the leaders.
+    """
+    names = ["bucket", "docs", "keys", "more"]
 
     def run(batches):
         for batch in batches:
             blobs = batch.column(1).to_pylist()
-            n = np.array([len(b) // KEY_BYTES for b in blobs])
+            n = np.array([len(b) // KEY_BYTES for b in blobs], np.int64)
             key = _unpacked(b"".join(blobs))
             doc = np.repeat(batch.column(0).to_numpy(), n)
+            order = np.lexsort((mixed(doc.view(np.uint64)), key))
+            key, doc = key[order], doc[order]
+            at, size = _starts(key)
+            leader = np.repeat(doc[at], size)
+            rest = np.ones(len(key), bool)
+            rest[at] = False
+            local = np.flatnonzero(rest)
+            for low in range(0, len(local), LOCAL_ROWS):
+                part = local[low : low + LOCAL_ROWS]
+                own = -1 - int(mixed(key[part[:1]] ^ doc[part[:1]].view(np.uint64))[0] >> np.uint64(34))
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc[part], _short(key[part]), leader[part]))], names=names)
+            key, doc, more = key[at], doc[at], size > 1
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, key, doc = bucket[order], key[order], doc[order]
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.append(at[1:], len(bucket))
-            short = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at], pa.int32()), pa.array([doc[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([short[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["bucket", "docs", "keys"]
-            )
+            bucket, key, doc, more = bucket[order], _short(key[order]), doc[order], more[order]
+            at, size = _starts(bucket)
+            spans = list(zip(at, at + size, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (doc, key, more))], names=names)
 
-    return keyed.select("doc_id", "keys").mapInArrow(run, "bucket int, docs binary, keys binary")
+    return keyed.select("doc_id", "keys").mapInArrow(run, "bucket int, docs binary, keys binary, more binary")
 
 
 def _grouped(rows: pa.Table) -> pa.Table:
     """The groups of one bucket that have several members: (key, doc_id, leader), as one row for each member.
 
-    The leader is the member that comes first in a hashed order of documents, the same order in all groups.
+    The leader is the member that comes first in a hashed order of documents, the same order in all groups and batches.
+    Where members of other members are elsewhere the leader has a second row, without a leader, as it has not met all.
     """
-    key = _unpacked(b"".join(rows["keys"].to_pylist()))
-    doc = np.frombuffer(b"".join(rows["docs"].to_pylist()), np.int64)
+    names = ["key", "doc_id", "leader"]
+    key, doc = _unpacked(b"".join(rows["keys"].to_pylist())), np.frombuffer(b"".join(rows["docs"].to_pylist()), np.int64)
+    more = b"".join(rows["more"].to_pylist())
+    if rows["bucket"][0].as_py() < 0:  # members with their leaders of one batch; their leaders go with them
+        leader = np.frombuffer(more, np.int64)
+        both = np.unique(np.column_stack([key.view(np.int64), leader]), axis=0)
+        return pa.table([pa.array(np.append(x, y)) for x, y in ((key.view(np.int64), both[:, 0]), (doc, both[:, 1]), (leader, both[:, 1]))], names=names)
+    more = np.frombuffer(more, np.uint8)
     order = np.lexsort((mixed(doc.view(np.uint64)), key))
-    key, doc = key[order], doc[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(key)))
-    leader = np.repeat(doc[start], size) if len(key) else doc
-    many = np.repeat(size, size) > 1 if len(key) else np.zeros(0, bool)
-    return pa.table([pa.array(key[many].view(np.int64)), pa.array(doc[many]), pa.array(leader[many])], names=["key", "doc_id", "leader"])
+    key, doc, more = key[order], doc[order], more[order]
+    at, size = _starts(key)
+    leader = np.repeat(doc[at], size)
+    many = np.repeat(size, size) > 1
+    deep = at[(size > 1) & (np.add.reduceat(more, at, dtype=np.int64) > 0)] if len(at) else at
+    key = np.append(key[many], key[deep]).view(np.int64)
+    led = pa.array(np.append(leader[many], leader[deep]), mask=np.arange(len(key)) >= int(many.sum()))
+    return pa.table([pa.array(key), pa.array(np.append(doc[many], doc[deep])), led], names=names)
 
 
 def _linked(width: int, percent: int):
     def run(key, leaders: pa.Table, members: pa.Table) -> pa.Table:
         """Which members are linked with the leader; rows of the leader's id are one document."""
+        release()
         names = ["a", "b"]
         if not len(leaders) or not len(members):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], names=names)
@@ -331,14 +386,16 @@ def _linked(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, tables: Tables, part_bytes: int) -> DataFrame:
     """(a, b) of those pairs (leader, doc_id) that are linked.
 
-    A leader's members are dealt into groups of about PER_LEADER by a hash, and its text is sent to each of these.
+    A leader's members are dealt by a hash into parts of about part_bytes of text, and its text is sent to each of these.
     """
-    texts = _holding(docs, pairs.select("doc_id").union(pairs.select("leader")).distinct())
-    n = pairs.groupBy(F.col("leader").alias("l")).agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / PER_LEADER).cast("int")
+    texts = _holding(docs, pairs.select("doc_id").union(pairs.select("leader")).distinct(), tables)
+    size = texts.groupBy(F.col("doc_id").alias("s")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sized = pairs.join(size, F.col("s") == F.col("doc_id"))
+    n = sized.groupBy(F.col("leader").alias("l")).agg(F.sum("bytes").alias("bytes"))
+    parts = F.ceil((F.col("bytes") + 1) / part_bytes).cast("int")
     members = pairs.join(n, F.col("l") == F.col("leader")).select("leader", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), "doc_id")
     members = members.join(texts.select(F.col("doc_id").alias("t"), F.col("text").alias("member_text")), F.col("t") == F.col("doc_id"))
     members = members.select(F.col("leader").alias("of"), F.col("part").alias("in"), "doc_id", F.col("member_text").alias("text"))
@@ -401,42 +458,62 @@ def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, F.col("vertex") == F.col("doc_id"), "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("component"))
 
 
-def _open(groups: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members but the leader of those groups that hold several components, in tiles of about TILE members on either side."""
-    named = cut(_named(groups.filter("doc_id <> leader").select("key", "doc_id"), found), "named")
-    several = named.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / TILE).cast("int").alias("t")).filter("least < most").select("k", "t")
-    left = named.join(several, F.col("k") == F.col("key")).select("key", "t", "doc_id")
-    own = sets.select(F.col("doc_id").alias("d"), "n", "sketch")
-    left = left.join(own, F.col("d") == F.col("doc_id")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "t").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    return cut(left.select("key", "t", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "doc_id", "n", "sketch"), "open")
-
+def _open(groups: DataFrame, found: DataFrame, sets: DataFrame, tables: Tables, tile: int, tile_bytes: int) -> DataFrame:
+    """The members of those groups that hold several components but the leaders that met all, in pairs of tiles.
 
-def _closed(links: DataFrame, groups: DataFrame, sets: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    A group of one tile is one.  In a larger one the members of its largest component, which only have to meet others,
+    have tiles of their own, and these meet the tiles of the rest but not each other.
+    """
+    own = sets.groupBy(F.col("doc_id").alias("d")).agg(F.max("n").alias("n"))  # an id may stand for several sets
+    named = _named(groups.filter("leader IS NULL OR doc_id <> leader").select("key", "doc_id"), found).join(own, F.col("d") == F.col("doc_id")).drop("d")
+    named = tables.cut(named, "named")
+    by_component = named.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("elements"))
+    size = F.struct("c", "elements", "component")
+    several = by_component.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("components"), F.max(size).alias("major"), F.sum("c").alias("all"), F.sum("elements").alias("all_elements")).filter("components > 1")
+    tiles = lambda c, e: F.ceil(F.greatest(c / tile, e / (2 * tile_bytes))).cast("int")  # noqa: E731  a sketch has half a byte for each element, or less
+    few = tiles(F.col("all"), F.col("all_elements")) == 1
+    several = several.select(
+        "k", F.when(few, F.lit(None)).otherwise(F.col("major.component")).alias("major"), F.when(few, 1).otherwise(tiles(F.col("all") - F.col("major.c"), F.col("all_elements") - F.col("major.elements"))).alias("t"),
+        F.when(few, 0).otherwise(tiles(F.col("major.c"), F.col("major.elements"))).alias("m"),
+    )
+    left = named.join(several, F.col("k") == F.col("key"))
+    main = F.coalesce(F.col("component") == F.col("major"), F.lit(False))
+    left = left.withColumn("tile", F.when(main, F.col("t") + F.pmod(F.xxhash64("doc_id"), "m")).otherwise(F.pmod(F.xxhash64("doc_id"), "t")).cast("int"))
+    last = F.when(main, F.col("t")).otherwise(F.col("t") + F.col("m")) - 1
+    left = left.select("key", (F.col("t") + F.col("m") == 1).alias("lone"), "tile", F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    left = left.join(sets.select("doc_id", "n", "sketch"), F.col("doc_id") == F.col("id"))
+    return tables.cut(left.select("key", "lone", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "doc_id", "n", "sketch"), "open")
+
+
+def _closed(links: DataFrame, groups: DataFrame, sets: DataFrame, known: DataFrame, width: int, percent: int, tables: Tables, sizes: Sizes) -> DataFrame:
     """The components of all documents, from those that the links with leaders give.
 
     In each round a member of an open group is compared with the members of other components that are most alike by
     their sketches, a few at first and then more, until none has any left; most find a link among the first.
     """
     found = components(links)
-    left = _open(groups, found, sets)
-    parts = max(64, left.count() // OPEN_ROWS)
-    task = F.when(F.col("t") == 1, F.pmod("key", F.lit(parts))).otherwise(F.xxhash64("key", "low", "high"))
-    limit, tried = NEAREST, None
+    left = _open(groups, found, sets, tables, sizes.tile, sizes.tile_bytes)
+    tables.drop("named")
+    rows, held = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("sketch")), F.lit(0))).first()
+    parts = max(64, rows // sizes.task, held // sizes.tile_bytes)
+    task = F.when(F.col("lone"), F.pmod("key", F.lit(parts))).otherwise(F.xxhash64("key", "low", "high"))
+    limit, tried, step = NEAREST, None, 0
     while True:
         named = _named(left, found).withColumn("task", task)
-        rest = cut(named.groupBy("task").applyInArrow(_crossing(percent, limit), "leader long, doc_id long, more boolean"), "rest")
+        rest = tables.cut(named.groupBy("task").applyInArrow(_crossing(percent, limit), "leader long, doc_id long, more boolean"), "rest")
         pairs = rest.select("leader", "doc_id").distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["leader", "doc_id"], "left_anti"), "untried")
+        pairs = tables.cut(pairs if tried is None else pairs.join(tried, ["leader", "doc_id"], "left_anti"), f"untried-{step}")
         if pairs.limit(1).count():
-            links = links.union(cut(_verified(pairs, known, width, percent), "more"))
+            links = links.union(tables.cut(_verified(pairs, known, width, percent, tables, sizes.part), f"links-{step}"))
             found = components(links)
         if not rest.filter("more").limit(1).count():
+            tables.drop("open", "rest", "candidates")
             return found
         tried = pairs if tried is None else tried.union(pairs)
-        limit *= 8
+        limit, step = limit * 8, step + 1
 
 
-def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _holding(docs: DataFrame, wanted: DataFrame, tables: Tables) -> DataFrame:
     """docs whose id is among wanted (doc_id), in a table.
 
     A bitmap of 2^23 hash bits, at most 256 rows of 4 KiB, is broadcast to drop most other documents before texts move.
@@ -447,14 +524,15 @@ def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     position = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("map", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     near = near.filter(F.call_function("shiftright", byte, F.pmod(position, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).select("doc_id", "text")
-    return cut(near.join(wanted.select(F.col("doc_id").alias("w")), F.col("w") == F.col("doc_id"), "left_semi"), "candidates")
+    return tables.cut(near.join(wanted.select(F.col("doc_id").alias("w")), F.col("w") == F.col("doc_id"), "left_semi"), "candidates")
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links from each row, itself included."""
+    tables = Tables(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
-    everything = cut(_described(docs, width), "described")
+    everything = tables.cut(_described(docs, width), "described")
     described = everything.filter("NOT shingle").select("doc_id", "n", "a", "b")
     largest = described.agg(F.max("n")).first()[0] or 0
     plain = bands(percent, max(1, largest))
@@ -463,22 +541,25 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: st
     counts = dict(real.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect())
     plan = allocate(plain, counts)
     frequent = _frequent(everything)
+    buckets = max(64, -(-number_of_keys(plan, counts) * (KEY_BYTES + 9) // sizes.bucket))
     # documents with equal sets: the smallest id stands for all of them
-    classes = cut(real.groupBy("a", "b").agg(F.min("doc_id").alias("stands")), "classes")
+    classes = tables.cut(real.groupBy("a", "b").agg(F.min("doc_id").alias("stands")), "classes")
     own = classes.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "stands")
     standing = (F.col("stands") == F.col("doc_id")) & (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b"))
     keyed = _keyed(known, width, percent, plan, frequent).join(own, standing, "left_semi")
-    groups = cut(_dealt(keyed, BUCKETS).groupBy("bucket").applyInArrow(_grouped, "key long, doc_id long, leader long"), "groups")
+    groups = tables.cut(_dealt(keyed, buckets).groupBy("bucket").applyInArrow(_grouped, "key long, doc_id long, leader long"), "groups")
     met = groups.select("doc_id").distinct().select(F.col("doc_id").alias("m"))
     sets = everything.filter("NOT shingle").join(own, standing, "left_semi").join(met, F.col("m") == F.col("doc_id"), "left_semi").select("doc_id", "n", "sketch")
-    sets = cut(sets, "sketches")
-    pairs = cut(_possible(groups.filter("doc_id <> leader").select("leader", "doc_id").distinct(), sets, percent), "pairs")
-    links = cut(_verified(pairs, known, width, percent), "links")
+    sets = tables.cut(sets, "sketches")
+    pairs = tables.cut(_possible(groups.filter("doc_id <> leader").select("leader", "doc_id").distinct(), sets, percent), "pairs")
+    links = tables.cut(_verified(pairs, known, width, percent, tables, sizes.part), "links")
+    tables.drop("pairs")
     # rows of one id with different sets are one document
     several = real.groupBy("doc_id").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select(F.col("doc_id").alias("d"))
     same = real.join(several, F.col("d") == F.col("doc_id"), "left_semi").join(own, (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b"))).select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
     links = links.union(same)
-    found = _closed(links, groups, sets, known, width, percent)
+    found = _closed(links, groups, sets, known, width, percent, tables, sizes)
+    tables.drop("groups", "sketches", "links")
     out = described.join(own, (F.col("ca") == F.col("a")) & (F.col("cb") == F.col("b")) & (F.col("n") > 0), "left")
     out = out.join(found, F.col("vertex") == F.col("stands"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "stands", "doc_id"))

@@ -107,10 +107,16 @@ def _trim():
         return lambda pad: 0
 
 
+def release() -> None:
+    """Give freed memory back to the system, as idle Python workers would else hold what their largest portion took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def portions(batches, column: int, size: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many bytes in the column, but one text at least, and so many rows.
 
-    Memory is given back after each, as idle Python workers would else hold what their largest portion took.
+    Memory is given back after each.
     """
     for batch in batches:
         length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -120,5 +126,5 @@ def portions(batches, column: int, size: int = 2 << 20, rows: int = 4096) -> Ite
             to = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
             to = min(max(to, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, to - at)
-            _trim()(0)
+            release()
             at = to
