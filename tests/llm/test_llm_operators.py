@@ -99,8 +99,9 @@ def test_arc_of_either_version(version):
 
 def test_splitting_tree_spends_each_quota():
     quotas = np.array([0, 1, 7, 1000, 33])
-    out = mixing.split(quotas, 16, np.random.default_rng(1))
-    assert (out >= 0).all() and (out.sum(0) == quotas).all() and np.ptp(out.sum(1)) <= 4
+    totals = mixing.balanced(1041, 16)
+    out = mixing.split(quotas, totals, np.random.default_rng(1))
+    assert (out >= 0).all() and (out.sum(0) == quotas).all() and (out.sum(1) == totals).all() and np.ptp(totals) <= 1
 
 
 def test_mix_repeats_documents_and_keeps_their_columns(spark, hard):
@@ -109,7 +110,62 @@ def test_mix_repeats_documents_and_keeps_their_columns(spark, hard):
     assert set(docs.columns) - set(mixing.RESULTS) <= set(mixed.columns)
     assert mixed.filter(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) != F.col("words")).count() == 0
     assert mixed.agg(F.sum("words")).first()[0] == mixing.quotas(docs).agg(F.sum("taken")).first()[0]
-    assert mixed.select("shard").distinct().count() > 8
+
+
+def test_shards_draw_disjoint_blocks_of_each_source(spark):
+    """Each use is in one shard, and a shard's share of a source is that of a draw without replacement."""
+    rows = [(k, " ".join(["w"] * (1 + k % 7)), f"s{min(k % 9, 4)}", k) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard long")
+    mixed = mixing.mix(docs, shards=8, blocks=2000, block_documents=5).select("doc_id", "source", "copy", "shard", "words").collect()
+    assert len({(r.doc_id, r.copy) for r in mixed}) == len(mixed) and {r.shard for r in mixed} == set(range(8))
+    by_source, by_both = Counter(), Counter()
+    for r in mixed:
+        by_source[r.source] += r.words
+        by_both[r.source, r.shard] += r.words
+    total, in_shard = sum(by_source.values()), Counter()
+    for (s, k), n in by_both.items():
+        in_shard[k] += n
+        blocks = by_source[s] / 20  # a block has about 20 words
+        assert abs(n - by_source[s] / 8) < 6 * 20 * (blocks / 8) ** 0.5 + 60, (s, k, n)
+    assert max(in_shard.values()) - min(in_shard.values()) < 0.25 * total / 8  # shards have equal numbers of blocks, of unequal words
+    assert [tuple(r) for r in mixing.mix(docs, shards=8, blocks=2000, block_documents=5).select("doc_id", "source", "copy", "shard", "words").sort("doc_id", "copy").collect()] == sorted(map(tuple, mixed), key=lambda r: (r[0], r[2]))
+
+
+def test_shards_exist_where_blocks_have_no_words(spark):
+    rows = [(k, "one two three" if k % 37 == 0 else None, "A") for k in range(1200)] + [(5000 + k, "x", "B") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.002, 0.4, 1.5):
+        got = mixing.quotas(docs, share=share, shards=16, block_documents=2).collect()
+        assert {k for r in got for k in r.shards} <= set(range(16))
+        aims = {r.source: r.target for r in got}
+        taken = Counter()
+        for r in got:
+            taken[r.source] += r.taken
+            assert r.taken <= 2 * r.size and len(r.shards) == -(-r.taken // max(1, r.size))
+        assert all(abs(taken[s] - aims[s]) <= 3 for s in aims)
+
+
+def test_what_no_shard_draws_is_not_taken(spark, hard, monkeypatch):
+    """The tree decides: uses beyond the shards' numbers are left out."""
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    real = mixing.drawn
+    monkeypatch.setattr(mixing, "drawn", lambda planned, shards, seed: real(planned, shards, seed).filter("shard <> 3"))
+    less = mixing.quotas(docs).agg(F.sum("taken")).first()[0]
+    monkeypatch.undo()
+    full = mixing.quotas(docs)
+    assert less == full.agg(F.sum("taken")).first()[0] - mixing.mix(docs).filter("shard = 3").agg(F.sum("words")).first()[0]
+
+
+def test_written_mix_is_by_shard_with_all_columns(spark, hard, tmp_path):
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    mixing.written(docs, shards=4, file_bytes=40_000).write.parquet(str(tmp_path / "mix"))
+    got = spark.read.parquet(str(tmp_path / "mix"))
+    assert got.columns == docs.columns
+    mixed = mixing.mix(docs, shards=4)
+    assert Counter(map(tuple, got.select("doc_id", "text", "source").collect())) == Counter(map(tuple, mixed.select("doc_id", "text", "source").collect()))
+    own = {(r.doc_id, r.source): (r.size, r.target, r.words, r.lang) for r in docs.collect()}
+    assert all(own[r.doc_id, r.source] == (r.size, r.target, r.words, r.lang) for r in got.collect())
+    assert len(list((tmp_path / "mix").glob("part-*"))) > 4
 
 
 def test_line_dedup_thresholds(spark):
