@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources, in which a document is repeated as often as it is taken."""
-    return _lengths(mixing.mix(docs).select(*docs.columns))
+    """The mix of the sources, in which a document is repeated as often as it is taken, by shard and place."""
+    return _lengths(mixing.written(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
