@@ -209,3 +209,46 @@ def test_network_gradients_are_those_of_differences():
         low = loss()
         flat[at] = keep
         assert abs((high - low) / (2 * step) - g.reshape(-1)[at]) < 0.02 * max(0.1, abs(g.reshape(-1)[at]))
+
+
+def test_maps_keep_nested_columns_and_very_long_texts(spark):
+    """Fields whose names hold blanks pass through, and one text may be longer than a portion."""
+    from pyspark.sql import types as T
+
+    row = T.StructType([T.StructField("a b", T.IntegerType()), T.StructField("c:d", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("own field", row)])
+    long = "Lorem ipsum, dolor sit. " * 150_000
+    rows = [(1, long, (7, ["x"])), (2, None, None), (3, "a b", (8, None))]
+    docs = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r for r in bpe.round_trip(docs).collect()}
+    assert all(got[d].decoded == (t or "") and got[d]["own field"] == (None if f is None else T.Row("a b", "c:d")(*f)) for d, t, f in rows)
+    scored = quality_model.score(docs, None)
+    assert scored.columns == ["doc_id", "text", "own field", "quality_score"] and scored.count() == 3
+
+
+def test_archive_files_hold_their_bytes(spark, hard, tmp_path):
+    """The text sink writes gzip members as they are."""
+    import gzip
+
+    warc.write(spark.read.parquet(f"{hard}/pages.parquet"), str(tmp_path / "warc"))
+    heads = []
+    for path in (tmp_path / "warc").glob("part-*"):
+        data = gzip.decompress(path.read_bytes())
+        while data:
+            head, body = warc.parse_warc(data)
+            heads.append(head)
+            data = data[data.index(b"\r\n\r\n") + 4 + len(body) + 4 :]
+    assert len(heads) == spark.read.parquet(f"{hard}/pages.parquet").count()
+    assert all(h["warc-record-id"] for h in heads)
+
+
+def test_fit_holds_few_bytes(spark, monkeypatch):
+    """The sample is bounded in bytes as well, by whole texts."""
+    rows = [(k, ("good text " if k % 2 else "bad ## ") * (2000 if k < 4 else 3)) for k in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    held = []
+    monkeypatch.setattr(quality_model, "SAMPLE_TEXT", 1000)
+    monkeypatch.setattr(quality_model, "SAMPLE_BYTES", 700)
+    monkeypatch.setattr(quality_model, "train", lambda texts, labels: held.extend(texts))
+    quality_model.fit(docs, labels)
+    assert 500 < sum(map(len, held)) <= 700 and {t.decode() for t in held} <= {t for _, t in rows[4:]}

@@ -2,7 +2,8 @@
 
 A pre-token is merged with a priority queue of (merge rank, position) over a doubly linked list of symbols; queue
 entries whose symbols have changed since are skipped.  Decoding joins the vocabulary's byte strings.  Work is a
-narrow map over rows: nothing is shuffled, and a task holds a slice of a batch and a bounded cache.
+narrow map over rows: nothing is shuffled, and a task holds two megabytes of a batch, or one longer text, and a bounded
+cache.
 
 Null texts count as empty; empty texts give no ids and decode to an empty text.  Repeated rows give repeated
 results, and other columns are passed on unless they have the name of a result, which replaces them.
@@ -20,8 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import slices, table
+from .common import table
+from .words import portions
 
 #: The published pre-token pattern of this vocabulary; white space is the Unicode property.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -171,33 +174,50 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     path: the vocabulary file, which has to be on every machine, as the tokenizers package is.
     """
     path = path or vocabulary()
-    return _mapped(df, text, ids, pa.binary(), "binary", lambda: load(path).encode)
+    return _mapped(df, text, [StructField(ids, BinaryType())], lambda: lambda t: (load(path).encode(t or ""),))
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """df with the text of each ids column."""
     path = path or vocabulary()
-    return _mapped(df, ids, text, pa.string(), "string", lambda: load(path).decode)
+    return _mapped(df, ids, [StructField(text, StringType())], lambda: lambda i: (load(path).decode(i or b""),))
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql: str, function) -> DataFrame:
-    kept = [c for c in df.columns if c != target]
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """df with the ids of each text and the text that they decode to, in one pass of one Python worker."""
+    path = path or vocabulary()
+
+    def both():
+        tokenizer = load(path)
+
+        def one(t: str | None):
+            coded = tokenizer.encode(t or "")
+            return coded, tokenizer.decode(coded)
+
+        return one
+
+    return _mapped(df, text, [StructField(ids, BinaryType()), StructField(decoded, StringType())], both)
+
+
+def _mapped(df: DataFrame, source: str, targets: list[StructField], function) -> DataFrame:
+    """df with the target columns, which function() makes from the source; batches are cut by its bytes."""
+    names = [t.name for t in targets]
+    kept = [c for c in df.columns if c not in names]
     at = df.columns.index(source)
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{target}` {sql}"])
     places = [df.columns.index(c) for c in kept]
+    kinds = [pa.binary() if isinstance(t.dataType, BinaryType) else pa.string() for t in targets]
 
     def run(batches):
         one = function()
-        empty = b"" if pa.types.is_binary(df_types[at]) else ""
-        for batch in slices(batches):
-            made = pa.array([one(x or empty) for x in batch.column(at).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), made], names=[*kept, target])
+        for batch in portions(batches, at, rows=512):
+            made = zip(*map(one, batch.column(at).to_pylist()), strict=True)
+            made = [pa.array(c, k) for c, k in zip(made, kinds, strict=True)] if batch.num_rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *made], names=[*kept, *names])
 
-    df_types = [pa.binary() if f.dataType.typeName() == "binary" else pa.string() for f in df.schema]
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in kept), *targets]))
 
 
 def op9_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = round_trip(docs)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import cut, scratch, shared_dir
 
-__all__ = ["WORD", "cut", "let", "record_batch", "scratch", "shared_dir", "slices", "table", "text_bytes"]
+__all__ = ["WORD", "cut", "let", "scratch", "shared_dir", "table", "text_bytes"]
 
 #: A word is a run of anything but blank, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,14 +26,3 @@ def text_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes in the text columns: a scan of these, one number to the driver."""
     total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns[1:]), F.coalesce(F.octet_length(columns[0]), F.lit(0)))
     return df.agg(F.sum(total.cast("long"))).first()[0] or 0
-
-
-def slices(batches, rows: int = 512):
-    """Batches of at most so many rows, which bounds what a task holds."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)

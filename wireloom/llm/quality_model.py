@@ -3,9 +3,11 @@
 A filter sums learned weights of the ``WIDTH`` bytes at a place, so a convolution is a sum of table rows.  Responses
 at every ``STRIDE``-th byte of the whole text are max-pooled within chunks of ``2 * HALF`` bytes that overlap by half;
 a hidden layer reads each chunk's pooled responses and its fill, and the mean and the maximum of the hidden units over
-all chunks are combined into one probability.  The cost is linear in the bytes, and a task holds one slice of texts.
+all chunks are combined into one probability.  The cost is linear in the bytes, and a task holds a megabyte of texts or
+one longer text.
 
-``fit`` trains on at most ``SAMPLE`` labelled rows, chosen by a hash of their id; nothing but the text is an input.
+``fit`` trains on at most ``SAMPLE`` labelled rows of ``SAMPLE_BYTES`` in all, whole texts chosen by a hash of their id,
+none of over ``SAMPLE_TEXT`` bytes; nothing but the text is an input.  Scoring reads every whole text.
 
 Null and empty texts have no chunk: all pooled values are 0, and their score is what the last layer gives these.
 Rows with a null id are scored and are never held out or learned from.  Rows whose label is null are not learned from;
@@ -19,14 +21,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices, table
+from .common import table
+from .words import portions
 
 WIDTH, STRIDE, HALF = 6, 2, 128
 FILTERS, HIDDEN = 16, 16
-SAMPLE = 4000
+#: Labelled rows to learn from, bytes of one of them and of all, at most.
+SAMPLE, SAMPLE_TEXT, SAMPLE_BYTES = 4000, 1 << 20, 48 << 20
 ROUNDS = 20
 ACCEPT = 0.3
 FOLDS = 5
@@ -179,12 +184,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Network | None:
-    """Train on at most ``sample`` rows of those that are not held out.  The driver gets these rows and no others."""
+    """Train on at most ``sample`` rows of those that are not held out.  The driver gets these rows, up to SAMPLE_BYTES, and no others."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.select(F.col("doc_id").alias("wireloom_id"), "quality").orderBy(F.xxhash64("wireloom_id"), "wireloom_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("wireloom_id") == F.col("doc_id"))
     # where rows share an id, one of them is learned from
-    got = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
+    one = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    total = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows
+    got = one.withColumn("wireloom_total", total).filter(F.col("wireloom_total") <= SAMPLE_BYTES).select("doc_id", "quality", "text").toPandas().sort_values("doc_id")
     return train([(t or "").encode() for t in got["text"]], got["quality"].to_numpy(np.int64))
 
 
@@ -195,13 +202,12 @@ def score(docs: DataFrame, net: Network | None, text: str = "text", name: str =
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in slices(batches, 256):
+        for batch in portions(batches, at, 1 << 20, 512):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             made = np.full(len(texts), 0.5) if net is None else scores(net, [t or b"" for t in texts])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(made, pa.float64())], names=[*kept, name])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in kept), StructField(name, DoubleType())]))
 
 
 def op6_quality_model(spark, sf_dir: str) -> DataFrame:

@@ -28,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table
+from .common import scratch, table
+from .words import portions
 
 LEAST = 100
+#: Records of an archive file at most, as a file is read by one task.
+FILE_RECORDS = 10_000
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -174,7 +177,7 @@ def write(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
     joined = pages.select("page_id", "url", "html").join(revisits(pages), same, "left").drop("at", "of")
 
     def run(batches):
-        for batch in slices(batches, 256):
+        for batch in portions(batches, 2, rows=256):
             rows = batch.to_pylist()
             out = []
             for version in (1, 2):
@@ -190,7 +193,7 @@ def write(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
                     out.append(member(to_warc(record, f"page:{row['page_id']}", None if refers is None else f"page:{refers}", (*more, ("X-Refers-To-Page-Id", str(refers))) if refers is not None else more)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", DIVIDER).option("encoding", "ISO-8859-1").text(path)
+    joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", DIVIDER).option("encoding", "ISO-8859-1").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
