@@ -47,7 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, 4 bytes an id, and whether decoding them gives its text."""
     slim = docs.select("doc_id", "source", "text")
-    coded = bpe.decode(bpe.encode(slim))
+    coded = bpe.round_trip(slim)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
