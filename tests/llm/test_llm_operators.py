@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wireloom.llm import bpe, jaccard_join, line_dedup, mixing, quality_model, quality_rules, token_store, warc
+from wireloom.llm import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, quality_model, quality_rules, token_store, warc
 from wireloom.llm.words import words
 
 from brute import WORD, brute_components
@@ -252,3 +252,45 @@ def test_fit_holds_few_bytes(spark, monkeypatch):
     monkeypatch.setattr(quality_model, "train", lambda texts, labels: held.extend(texts))
     quality_model.fit(docs, labels)
     assert 500 < sum(map(len, held)) <= 700 and {t.decode() for t in held} <= {t for _, t in rows[4:]}
+
+
+def brute_links(vectors, cosine=0.95):
+    v = np.array([x for _, x in vectors])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= cosine
+    np.fill_diagonal(near, False)
+    label = np.array([k for k, _ in vectors])
+    while True:
+        new = np.minimum(label, np.where(near, label[None], label.max()).min(1))
+        if (new == label).all():
+            return Counter((k, int(n), int(c), bool(k == c)) for (k, _), n, c in zip(vectors, near.sum(1), label, strict=True))
+        label = new
+
+
+@pytest.mark.parametrize(("kind", "cells", "tile"), [("clusters", 24, 16), ("clusters", None, 32), ("random", 40, 16), ("random", None, None)])
+def test_embedding_links_over_many_cells(spark, kind, cells, tile):
+    """No link is lost where near vectors lie in different cells and tiles."""
+    rng = np.random.default_rng(len(kind) + (cells or 0))
+    if kind == "clusters":
+        base = rng.normal(size=(30, 8))
+        made = base[rng.integers(0, 30, 700)] + rng.normal(0, 0.13, (700, 8))
+    else:
+        made = rng.normal(size=(600, 6))
+        made = np.concatenate([made, made[:100] + rng.normal(0, 0.2, (100, 6))])
+    vectors = [(int(k) * 3 % 997, x.tolist()) for k, x in enumerate(made)]
+    got = embedding_dedup.links(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3), cells=cells, tile=tile)
+    want = brute_links(vectors)
+    assert sum(n > 0 for _, n, _, _ in want) > 100
+    assert Counter(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == want
+
+
+def test_cells_grow_with_clustered_vectors():
+    """Where cells rule others out, more vectors get more cells; among vectors without structure they don't."""
+    rng = np.random.default_rng(3)
+    sharp = rng.normal(size=(300, 16))[rng.integers(0, 300, 6000)] + rng.normal(0, 0.05, (6000, 16))
+    sharp /= np.linalg.norm(sharp, axis=1, keepdims=True)
+    few, many = (len(embedding_dedup.cheapest(sharp, n, 0.95, 8192)) for n in (10_000, 10_000_000))
+    assert few < many
+    flat = rng.normal(size=(4000, 64))
+    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+    assert [len(embedding_dedup.cheapest(flat, n, 0.95, 8192)) for n in (10_000, 50_000)] == [8, 8]

@@ -3,9 +3,13 @@
 Equal vectors are collapsed first.  A vector's home is the cell of its nearest centroid; it also visits each lower cell
 that may hold a vector linked with it: for unit vectors u of that cell and v with cosine t or more, |u - v| is at most
 d = sqrt(2 - 2t), so v.(c - c') <= d |c - c'| for the cell's centroid c' and every other centroid c.  All others
-are ruled out, so no link is lost.  A cell is compared in tiles of at most about ``TILE`` vectors, and a pair of tiles
+are ruled out, so no link is lost.  A cell is compared in tiles of at most about ``TILE_BYTES``, and a pair of tiles
 reports for each vector its links and the least vector that it is connected with, never the pairs.
 
+The number of cells is the cheapest by what vectors of the sample visit: where vectors lie in clusters more cells rule
+more out, while among vectors without any structure nearly all cells may hold a link, so few cells are made and the
+comparisons are those of all pairs.
+
 Centroids are fitted on ``SAMPLE`` vectors at most, chosen by a hash; every vector is compared.  Cosines are in double
 precision.  Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept;
 so do rows with a null id, whose component is null.  Shorter vectors count as filled up with zeros.  Repeated rows are
@@ -19,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
 from ..operators.components import components
+from ..shared import Tables
+from .common import table
 
 COSINE = 0.95
-SAMPLE = 4096
-CELL = 1024
-CELLS = 128
-TILE = 2048
+SAMPLE = 16_384
+#: The fewest cells, and vectors of the sample for each cell at least.
+LEAST_CELLS, FOR_CELL = 8, 16
+#: A tile's vectors take so many bytes at most, and are so many at most.
+TILE_BYTES, TILE = 4 << 20, 8192
 ROUNDS = 10
+#: Seconds, about, that a component of a pair takes to multiply, a pair to compare, a byte of a vector to move and a vector to place by a pair of cells.
+MULTIPLIED, COMPARED, MOVED, PLACED = 1e-10, 3e-9, 3e-8, 2e-9
 
 
 def unit(lists: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
@@ -43,12 +51,16 @@ def unit(lists: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def nearest(vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.concatenate([(vectors[low : low + 2048] @ at.T).argmax(1) for low in range(0, len(vectors), 2048)])
+
+
 def centroids(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     """Spherical k-means: each centroid is the direction of the sum of its cell."""
     rng = np.random.default_rng(seed)
     at = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(ROUNDS):
-        cell = (sample @ at.T).argmax(1)
+        cell = nearest(sample, at)
         total = np.zeros_like(at)
         np.add.at(total, cell, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -56,6 +68,24 @@ def centroids(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     return at
 
 
+def cheapest(sample: np.ndarray, n: int, cosine: float, tile: int) -> np.ndarray:
+    """Centroids of that number of cells, doubled from the least, whose comparisons and moves cost least for n vectors."""
+    best, low, k = None, np.inf, LEAST_CELLS
+    while best is None or k <= len(sample) // FOR_CELL:
+        at = centroids(sample, k)
+        size = np.bincount(nearest(sample, at), minlength=len(at)) * (n / len(sample))
+        home, may = visits(sample[:: max(1, len(sample) // 512)], at, cosine)
+        met = may @ size + size[home] / 2
+        moved = may @ np.ceil(size / tile) + np.ceil(size / tile)[home]
+        cost = met.mean() * (sample.shape[1] * MULTIPLIED + COMPARED) + moved.mean() * sample.shape[1] * 8 * MOVED + len(at) ** 2 * PLACED
+        if cost > 1.5 * low:
+            break
+        if cost < low:
+            best, low = at, cost
+        k *= 2
+    return best
+
+
 def visits(vectors: np.ndarray, at: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each vector, and for each cell whether it is lower than home and may hold a linked vector."""
     near = vectors @ at.T
@@ -105,36 +135,40 @@ def compared(size: int, cosine: float):
     return run
 
 
-def links(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
+def links(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", cells: int | None = None, tile: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every vector.
+
+    cells: the number of cells, else the cheapest; tile: vectors of a tile, else those of TILE_BYTES.
+    """
+    tables = Tables(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     each = rows.filter("good").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("code", F.xxhash64("embedding"))
-    each = cut(each, "vectors")
+    each = tables.cut(each, "vectors")
     n, size = each.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     chosen = each.orderBy("code", "rep").limit(SAMPLE).select("embedding").toArrow()
-    at = centroids(unit(chosen["embedding"], size), max(1, min(CELLS, -(-n // CELL))))
+    tile = tile or min(TILE, max(256, TILE_BYTES // (8 * size)))
+    sample = unit(chosen["embedding"], size)
+    at = centroids(sample, cells) if cells else cheapest(sample, n, cosine, tile)
 
     def place(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(low, 1024) for b in batches for low in range(0, b.num_rows, 1024)):
             home, may = visits(unit(batch.column(0), size), at, cosine)
             row, cell = np.nonzero(may)
             every = np.concatenate([np.arange(len(home)), row])
             part = batch.take(pa.array(every))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(np.arange(len(every)) < len(home))], names=["embedding", "rep", "times", "code", "cell", "home"])
 
-    placed = cut(each.select("embedding", "rep", "times", "code").mapInArrow(place, "embedding array<double>, rep long, times long, code long, cell int, home boolean"), "cells")
-    held = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("h"), F.ceil(F.count_if(~F.col("home")) / TILE).cast("int").alias("v"))
+    placed = tables.cut(each.select("embedding", "rep", "times", "code").mapInArrow(place, "embedding array<double>, rep long, times long, code long, cell int, home boolean"), "cells")
+    held = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count_if("home") / tile).cast("int").alias("h"), F.ceil(F.count_if(~F.col("home")) / tile).cast("int").alias("v"))
     tiles = placed.join(held, F.col("c") == F.col("cell"))
     # tiles 0 to h - 1 are of residents, h to h + v - 1 of visitors; residents are compared with all of them
-    tile = F.when(F.col("home"), F.pmod("code", "h")).otherwise(F.col("h") + F.pmod("code", "v")).cast("int")
-    tiles = tiles.withColumn("tile", tile)
+    place_in = F.when(F.col("home"), F.pmod("code", "h")).otherwise(F.col("h") + F.pmod("code", "v")).cast("int")
+    tiles = tiles.withColumn("tile", place_in)
     as_left = F.transform(F.sequence(F.col("tile"), F.col("h") + F.col("v") - 1), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j"), F.lit(True).alias("left"), (j == F.col("tile")).alias("right")))
     upto = F.least(F.col("tile"), F.col("h")) - 1
     as_right = F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), lambda i: F.struct(i.alias("i"), F.col("tile").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))))
@@ -142,7 +176,8 @@ def links(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", em
     uses = F.concat(F.when(F.col("home"), as_left).otherwise(none), F.coalesce(as_right, none))
     dealt = tiles.select("cell", "embedding", "rep", "times", "code", F.inline(uses))
     found = dealt.groupBy("cell", "i", "j").applyInArrow(compared(size, cosine), "rep long, code long, links long, least long")
-    found = cut(found, "links")
+    found = tables.cut(found, "links")
+    tables.drop("cells")
     total = found.groupBy(F.col("rep").alias("r"), F.col("code").alias("k")).agg(F.sum("links").alias("links"))
     # rows of one id with different vectors share a component
     ids = rows.filter("good").select("vec_id", "embedding").join(each.select(F.col("embedding").alias("e"), "rep"), F.col("e") == F.col("embedding"))
