@@ -165,7 +165,8 @@ def links(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", em
 
     placed = tables.cut(each.select("embedding", "rep", "times", "code").mapInArrow(place, "embedding array<double>, rep long, times long, code long, cell int, home boolean"), "cells")
     held = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count_if("home") / tile).cast("int").alias("h"), F.ceil(F.count_if(~F.col("home")) / tile).cast("int").alias("v"))
-    tiles = placed.join(held, F.col("c") == F.col("cell"))
+    # a row for each cell, of which there are at most SAMPLE / FOR_CELL; a cell's pairs of tiles are then dealt one by one
+    tiles = placed.join(F.broadcast(held), F.col("c") == F.col("cell"))
     # tiles 0 to h - 1 are of residents, h to h + v - 1 of visitors; residents are compared with all of them
     place_in = F.when(F.col("home"), F.pmod("code", "h")).otherwise(F.col("h") + F.pmod("code", "v")).cast("int")
     tiles = tiles.withColumn("tile", place_in)
