@@ -146,8 +146,8 @@ def glyph_clusters(strokes: DataFrame, prm: Params = Params()) -> DataFrame:
 def nets(conductors: DataFrame) -> DataFrame:
     """Nets of conductors (page, id, end_nodes array<long>, net_label): joined by shared end nodes and equal labels.
 
-    A net has the label that most of its conductors have, ties by the first conductor; nets without a label are
-    numbered by their first conductor.
+    A net has the label that most of its conductors have, ties by the first conductor.  All nets are numbered by their
+    first conductor, and those without a label are named by that number.
     """
     me = F.xxhash64(F.lit("c"), "page", "id")
     by_node = conductors.select(me.alias("a"), F.explode("end_nodes").alias("n"), "page").select("a", F.xxhash64(F.lit("n"), "page", "n").alias("b"))
@@ -158,7 +158,7 @@ def nets(conductors: DataFrame) -> DataFrame:
     mode = labels.groupBy("page", "net").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "net_label")).alias("m"), F.array_sort(F.collect_set("net_label")).alias("labels_seen"))
     rolled = named.groupBy("page", "net").agg(F.array_sort(F.collect_list("id")).alias("member_conductors"), F.count("*").cast("int").alias("conductor_count"), F.min("id").alias("first"))
     both = rolled.join(mode, ["page", "net"], "left").withColumn("labelled", F.col("m").isNotNull())
-    number = F.sum((~F.col("labelled")).cast("int")).over(Window.partitionBy("page").orderBy("first"))
+    number = F.row_number().over(Window.partitionBy("page").orderBy("first"))
     return both.select(
         "page", F.coalesce("m.net_label", F.format_string("NET-UNLABELLED-%03d", number)).alias("id"), F.coalesce("labels_seen", F.array().cast("array<string>")).alias("labels_seen"),
         "member_conductors", "conductor_count", "labelled", (F.size(F.coalesce("labels_seen", F.array().cast("array<string>"))) > 1).alias("conflicting_labels"),

@@ -5,6 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Between the number of a drawing and an id of it.
+SHEET = "#"
+#: Columns that hold ids, alone or in arrays.
+IDS = ("id", "parent_component", "component", "net", "from_terminal", "to_terminal", "cable", "src", "tgt")
+ID_LISTS = ("member_terminals", "member_wires", "member_components")
+
+
+def sheeted(netlist: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The netlist with drawing_no in every table; tables without it must belong to one drawing."""
+    out = {"drawing": netlist["drawing"].withColumn("drawing_no", F.col("drawing_number"))}
+    bare = [name for name, df in netlist.items() if name != "drawing" and "drawing_no" not in df.columns]
+    number = None
+    if bare:
+        rows = netlist["drawing"].select("drawing_number").limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"{bare} have no drawing_no, and there is not one drawing")
+        number = rows[0][0]
+    return out | {name: df.withColumn("drawing_no", F.lit(number).cast("string")) if name in bare else df for name, df in netlist.items() if name != "drawing"}
+
+
+def qualified(netlist: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The netlist of several sheets with each id as drawing#id, so that equal ids of different sheets never meet.
+
+    Every derivation, check and question joins on ids, so it then holds for all sheets at once, sheet by sheet.
+    """
+    own = lambda c: F.concat(F.coalesce(F.col("drawing_no"), F.lit("")), F.lit(SHEET), c)  # noqa: E731  null ids stay null
+    out = {}
+    for name, df in sheeted(netlist).items():
+        for c in df.columns:
+            if c in IDS:
+                df = df.withColumn(c, own(F.col(c)))
+            elif c in ID_LISTS:
+                df = df.withColumn(c, F.transform(F.col(c), own))
+        out[name] = df
+    return out
+
+
+def bare(column: Column) -> Column:
+    """An id without its drawing."""
+    return F.substring_index(column, SHEET, -1)
 
 
 def terminal_id(component: Column, terminal: Column) -> Column:
@@ -23,10 +63,20 @@ def wires_of(terminals: DataFrame) -> DataFrame:
     return terminals.filter("net IS NOT NULL").withColumn("to_terminal", F.lead("id").over(order)).filter("to_terminal IS NOT NULL").select("net", F.col("id").alias("from_terminal"), "to_terminal", "ord")
 
 
+def _sheet(df: DataFrame) -> list[str]:
+    return ["drawing_no"] if "drawing_no" in df.columns else []
+
+
+def _wire_id(wires: DataFrame) -> Column:
+    """W and the wire's number; after its drawing where the ends are qualified."""
+    own = F.format_string("W%03d", "ord")
+    return F.when(F.contains("from_terminal", F.lit(SHEET)), F.concat(F.substring_index("from_terminal", SHEET, 1), F.lit(SHEET), own)).otherwise(own)
+
+
 def derive(authored: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The eight tables of a netlist from its authored tables."""
-    terminals = authored["terminals"].select(terminal_id(F.col("component"), F.col("terminal")).alias("id"), F.col("component").alias("parent_component"), "function", "net", "ord")
-    wires = authored["wires"].select(F.format_string("W%03d", "ord").alias("id"), "color", "gauge", "from_terminal", "to_terminal", "cable", "net", "ord")
+    terminals = authored["terminals"].select(*_sheet(authored["terminals"]), terminal_id(F.col("component"), F.col("terminal")).alias("id"), F.col("component").alias("parent_component"), "function", "net", "ord")
+    wires = authored["wires"].select(*_sheet(authored["wires"]), _wire_id(authored["wires"]).alias("id"), "color", "gauge", "from_terminal", "to_terminal", "cable", "net", "ord")
     nets = members(authored["nets"], terminals, "net", "id", "member_terminals")
     cables = members(authored["cables"], wires, "cable", "id", "member_wires")
     return {
@@ -38,16 +88,16 @@ def derive(authored: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def _edge(df: DataFrame, section: int, kind: str, src: str, tgt: str, description: Column, properties: dict[str, str] | None = None) -> DataFrame:
     kv = "array<struct<k:string,v:string>>"
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("v")) for k, c in (properties or {}).items()]).cast(kv) if properties else F.array().cast(kv)
-    return df.select(F.lit(section).alias("section"), "ord", F.lit(kind).alias("type"), F.col(src).alias("src"), F.col(tgt).alias("tgt"), description.alias("description"), pairs.alias("properties"), F.lit(1.0).alias("weight"))
+    return df.select(*_sheet(df), F.lit(section).alias("section"), "ord", F.lit(kind).alias("type"), F.col(src).alias("src"), F.col(tgt).alias("tgt"), description.alias("description"), pairs.alias("properties"), F.lit(1.0).alias("weight"))
 
 
 def edges(authored: dict[str, DataFrame], terminals: DataFrame, nets: DataFrame, wires: DataFrame) -> DataFrame:
     """Typed edges in one order: terminals of components, terminals on nets, wires, parts of subsystems, authored edges."""
     has = terminals.join(authored["components"].select(F.col("id").alias("c")), F.col("c") == F.col("parent_component"))
     on = terminals.filter("net IS NOT NULL").join(nets.select(F.col("id").alias("n")), F.col("n") == F.col("net"))
-    part = authored["subsystems"].select(F.col("id").alias("s"), "ord", F.posexplode("member_components").alias("at", "m")).withColumn("ord", F.col("ord") * 1000 + F.col("at"))
+    part = authored["subsystems"].select(*_sheet(authored["subsystems"]), F.col("id").alias("s"), "ord", F.posexplode("member_components").alias("at", "m")).withColumn("ord", F.col("ord") * 1000 + F.col("at"))
     own = authored["edges"]
-    own = own.select(F.lit(5).alias("section"), "ord", "type", "src", "tgt", F.concat_ws(" ", "src", F.lower(F.replace("type", F.lit("_"), F.lit(" "))), F.concat("tgt", F.lit("."))).alias("description"), F.array().cast("array<struct<k:string,v:string>>").alias("properties"), F.lit(1.0).alias("weight"))
+    own = own.select(*_sheet(own), F.lit(5).alias("section"), "ord", "type", "src", "tgt", F.concat_ws(" ", "src", F.lower(F.replace("type", F.lit("_"), F.lit(" "))), F.concat("tgt", F.lit("."))).alias("description"), F.array().cast("array<struct<k:string,v:string>>").alias("properties"), F.lit(1.0).alias("weight"))
     text = F.concat_ws
     parts = [
         _edge(has, 1, "HAS_TERMINAL", "parent_component", "id", text(" ", "parent_component", F.lit("has terminal"), F.concat("id", F.lit("."))), {"function": "function"}),

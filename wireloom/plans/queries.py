@@ -14,7 +14,7 @@ from ..operators.components import components
 from ..operators.matching import greedy_match
 from ..operators.spatial import band_join, nearest
 from ..sources import sheet
-from ..sources.bridge import heavy_edges, net_edges, points, table, terminals, wires
+from ..sources.bridge import net_edges, points, table, terminals, wires
 from ..streaming.events import sessions, windowed
 from . import extract, kg, netlist, query, simulate, tiles
 
@@ -106,8 +106,8 @@ def rel_type_histogram(spark, sf_dir):
 
 
 KG_SQL = (
-    "SELECT concat('P', p_partkey) AS entity_name, lower(p_type) AS entity_type, concat('P', p_partkey, ' is a ', lower(p_type), ' on drawing D1. ', p_name, CASE WHEN p_name LIKE '%.' THEN '' ELSE '' END, ' It is drawn in the ', p_brand, ' area of the schematic.') AS description FROM part "
-    "UNION ALL SELECT concat('N', o_orderkey), 'net', concat('Net N', o_orderkey, ' is an electrically common node on the schematic. It carries a ', o_orderstatus, ' signal. No member terminals were resolved for this net. Every point on this net sees the same potential, so a fault anywhere on it affects all of these terminals.') FROM orders"
+    "SELECT concat('P', p_partkey) AS entity_name, lower(p_type) AS entity_type, concat(lower(p_type), ' P', p_partkey, ', sheet D1. ', p_name, ' Rated size = ', p_size, '. Other names: ', p_brand, ', ', p_type, '. Look for it in zone ', p_brand, '.') AS description FROM part "
+    "UNION ALL SELECT concat('N', o_orderkey), 'net', concat('Net N', o_orderkey, ' joins its terminals. Signal: ', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN concat('. Terminals: T', o_orderkey, ', T', o_custkey, '.') ELSE '. It has no terminals.' END) FROM orders"
 )
 
 
@@ -115,9 +115,9 @@ KG_SQL = (
 def kg_entities(spark, sf_dir):
     none = F.lit(None).cast("string")
     parts = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("P"), "p_partkey").alias("id"), F.lower("p_type").alias("class"), F.col("p_name").alias("description"), F.array().cast("array<struct<k:string,v:string>>").alias("ratings"), F.array().cast("array<string>").alias("aliases"), F.col("p_brand").alias("zone"),
+        F.concat(F.lit("P"), "p_partkey").alias("id"), F.lower("p_type").alias("class"), F.col("p_name").alias("description"), F.array(F.struct(F.lit("size").alias("k"), F.col("p_size").cast("string").alias("v"))).alias("ratings"), F.array("p_brand", "p_type").alias("aliases"), F.col("p_brand").alias("zone"),
     )
-    nets = table(spark, sf_dir, "orders").select(F.concat(F.lit("N"), "o_orderkey").alias("id"), F.col("o_orderstatus").alias("signal_type"), none.alias("nominal_voltage"), F.array().cast("array<string>").alias("member_terminals"))
+    nets = table(spark, sf_dir, "orders").select(F.concat(F.lit("N"), "o_orderkey").alias("id"), F.col("o_orderstatus").alias("signal_type"), none.alias("nominal_voltage"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.concat(F.lit("T"), "o_orderkey"), F.concat(F.lit("T"), "o_custkey"))).otherwise(F.array().cast("array<string>")).alias("member_terminals"))
     a = parts.select(F.col("id").alias("entity_name"), F.col("class").alias("entity_type"), kg.describe_component(parts, F.lit("D1")).alias("description"))
     return a.union(nets.select("id", F.lit("net"), kg.describe_net(nets)))
 
@@ -129,13 +129,13 @@ def kg_keywords(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_shipdate").alias("c"), kg.keywords(F.lit("CONNECTS_TO"), properties).alias("keywords"))
 
 
-@registered("describe_wires", f"SELECT net, concat('Wire W', net, '-', from_part, ' is a ', CASE WHEN from_part % 3 = 0 THEN '' ELSE 'BLUE 18AWG ' END, 'conductor. It runs from ', from_part, ' to ', to_part, '. It carries net ', net, '.') AS description FROM {W_SQL}")
+@registered("describe_wires", f"SELECT net, concat('Wire W', net, '-', from_part, CASE WHEN from_part % 3 = 0 THEN '' ELSE ', BLUE 18AWG' END, '. From ', from_part, ' to ', to_part, '.', CASE WHEN from_part % 5 = 0 THEN ' Cable: K5.' ELSE '' END, ' Net: ', net, '.') AS description FROM {W_SQL}")
 def describe_wires(spark, sf_dir):
     w = wires(spark, sf_dir)
     bare = F.col("from_part") % 3 == 0
     df = w.select(
         "net", F.concat_ws("-", F.concat(F.lit("W"), F.col("net").cast("string")), F.col("from_part").cast("string")).alias("id"), F.when(~bare, "BLUE").alias("color"), F.when(~bare, "18AWG").alias("gauge"),
-        F.col("from_part").cast("string").alias("from_terminal"), F.col("to_part").cast("string").alias("to_terminal"), F.lit(None).cast("string").alias("cable"),
+        F.col("from_part").cast("string").alias("from_terminal"), F.col("to_part").cast("string").alias("to_terminal"), F.when(F.col("from_part") % 5 == 0, "K5").alias("cable"),
     )
     return df.select("net", kg.describe_wire(df).alias("description"))
 
@@ -258,10 +258,15 @@ def orientation_kinds(spark, sf_dir):
 
 # Graphs
 
-CC_SQL = """
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, w) AS (SELECT a, a FROM u UNION SELECT r.v, u.b FROM r JOIN u ON u.a = r.w)
-SELECT v AS vertex, min(w) AS component FROM r GROUP BY 1"""
+E_SQL = "(SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)"
+CC_SQL = f"""
+WITH RECURSIVE u AS (SELECT a, b FROM {E_SQL} UNION ALL SELECT b, a FROM {E_SQL}),
+r(v, low) USING KEY (v) AS (
+  SELECT DISTINCT a, a FROM u
+  UNION
+  SELECT u.a, min(r.low) FROM r JOIN u ON u.b = r.v JOIN recurring.r AS old ON old.v = u.a WHERE r.low < old.low GROUP BY u.a
+)
+"""
 
 
 def _named(e: DataFrame) -> DataFrame:
@@ -269,18 +274,18 @@ def _named(e: DataFrame) -> DataFrame:
     return every.join(components(e), F.col("vertex") == F.col("a"), "left").select(F.col("a").alias("vertex"), F.coalesce("component", "a").alias("component"))
 
 
-@registered("nets_cc", CC_SQL)
-def nets_cc(spark, sf_dir):
-    """Nets of the heavy line items only, which is what WITH RECURSIVE can check; nets_whole has them all."""
-    return _named(heavy_edges(spark, sf_dir))
-
-
-@registered("nets_whole")
+@registered("nets_whole", CC_SQL + "SELECT v AS vertex, low AS component FROM r")
 def nets_whole(spark, sf_dir):
-    """Nets of all terminals; tests hold it against a plain union-find."""
+    """Nets of all terminals: the component of each order and part, also held against a plain union-find in the tests."""
     return _named(net_edges(spark, sf_dir))
 
 
+@registered("nets_cc", CC_SQL + "SELECT low AS component, count(*) FILTER (v >= 0) AS orders, count(*) FILTER (v < 0) AS parts FROM r GROUP BY 1")
+def nets_cc(spark, sf_dir):
+    """The size of each net of all terminals."""
+    return _named(net_edges(spark, sf_dir)).groupBy("component").agg(F.count_if(F.col("vertex") >= 0).alias("orders"), F.count_if(F.col("vertex") < 0).alias("parts"))
+
+
 @registered("degree_junctions", f"SELECT part AS node, count(*) AS degree FROM (SELECT from_part AS part FROM {W_SQL} UNION ALL SELECT to_part FROM {W_SQL}) GROUP BY 1 HAVING count(*) >= 3")
 def degree_junctions(spark, sf_dir):
     ends = wires(spark, sf_dir).select(F.explode(F.array("from_part", "to_part")).alias("node"))
@@ -470,3 +475,204 @@ def grid_clusters(spark, sf_dir):
     p = points(spark, sf_dir)
     strokes = p.select(F.col("label").alias("page"), F.col("id").alias("stroke"), (F.col("x") * 40).alias("x0"), (F.col("y") * 40).alias("y0"), (F.col("x") * 40 + 0.5).alias("x1"), (F.col("y") * 40 + 0.5).alias("y1"))
     return graph.glyph_clusters(strokes)
+
+
+# The library's own functions over whole tables
+
+def _catalogue(spark, sf_dir) -> dict[str, DataFrame]:
+    """A netlist of which only what a question reads is there: parts as components, orders as nets, customers as cables."""
+    text = lambda c: F.col(c).cast("string")
+    wire = wires(spark, sf_dir)
+    id_ = F.concat_ws("-", F.concat(F.lit("W"), text("net")), text("from_part"))
+    return {
+        "components": table(spark, sf_dir, "part").select(F.concat(F.lit("P"), text("p_partkey")).alias("id"), F.when(F.col("p_size") == 7, "external_machine").otherwise(F.col("p_type")).alias("class"), F.col("p_brand").alias("part_number"), F.col("p_name").alias("description"), F.array("p_type").alias("aliases")),
+        "terminals": terminals(spark, sf_dir).select("id", F.concat(F.lit("P"), text("part")).alias("parent_component"), text("net").alias("net")),
+        "nets": table(spark, sf_dir, "orders").select(F.concat(F.lit("N"), text("o_orderkey")).alias("id"), F.col("o_orderpriority").alias("description")),
+        "wires": wire.select(id_.alias("id"), F.lit("BLUE").alias("color"), F.lit("18AWG").alias("gauge"), text("net").alias("net"), F.lit(None).cast("string").alias("cable"), F.concat_ws(":", text("from_part"), text("net")).alias("from_terminal"), F.concat_ws(":", text("to_part"), text("net")).alias("to_terminal")),
+        "cables": table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"), F.col("c_mktsegment").alias("description")),
+        "subsystems": table(spark, sf_dir, "nation").select(F.col("n_name").alias("id")),
+    }
+
+
+@registered("library_parts_list", "SELECT p_type AS class, p_brand AS part_number, count(*) AS quantity FROM part WHERE p_size <> 7 GROUP BY 1, 2")
+def library_parts_list(spark, sf_dir):
+    return query.bill_of_materials(_catalogue(spark, sf_dir))
+
+
+@registered("library_search", f"""
+SELECT 'components' AS kind, concat('P', p_partkey) AS id FROM part WHERE contains(lower(concat_ws(' ', concat('P', p_partkey), p_name, p_type)), 're')
+UNION ALL SELECT 'nets', concat('N', o_orderkey) FROM orders WHERE contains(lower(o_orderpriority), 're')
+UNION ALL SELECT 'cables', c_name FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 're')
+UNION ALL SELECT 'subsystems', n_name FROM nation WHERE contains(lower(n_name), 're')""")
+def library_search(spark, sf_dir):
+    return query.search(_catalogue(spark, sf_dir), "re")
+
+
+@registered("library_wire_labels", f"""SELECT concat('W', net, '-', from_part) AS id, unnest([1, 2]) AS "end", unnest([concat(from_part, ':', net), concat(to_part, ':', net)]) AS terminal, 'BLUE' AS color, '18AWG' AS gauge, CAST(net AS VARCHAR) AS net FROM {W_SQL}""")
+def library_wire_labels(spark, sf_dir):
+    return query.wire_labels(_catalogue(spark, sf_dir)).drop("cable")
+
+
+@registered("library_pin_out", f"WITH t AS (SELECT concat(part, ':', net) AS id, part, net FROM {T_SQL}) SELECT a.id AS terminal, CAST(a.net AS VARCHAR) AS net, b.id AS other FROM t a LEFT JOIN t b ON a.net = b.net AND a.id <> b.id WHERE a.part = 7")
+def library_pin_out(spark, sf_dir):
+    return query.pin_out(_catalogue(spark, sf_dir), "P7")
+
+
+@registered("library_shared_nets", f"SELECT CAST(a.net AS VARCHAR) AS net, a.id AS terminal_1, b.id AS terminal_2 FROM {T_SQL} a JOIN {T_SQL} b ON a.net = b.net WHERE a.part = 3 AND b.part = 11")
+def library_shared_nets(spark, sf_dir):
+    return query.shared_nets(_catalogue(spark, sf_dir), "P3", "P11")
+
+
+S_SQL = "(SELECT DISTINCT l_returnflag AS d, l_orderkey % 1000 AS net, l_partkey AS part FROM lineitem)"
+
+
+@registered("sheets_members", f"SELECT concat(d, '#', net) AS id, string_agg(concat(d, '#', part, ':', net), ',' ORDER BY concat(d, '#', part, ':', net)) AS members FROM {S_SQL} GROUP BY d, net")
+def sheets_members(spark, sf_dir):
+    """Members of nets of several sheets whose ids clash: a return flag is a drawing, and orders share 1,000 net ids."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("drawing_no"), (F.col("l_orderkey") % 1000).cast("string").alias("net"), F.col("l_partkey").cast("string").alias("component")).distinct()
+    sheets = netlist.qualified({
+        "drawing": rows.select(F.col("drawing_no").alias("drawing_number")).distinct(),
+        "terminals": rows.select("drawing_no", F.concat_ws(":", "component", "net").alias("id"), F.col("component").alias("parent_component"), "net"),
+        "nets": rows.select("drawing_no", F.col("net").alias("id")).distinct(),
+    })
+    return netlist.members(sheets["nets"], sheets["terminals"], "net", "id", "members").select("id", F.array_join("members", ",").alias("members"))
+
+
+SHEETS_SQL = """
+WITH s AS (SELECT unnest(['A', 'B']) AS d),
+c AS (SELECT d, concat(d, '#', id) AS entity_name, kind FROM s, (VALUES ('R1', 'relay'), ('N1', 'net'), ('R1:1', 'terminal'), ('R1:2', 'terminal')) v(id, kind) UNION ALL SELECT d, concat('sheet ', d), 'drawing' FROM s)
+SELECT entity_name, kind AS entity_type, concat(d, '::entity::', entity_name) AS source_id FROM c
+UNION ALL SELECT concat(d, '#R1', t), 'ON_NET', concat(d, '::rel::0000', n) FROM s, (VALUES (':1', 3), (':2', 4)) v(t, n)
+UNION ALL SELECT concat(d, '#R1'), 'HAS_TERMINAL', concat(d, '::rel::0000', n) FROM s, (VALUES (1), (2)) v(n)
+"""
+
+
+def _two_sheets(spark) -> dict[str, DataFrame]:
+    """Two sheets with the same ids: a relay with two terminals on one net."""
+    rows = lambda values, schema: spark.createDataFrame(values, schema)
+    both = lambda *values: [(d, *v) for d in "AB" for v in values]
+    kv = "array<struct<k:string,v:string>>"
+    return {
+        "drawing": rows([(d, "1", "t", None, None, [], []) for d in ("A", "B")], "drawing_number string, revision string, title string, date string, assembly string, references array<string>, notes array<string>"),
+        "components": rows(both(("R1", "relay", "a relay of the test", [], [], 1)), f"drawing_no string, id string, class string, description string, ratings {kv}, aliases array<string>, ord int"),
+        "terminals": rows(both(("R1", "1", None, "N1", 1), ("R1", "2", None, "N1", 2)), "drawing_no string, component string, terminal string, function string, net string, ord int"),
+        "nets": rows(both(("N1", "signal", None, 1)), "drawing_no string, id string, signal_type string, nominal_voltage string, ord int"),
+        "wires": rows([], "drawing_no string, from_terminal string, to_terminal string, color string, gauge string, net string, cable string, ord int"),
+        "cables": rows([], "drawing_no string, id string, ord int"), "subsystems": rows([], "drawing_no string, id string, member_components array<string>, ord int"), "edges": rows([], "drawing_no string, type string, src string, tgt string, ord int"),
+    }
+
+
+@registered("sheets_graph", SHEETS_SQL)
+def sheets_graph(spark, sf_dir):
+    """Entities and relationships of two sheets whose ids clash."""
+    g = kg.build(netlist.derive(netlist.qualified(_two_sheets(spark))))
+    name = F.when(F.col("entity_type") == "drawing", F.concat(F.lit("sheet "), "entity_name")).otherwise(F.col("entity_name"))
+    source = F.when(F.col("entity_type") == "drawing", F.concat(F.col("entity_name"), F.lit("::entity::sheet "), F.col("entity_name"))).otherwise(F.col("source_id"))
+    return g["entities"].select(name.alias("entity_name"), "entity_type", source.alias("source_id")).union(g["relationships"].select("src_id", "type", "source_id"))
+
+
+def _faulty(spark, sf_dir) -> dict[str, DataFrame]:
+    """A graph with faults of each kind: parts by name are entities, terminals are relationships to orders."""
+    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("entity_name"), F.lower("p_type").alias("entity_type"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("source_id"), (F.col("p_size") % 10 == 0).alias("lost"))
+    rel = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("source_id"), F.when(F.col("o_orderstatus") == "P", "MADE_UP").otherwise("ON_NET").alias("type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src_id"), F.col("o_orderpriority").alias("tgt_id"), F.when(F.col("o_orderkey") % 9 > 0, "on net").otherwise(" ").alias("keywords"),
+    )
+    return {"entities": part.drop("lost"), "relationships": rel, "chunks": part.filter("NOT lost").select("source_id")}
+
+
+FAULTS_SQL = """
+WITH e AS (SELECT p_name AS n, concat('s', p_partkey) AS s, length(concat(p_name, ' ', p_type)) AS l, p_size % 10 = 0 AS lost FROM part), r AS (SELECT * FROM orders)
+SELECT 'problem' AS severity, 'duplicate entity name' AS "check", n AS id FROM e GROUP BY n HAVING count(*) > 1
+UNION ALL SELECT 'problem', 'undefined end of a relationship', id FROM (SELECT concat('c', o_custkey) AS id FROM r UNION SELECT o_orderpriority FROM r) WHERE id NOT IN (SELECT n FROM e)
+UNION ALL SELECT 'problem', 'entity without a chunk', n FROM e WHERE lost
+UNION ALL SELECT DISTINCT 'problem', 'unknown relationship type', 'MADE_UP' FROM r WHERE o_orderstatus = 'P'
+UNION ALL SELECT 'problem', 'short description', n FROM e WHERE l < 25
+UNION ALL SELECT 'problem', 'relationship without keywords', concat('r', o_orderkey) FROM r WHERE o_orderkey % 9 = 0
+UNION ALL SELECT 'note', 'terminal without a net', concat('t', l_orderkey, '-', l_linenumber) FROM lineitem WHERE l_returnflag = 'A'
+"""
+
+
+@registered("library_validate", FAULTS_SQL)
+def library_validate(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("t"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("id"), F.when(F.col("l_returnflag") != "A", F.col("l_orderkey")).alias("net"))
+    return kg.validate(_faulty(spark, sf_dir), t)
+
+
+@registered("library_report", "SELECT 'entities' AS section, lower(p_type) AS name, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'relationships', CASE WHEN o_orderstatus = 'P' THEN 'MADE_UP' ELSE 'ON_NET' END, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'unused', unnest(['HAS_TERMINAL', 'CONNECTS_TO', 'POWERS', 'PROTECTS', 'ACTUATES', 'COIL_CONTROLS_CONTACT', 'PART_OF', 'GROUNDED_TO', 'REFERENCES']), 0")
+def library_report(spark, sf_dir):
+    return kg.report(_faulty(spark, sf_dir))
+
+
+def _marks(spark, sf_dir) -> DataFrame:
+    """Line items as drawing primitives: the flag is the page, the quantity the length, the status the layer."""
+    x = F.col("l_quantity")
+    at = [F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), x.alias("x1"), F.lit(0.0).alias("y1")]
+    box = [F.lit(0.0).alias("group_x0"), F.lit(0.0).alias("group_y0"), x.alias("group_x1"), (x * (1 + F.col("l_discount") * 10)).alias("group_y1")]
+    op = F.when(F.col("l_linenumber") == 1, "c").when(F.col("l_linenumber") == 2, "re").otherwise("l")
+    group = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    return table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").alias("page"), group.alias("group_id"), F.lit(0).alias("item"), F.col("l_linestatus").alias("layer"), op.alias("op"), *at, *box)
+
+
+@registered("library_routes", """
+SELECT ascii(l_returnflag) AS page, CASE WHEN l_linenumber = 1 AND abs(l_quantity * l_discount * 10) < 0.6 * l_quantity * (1 + l_discount * 10) THEN 'route circle'
+  WHEN l_linenumber = 1 THEN 'route stroke' WHEN l_linenumber = 2 THEN 'route rect' WHEN l_quantity < 8 THEN 'route stroke' ELSE 'route segment' END AS name, count(*) AS n FROM lineitem GROUP BY 1, 2
+UNION ALL SELECT ascii(l_returnflag), concat('layer ', l_linestatus), count(*) FROM lineitem GROUP BY 1, 2""")
+def library_routes(spark, sf_dir):
+    return extract.stats(extract.routed(_marks(spark, sf_dir)), {})
+
+
+L_SQL = "(SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'graphic' ELSE 'h' END AS orientation, value / 300 AS confidence, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS text, user_id AS page FROM events)"
+
+
+def _doubtful(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("page"), F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "graphic").otherwise("h").alias("orientation"), (F.col("value") / 300).alias("confidence"), F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("event_type")).alias("text"),
+        F.col("value").alias("x0"), F.lit(10.0).alias("y0"), (F.col("value") + 20).alias("x1"), F.lit(14.0).alias("y1"),
+    )
+
+
+@registered("crop_targets", f"SELECT page, id FROM {L_SQL} WHERE orientation <> 'graphic' AND (confidence < 0.7 OR text = '')")
+def crop_targets(spark, sf_dir):
+    """Labels that a person has to look at, as crops: those of the review queue that are doubtful and no graphic."""
+    names = _doubtful(spark, sf_dir)
+    none = spark.createDataFrame([], "page long, id string, net_label string, color string, gauge string, endpoints array<double>")
+    nets = spark.createDataFrame([], "page long, id string, conflicting_labels boolean, labels_seen array<string>, member_conductors array<string>")
+    queue = extract.review_queue(names.withColumn("raw_ocr", F.col("text")).withColumn("id", F.col("id").cast("string")), none, nets)
+    return tiles.crop_targets(names.withColumn("id", F.col("id").cast("string")), queue).select("page", F.col("id").cast("long").alias("id"))
+
+
+@registered("crop_boxes", "SELECT event_id AS id, CAST(greatest(0.0, least(1224 * 600 / 72.0, (value - 2.5) * 600 / 72.0)) AS INTEGER) AS left_px, too_small FROM (SELECT event_id, value, false AS too_small FROM events) WHERE false UNION ALL SELECT event_id, CAST(floor(greatest(0.0, (value - 2.5)) * 600 / 72) AS INTEGER), value - 2.5 >= 1224 - 4 * 72 / 600.0 FROM events WHERE value < 1200")
+def crop_boxes(spark, sf_dir):
+    """The left edge, in pixels, of the padded crop of each label."""
+    size = F.lit(1224.0)
+    box = tiles.crop(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, size)
+    return _doubtful(spark, sf_dir).filter("x0 < 1200").select("id", box["left"].alias("left_px"), box["too_small"].alias("too_small"))
+
+
+N_SQL = "(SELECT o_custkey % 50 AS page, o_orderkey AS id, o_custkey AS node, CASE WHEN o_orderkey % 3 > 0 THEN concat(o_custkey % 7, '-', o_orderstatus) END AS label FROM orders)"
+
+
+@registered("library_nets", f"""
+WITH RECURSIVE c AS (SELECT * FROM {N_SQL}),
+u AS (SELECT page, concat('i', id) AS a, concat('n', node) AS b FROM c UNION ALL SELECT page, concat('i', id), concat('l', label) FROM c WHERE label IS NOT NULL),
+both_ AS (SELECT page, a, b FROM u UNION ALL SELECT page, b, a FROM u),
+r(page, v, low) USING KEY (page, v) AS (
+  SELECT DISTINCT page, a, a FROM both_
+  UNION
+  SELECT k.page, k.a, min(r.low) FROM r JOIN both_ k ON k.b = r.v AND k.page = r.page JOIN recurring.r AS old ON old.v = k.a AND old.page = k.page WHERE r.low < old.low GROUP BY k.page, k.a
+), m AS (SELECT c.*, r.low FROM c JOIN r ON r.v = concat('i', c.id) AND r.page = c.page),
+n AS (SELECT page, low, label, count(*) AS n, min(format('C{{:09d}}', id)) AS first FROM m WHERE label IS NOT NULL GROUP BY ALL),
+w AS (SELECT page, low, arg_min(label, (-n, first)) AS name, count(*) AS seen FROM n GROUP BY ALL),
+a AS (SELECT page, low, count(*) AS size, min(format('C{{:09d}}', id)) AS first FROM m GROUP BY ALL)
+SELECT a.page, coalesce(w.name, format('NET-UNLABELLED-{{:03d}}', row_number() OVER (PARTITION BY a.page ORDER BY first))) AS id, a.size AS conductors, coalesce(w.seen, 0) > 1 AS conflicting FROM a LEFT JOIN w ON w.page = a.page AND w.low = a.low""")
+def library_nets(spark, sf_dir):
+    """Nets of orders as conductors: customers are nodes, a third of the orders has no label."""
+    o = table(spark, sf_dir, "orders")
+    wires_ = o.select((F.col("o_custkey") % 50).alias("page"), F.format_string("C%09d", "o_orderkey").alias("id"), F.array("o_custkey").alias("end_nodes"), F.when(F.col("o_orderkey") % 3 > 0, F.concat_ws("-", (F.col("o_custkey") % 7).cast("string"), "o_orderstatus")).alias("net_label"))
+    return graph.nets(wires_).select("page", "id", F.col("conductor_count").cast("long").alias("conductors"), F.col("conflicting_labels").alias("conflicting"))
+
+
+@registered("sheet_pin_out", _values("terminal, net, other", [("REVERSE-CB:1", "24E-1", None)]) + " WHERE false")
+def sheet_pin_out(spark, sf_dir):
+    return query.pin_out(_sheet(spark), "no such component")

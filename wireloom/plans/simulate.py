@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..shared import cut
+from .netlist import bare
 
 SOURCE, RETURN = "24E-1", "0V"
 
@@ -68,7 +69,7 @@ def simulate(netlist: dict[str, DataFrame], settings: DataFrame) -> dict[str, Da
         shut = acting.filter(F.when(F.col("hand"), F.coalesce("closed", F.lit(True))).otherwise(lit == F.col("when_on")))
         found = components(shut.select(node("scenario", "net_1").alias("a"), node("scenario", "net_2").alias("b")))
         groups = nets.withColumn("v", node("scenario", "net")).join(found, F.col("vertex") == F.col("v"), "left").select("scenario", "net", F.coalesce("component", "v").alias("group"))
-        live = groups.groupBy("group").agg(F.bool_or(F.col("net") == SOURCE).alias("has24"), F.bool_or(F.col("net") == RETURN).alias("has0"))
+        live = groups.groupBy("group").agg(F.bool_or(bare(F.col("net")) == SOURCE).alias("has24"), F.bool_or(bare(F.col("net")) == RETURN).alias("has0"))
         state = cut(groups.join(live, "group").select("scenario", "net", "has24", "has0"), "state")
         one = state.select("scenario", F.col("net").alias("net_1"), F.col("has24").alias("p1"), F.col("has0").alias("z1"))
         two = state.select("scenario", F.col("net").alias("net_2"), F.col("has24").alias("p2"), F.col("has0").alias("z2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,5 +33,23 @@ def sheets(items: DataFrame, key: list[str], order: list[str], per_sheet: int, c
     return at.withColumn("sheet", (F.floor(F.col("wireloom_n") / per_sheet) + 1).cast("int")).withColumn("row", (F.floor(on / cols) + 1).cast("int")).withColumn("col", (on % cols + 1).cast("int")).drop("wireloom_n")
 
 
-def regions(spark: SparkSession, boxes: list[tuple[int, float, float, float, float]]) -> DataFrame:
-    return spark.createDataFrame(boxes, "page int, x0 double, y0 double, x1 double, y1 double")
+def crop_targets(names: DataFrame, queue: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """The labels to crop: those with the given ids, or else those that the review queue calls doubtful and that are no graphic."""
+    if ids is not None:
+        return names.filter(F.col("id").isin(ids))
+    flagged = queue.filter("kind = 'low_confidence_label'").select("page", "id").distinct()
+    return names.filter("orientation <> 'graphic'").join(flagged, ["page", "id"], "left_semi")
+
+
+def annotated(names: DataFrame, tile: DataFrame, queue: DataFrame) -> DataFrame:
+    """(tile, id, flagged, box on the tile) of the labels that lie on each tile of their page; flagged ones are in the review queue."""
+    flags = queue.filter("kind = 'low_confidence_label'").select("page", F.col("id").alias("flag")).distinct()
+    t = tile.select("page", "tile", F.col("x0").alias("tx0"), F.col("y0").alias("ty0"), F.col("x1").alias("tx1"), F.col("y1").alias("ty1"))
+    on = names.join(t, "page").filter("x0 < tx1 AND x1 > tx0 AND y0 < ty1 AND y1 > ty0")  # a page has few tiles
+    marked = on.join(flags.withColumnRenamed("page", "p"), (F.col("p") == F.col("page")) & (F.col("flag") == F.col("id")), "left")
+    return marked.select("page", "tile", "id", F.col("flag").isNotNull().alias("flagged"), *[(F.col(c) - F.col(o)).alias(c) for c, o in (("x0", "tx0"), ("y0", "ty0"), ("x1", "tx0"), ("y1", "ty0"))])
+
+
+def write_manifest(manifest: DataFrame, path: str, mode: str = "error") -> None:
+    """A manifest of tiles, crops or sheets as JSON lines."""
+    manifest.write.mode(mode).json(path)

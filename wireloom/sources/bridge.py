@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, part, net)."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("part")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("part")).repartition("net").distinct()  # the distinct and what follows by net share one exchange
     return rows.select(F.concat_ws(":", F.col("part").cast("string"), F.col("net").cast("string")).alias("id"), "part", "net")
 
 
@@ -32,12 +32,6 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"), "label")
 
 
-def heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b): orders and parts of discounted line items of 49 pieces or more, as vertices o and -p."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09")
-    return rows.select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey")).alias("b")).distinct()
-
-
 def net_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b): orders and parts of all terminals, as vertices o and -1 - p; keys begin at 0, so -p would meet order 0."""
     return terminals(spark, sf_dir).select(F.col("net").alias("a"), (-1 - F.col("part")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
