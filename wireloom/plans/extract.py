@@ -141,6 +141,37 @@ def stats(routes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def counters(routes: DataFrame, tables: dict[str, DataFrame], prm: Params = Params()) -> DataFrame:
+    """(page, name, n): the counts of a page, those with a condition included; one pass over each table.
+
+    Every page that has a primitive or a row has every counter of that table.
+    """
+    counted = {
+        "routes": {"glyph_strokes": F.col("route") == "stroke", "conductor_segments": F.col("route") == "segment"},
+        "glyphs": {"glyph_clusters": F.lit(True)},
+        "labels": {"text_labels": F.col("orientation") != "graphic", "labels_read": F.col("text") != "", "labels_low_confidence": (F.col("orientation") != "graphic") & (F.col("confidence") < prm.review_confidence)},
+        "conductors": {"conductors": F.lit(True), "conductors_with_net_label": F.coalesce("net_label", F.lit("")) != "", "conductors_with_spec_label": F.coalesce("spec_label", F.lit("")) != ""},
+        "junctions": {"junctions": F.lit(True)}, "boxes": {"boxes": F.lit(True)},
+        "symbols": {"symbols_terminal_points": F.col("kind") == "terminal_point", "symbols_device_circles": F.col("kind") == "device_circle"},
+        "nets": {"nets": F.lit(True), "nets_labelled": F.col("labelled")}, "review_queue": {"review_items": F.lit(True)},
+    }
+    out = None
+    for table, conditions in counted.items():
+        df = routes if table == "routes" else tables.get(table)
+        if df is None:
+            continue
+        wide = df.groupBy("page").agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
+        long = wide.select("page", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in conditions])))
+        out = long if out is None else out.union(long)
+    return out
+
+
+def text_source(pages: DataFrame) -> DataFrame:
+    """(has_embedded_text, text_source) of a document's pages (page, text): whether any page carries text of its own."""
+    any_text = pages.agg(F.coalesce(F.bool_or(F.trim(F.coalesce("text", F.lit(""))) != ""), F.lit(False)).alias("has_embedded_text"))
+    return any_text.withColumn("text_source", F.when(F.col("has_embedded_text"), "strokes, beside embedded text").otherwise("strokes alone: every label has to be verified"))
+
+
 def extract(primitives: DataFrame, label_boxes: DataFrame | None = None, prm: Params = Params(), known_designators: list[str] | None = None) -> dict[str, DataFrame]:
     """All tables of the geometry layer.
 
@@ -161,4 +192,6 @@ def extract(primitives: DataFrame, label_boxes: DataFrame | None = None, prm: Pa
     crossings = crossings.withColumn("id", F.format_string("J%04d", F.row_number().over(Window.partitionBy("page").orderBy("node"))))
     rects = routes.filter("route = 'rect'").select("page", "x0", "y0", "x1", "y1", F.round(F.col("x1") - F.col("x0"), 2).alias("width"), F.round(F.col("y1") - F.col("y0"), 2).alias("height"), "layer")
     out = {"labels": names, "symbols": marks, "conductors": wires, "boxes": loops, "junctions": crossings, "nets": nets, "rects": rects, "bindings": bindings(wires, marks, names, prm), "review_queue": review_queue(names, wires, nets, prm)}
-    return out | {"stats": stats(routes, {k: v for k, v in out.items() if k != "bindings"}), "dropped": routes.filter("route = 'dropped'")}
+    out["counters"] = counters(routes, out, prm)
+    out["params"] = primitives.sparkSession.createDataFrame([(prm.to_json(),)], "params string")
+    return out | {"stats": stats(routes, {k: v for k, v in out.items() if k not in ("bindings", "counters", "params")}), "dropped": routes.filter("route = 'dropped'")}

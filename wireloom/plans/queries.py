@@ -642,7 +642,7 @@ def crop_targets(spark, sf_dir):
     return tiles.crop_targets(names.withColumn("id", F.col("id").cast("string")), queue).select("page", F.col("id").cast("long").alias("id"))
 
 
-@registered("crop_boxes", "SELECT event_id AS id, CAST(greatest(0.0, least(1224 * 600 / 72.0, (value - 2.5) * 600 / 72.0)) AS INTEGER) AS left_px, too_small FROM (SELECT event_id, value, false AS too_small FROM events) WHERE false UNION ALL SELECT event_id, CAST(floor(greatest(0.0, (value - 2.5)) * 600 / 72) AS INTEGER), value - 2.5 >= 1224 - 4 * 72 / 600.0 FROM events WHERE value < 1200")
+@registered("crop_boxes", "SELECT event_id AS id, CAST(floor(greatest(0.0::DOUBLE, (value - 2.5) * (600::DOUBLE / 72))) AS INTEGER) AS left_px, false AS too_small FROM events WHERE value < 1200")
 def crop_boxes(spark, sf_dir):
     """The left edge, in pixels, of the padded crop of each label."""
     size = F.lit(1224.0)
@@ -673,6 +673,94 @@ def library_nets(spark, sf_dir):
     return graph.nets(wires_).select("page", "id", F.col("conductor_count").cast("long").alias("conductors"), F.col("conflicting_labels").alias("conflicting"))
 
 
-@registered("sheet_pin_out", _values("terminal, net, other", [("REVERSE-CB:1", "24E-1", None)]) + " WHERE false")
+C_SQL = "(SELECT o_custkey % 5 AS page, o_orderkey % 4 = 0 AS net, o_orderkey % 7 < 2 AS spec FROM orders)"
+
+
+@registered("library_counters", f"""
+WITH m AS (SELECT ascii(l_returnflag) AS page, l_linenumber, l_quantity AS q, l_discount AS d FROM lineitem),
+r AS (SELECT page, CASE WHEN l_linenumber = 1 AND abs(q * d * 10) < 0.6 * q * (1 + d * 10) THEN 'circle' WHEN l_linenumber = 1 THEN 'stroke' WHEN l_linenumber = 2 THEN 'rect' WHEN q < 8 THEN 'stroke' ELSE 'segment' END AS route FROM m),
+o AS (SELECT page, count(*) FILTER (route = 'stroke') AS glyph_strokes, count(*) FILTER (route = 'segment') AS conductor_segments FROM r GROUP BY 1),
+l AS (SELECT page, count(*) FILTER (orientation <> 'graphic') AS text_labels, count(*) FILTER (text <> '') AS labels_read, count(*) FILTER (orientation <> 'graphic' AND confidence < 0.7) AS labels_low_confidence FROM {L_SQL} GROUP BY 1),
+c AS (SELECT page, count(*) AS conductors, count(*) FILTER (net) AS conductors_with_net_label, count(*) FILTER (spec) AS conductors_with_spec_label FROM {C_SQL} GROUP BY 1),
+n AS (SELECT c_nationkey AS page, count(*) AS nets, count(*) FILTER (c_acctbal > 0) AS nets_labelled FROM customer GROUP BY 1),
+s AS (SELECT p_size AS page, count(*) FILTER (p_retailprice < 950) AS symbols_terminal_points, count(*) FILTER (p_retailprice >= 950) AS symbols_device_circles FROM part GROUP BY 1)
+SELECT page, name, n FROM (UNPIVOT o ON COLUMNS(* EXCLUDE page) INTO NAME name VALUE n) UNION ALL SELECT page, name, n FROM (UNPIVOT l ON COLUMNS(* EXCLUDE page) INTO NAME name VALUE n)
+UNION ALL SELECT page, name, n FROM (UNPIVOT c ON COLUMNS(* EXCLUDE page) INTO NAME name VALUE n) UNION ALL SELECT page, name, n FROM (UNPIVOT n ON COLUMNS(* EXCLUDE page) INTO NAME name VALUE n)
+UNION ALL SELECT page, name, n FROM (UNPIVOT s ON COLUMNS(* EXCLUDE page) INTO NAME name VALUE n)""")
+def library_counters(spark, sf_dir):
+    """The counters with a condition, over tables of which orders are conductors, customers nets and parts symbols."""
+    o = table(spark, sf_dir, "orders")
+    tables_ = {
+        "labels": _doubtful(spark, sf_dir),
+        "conductors": o.select((F.col("o_custkey") % 5).alias("page"), F.when(F.col("o_orderkey") % 4 == 0, "N").alias("net_label"), F.when(F.col("o_orderkey") % 7 < 2, "BLUE").otherwise("").alias("spec_label")),
+        "nets": table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), (F.col("c_acctbal") > 0).alias("labelled")),
+        "symbols": table(spark, sf_dir, "part").select(F.col("p_size").alias("page"), F.when(F.col("p_retailprice") < 950, "terminal_point").otherwise("device_circle").alias("kind")),
+    }
+    return extract.counters(extract.routed(_marks(spark, sf_dir)), tables_).select(F.col("page").cast("long").alias("page"), "name", "n")
+
+
+@registered("tile_labels", "SELECT page, id, concat('r', r, 'c', c) AS tile, orientation <> 'graphic' AND (confidence < 0.7 OR text = '') AS flagged FROM (SELECT l.*, value FROM " + L_SQL + " l JOIN events ON event_id = l.id), range(1, 3) a(r), range(1, 4) b(c) WHERE value < least(600.0, c * 200 + 10) AND value + 20 > greatest(0.0, (c - 1) * 200 - 10) AND 10 < least(40.0, r * 20 + 10) AND 14 > greatest(0.0, (r - 1) * 20 - 10)")
+def tile_labels(spark, sf_dir):
+    """Labels on the tiles of their page, with a flag on those that are doubtful."""
+    names = _doubtful(spark, sf_dir)
+    pages = names.select("page").distinct().select("page", F.lit(600).alias("width"), F.lit(40).alias("height"))
+    queue = names.filter("orientation <> 'graphic' AND (confidence < 0.7 OR text = '')").select("page", "id", F.lit("low_confidence_label").alias("kind"))
+    return tiles.annotated(names, tiles.tiles(pages, 2, 3, 10.0), queue).select("page", "id", "tile", "flagged")
+
+
+@registered("embedded_text", "SELECT bool_or(trim(coalesce(html, '')) <> '') AS has_embedded_text, CASE WHEN bool_or(trim(coalesce(html, '')) <> '') THEN 'strokes, beside embedded text' ELSE 'strokes alone: every label has to be verified' END AS text_source FROM pages")
+def embedded_text(spark, sf_dir):
+    return extract.text_source(table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("text")))
+
+
+# Further questions about the example sheet
+
+@registered("sheet_pin_out", _values("terminal, net, others", [("CR1:11", "0V", 24), ("CR1:14", "121", 1), ("CR1:A1", "NET-PB1", 1), ("CR1:A2", "0V", 24)]))
 def sheet_pin_out(spark, sf_dir):
-    return query.pin_out(_sheet(spark), "no such component")
+    return query.pin_out(_sheet(spark), "CR1").groupBy("terminal", "net").agg(F.count("other").alias("others"))
+
+
+@registered("sheet_shared_nets", _values("net, terminal_1, terminal_2", [("+24V", "CB2:1", "PS1:+")]))
+def sheet_shared_nets(spark, sf_dir):
+    return query.shared_nets(_sheet(spark), "CB2", "PS1")
+
+
+@registered("sheet_wires_at", _values("id, from_terminal, to_terminal, net", [("W021", "TB-24E1-A:3", "PB1:1", "24E-1"), ("W038", "PB1:2", "TB-PB1SP:1", "PB1-SP"), ("W039", "PB1:3", "TB-0V:5", "0V"), ("W040", "PB1:4", "CR1:A1", "NET-PB1")]))
+def sheet_wires_at(spark, sf_dir):
+    return query.wires_at(_sheet(spark), "PB1").select("id", "from_terminal", "to_terminal", "net")
+
+
+@registered("sheet_power_domains", _values("power_domain, n", [("0V_common", 5), ("115VAC", 6), ("24VDC", 14), ("control_signal", 22)]))
+def sheet_power_domains(spark, sf_dir):
+    return query.power_domains(_sheet(spark))
+
+
+@registered("sheet_loses_power", _values("breaker, net, components", [("CB1", "24E-1", 12), ("CB2", "24E-1", 12)]))
+def sheet_loses_power(spark, sf_dir):
+    n = _sheet(spark)
+    lost = [query.loses_power(n, b).groupBy("net").agg(F.count("*").alias("components")).select(F.lit(b).alias("breaker"), "net", "components") for b in ("CB1", "CB2")]
+    return lost[0].union(lost[1])
+
+
+@registered("sheet_subsystems", _values("subsystem, n", [("SUB-115VAC-INPUT", 7), ("SUB-24VDC-SUPPLY", 8), ("SUB-BYPASS", 2), ("SUB-MACHINE-INTERFACE", 7), ("SUB-OPERATOR-CONTROL", 8), ("SUB-RUN-CONTROL", 5), ("SUB-SPEED-DIRECTION", 4)]))
+def sheet_subsystems(spark, sf_dir):
+    return query.subsystems(_sheet(spark))
+
+
+@registered("sheet_boundary_nets", _values("interface, beyond, nets", [("DISCHARGE1", "DOWNSTREAM-MACHINE", "0V,111,120,130,DINSP1,DINSP2"), ("INFEED1", "UPSTREAM-MACHINE", "0V,110,120,130,IINSP1,IINSP2"), ("RECEPT1", "MXCS-P9", "0V,24E-1,DIR,RUN,SPD")]))
+def sheet_boundary_nets(spark, sf_dir):
+    return query.boundary_nets(_sheet(spark)).groupBy("interface", "beyond").agg(F.array_join(F.array_sort(F.collect_list("net")), ",").alias("nets"))
+
+
+@registered("sheet_path_status", _values('"start", goal, status', [("125", "0V", "connected"), ("SPD", "125", "undetermined"), ("L1", "N", "none")]))
+def sheet_path_status(spark, sf_dir):
+    n = _sheet(spark)
+    rows = [query.path_status(n, a, b) for a, b in (("125", "0V"), ("SPD", "125"), ("L1", "N"))]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@registered("sheet_missing_edges", _values("type, implied_by", [("POWERS", "power_supply")]))
+def sheet_missing_edges(spark, sf_dir):
+    """What a build warns of once the edges from the supply are taken away."""
+    g = kg.build(_sheet(spark))
+    return kg.missing_edges(g | {"relationships": g["relationships"].filter("type <> 'POWERS'")})

@@ -131,6 +131,22 @@ def wire_fragments(netlist: dict[str, DataFrame]) -> DataFrame:
     return named.groupBy("net").agg(F.count_distinct(F.coalesce("component", "v")).alias("pieces"))
 
 
+def path_status(netlist: dict[str, DataFrame], start: str, goal: str) -> DataFrame:
+    """(start, goal, status): connected, undetermined or none.
+
+    It is undetermined where switches don't join the nets on the sheet, but one of them leads to a net that leaves it.
+    """
+    from .simulate import switch_edges
+
+    edges = switch_edges(netlist).select(F.xxhash64("net_1").alias("a"), F.xxhash64("net_2").alias("b"))
+    nets = netlist["nets"].select("id", F.xxhash64("id").alias("v")).join(components(edges), F.col("vertex") == F.col("v"), "left").select("id", F.coalesce("component", "v").alias("group"))
+    beyond = nets.join(boundary_nets(netlist).select(F.col("net").alias("id")).distinct(), "id", "left_semi").select("group").distinct().withColumn("leaves", F.lit(True))
+    ends = nets.filter(F.col("id").isin(start, goal)).join(beyond, "group", "left")
+    found = ends.agg(F.count_distinct("group").alias("groups"), F.count("*").alias("n"), F.bool_or(F.coalesce("leaves", F.lit(False))).alias("leaves"))
+    status = F.when((F.col("groups") == 1) & (F.col("n") == (1 if start == goal else 2)), "connected").when(F.col("leaves"), "undetermined").otherwise("none")
+    return found.select(F.lit(start).alias("start"), F.lit(goal).alias("goal"), status.alias("status"))
+
+
 def path(netlist: dict[str, DataFrame], start: str, goal: str) -> DataFrame:
     """(step, at, via): a chain of nets from one net to another through switches and contacts.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
+
+from ..plans.netlist import sheeted
 
 #: A netlist document: one JSON object with a list for each table.
 NETLIST = """
@@ -19,9 +22,13 @@ relationships array<struct<type:string,src:string,tgt:string,description:string,
 TABLES = ("components", "terminals", "nets", "wires", "cables", "subsystems", "relationships")
 
 
-def read_netlist(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of netlist documents, each row with its drawing_no and its place in the list."""
-    docs = spark.read.schema(NETLIST).json(path, multiLine=True)
+def read_netlist(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The tables of netlist documents, each row with its drawing_no and its place in the list.
+
+    A file holds one document, or, with lines, a document in each line, as ``write_netlist`` writes them.  Where the
+    ids of sheets clash, ``netlist.qualified`` tells them apart.
+    """
+    docs = spark.read.schema(NETLIST).json(path, multiLine=not lines)
     number = F.col("drawing.drawing_number").alias("drawing_no")
     out = {"drawing": docs.select("drawing.*")}
     pairs = lambda c: F.coalesce(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>"))
@@ -39,9 +46,44 @@ def read_netlist(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_netlist(netlist: dict[str, DataFrame], path: str, mode: str = "error") -> None:
-    """A folder with a JSON-lines table for each part of the netlist."""
-    for name, df in netlist.items():
-        df.write.mode(mode).json(f"{path}/{name}")
+    """A JSON document in each line for each sheet, which ``read_netlist`` reads back; a sheet's rows are gathered, sheets are not."""
+    netlist = sheeted(netlist)
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(NETLIST)}
+    docs = netlist["drawing"].select("drawing_no", F.struct(*[_field(netlist["drawing"], f) for f in kinds["drawing"]]).alias("drawing"))
+    before = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)  # noqa: E731  rows hold maps, which have no order
+    for name in TABLES:
+        df = netlist[name]
+        order = [c for c in ("section", "ord", "id", "type", "src", "tgt") if c in df.columns]
+        row = F.struct(*[_field(df, f) for f in kinds[name].elementType])
+        held = df.groupBy(F.col("drawing_no").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), row.alias("row"))), before), lambda x: x["row"]).alias(name))
+        docs = docs.join(held, F.col("of") == F.col("drawing_no"), "left").drop("of").withColumn(name, F.coalesce(name, F.array().cast(kinds[name])))
+    docs.drop("drawing_no").write.mode(mode).json(path)
+
+
+def _field(df: DataFrame, field: StructField) -> Column:
+    """A document's field from a table's column of that name, or null."""
+    if field.name == "location" and "location" not in df.columns and "zone" in df.columns:
+        return F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.col("zone").alias("zone")).alias("location")
+    if field.name not in df.columns:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+    value = F.col(field.name)
+    if isinstance(field.dataType, MapType) and isinstance(df.schema[field.name].dataType, ArrayType):
+        value = F.map_from_entries(F.transform(value, lambda p: F.struct(p["k"], p["v"])))
+    return value.cast(field.dataType).alias(field.name)
+
+
+def write_geometry(tables: dict[str, DataFrame], path: str, mode: str = "error", only_counts: bool = False) -> None:
+    """The tables of the geometry layer as Parquet by page; only_counts leaves out all but the counters and parameters."""
+    for name, df in tables.items():
+        if not only_counts or name in ("counters", "params"):
+            writer = df.write.mode(mode)
+            (writer.partitionBy("page") if "page" in df.columns else writer).parquet(f"{path}/{name}")
+
+
+def read_geometry(spark: SparkSession, path: str, name: str, page: int | None = None) -> DataFrame:
+    """One table of a written geometry layer; a page is pruned at the scan."""
+    df = spark.read.parquet(f"{path}/{name}")
+    return df if page is None else df.filter(F.col("page") == page)
 
 
 def read_primitives(spark: SparkSession, path: str, page: int | None = None) -> DataFrame:
