@@ -145,12 +145,12 @@ def uses_of(planned: DataFrame, shards: int, seed: int) -> DataFrame:
     return planned.join(got, (F.col("k") == F.col("source_key")) & (F.col("b") == F.col("block"))).select("source", "block", "block_size", "passes", "remainder", "uses")
 
 
-def _taken(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = SHARDS, seed: int = 7, blocks: int = BLOCKS, block_documents: int = BLOCK_DOCUMENTS, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> tuple[DataFrame, float]:
-    """Each row of docs with what the mix takes of it, and the words of all targets."""
+def _taken(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = SHARDS, seed: int = 7, blocks: int = BLOCKS, block_documents: int = BLOCK_DOCUMENTS, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> tuple[DataFrame, float]:
+    """Each row of docs with what the mix takes of it, and the words of all targets; keep: the columns of docs that go along, else all."""
     tables = Tables(docs.sparkSession)
     mine = "wireloom_source"
     hashed = F.xxhash64(F.lit(seed), doc_id, source, text)
-    sized = docs.select(F.struct(*docs.columns).alias(ROW), sizes(text).alias("size"), F.col(source).cast("string").alias(mine), hashed.alias("wireloom_order"))
+    sized = docs.select(F.struct(*(keep or docs.columns)).alias(ROW), sizes(text).alias("size"), F.col(source).cast("string").alias(mine), hashed.alias("wireloom_order"))
     slim = tables.cut(sized.select(F.col(mine).alias("source"), "size", F.col("wireloom_order").alias("u")), "sizes")
     by_source = tables.cut(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), "sources")
     n_blocks = F.least(F.ceil(F.col("documents") / block_documents), F.greatest(F.lit(blocks), F.ceil(F.col("documents") / LARGEST))).cast("int")
@@ -180,15 +180,18 @@ def _taken(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float
     return out.select(ROW, "size", "source_size", "target", "taken", "uses", "wireloom_order"), total
 
 
-def _own(docs: DataFrame) -> list[Column]:
-    return [F.col(ROW)[c].alias(c) for c in docs.columns if c not in RESULTS]
+def _own(columns: list[str]) -> list[Column]:
+    return [F.col(ROW)[c].alias(c) for c in columns if c not in RESULTS]
 
 
-def quotas(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with size, source_size, target, taken (words that the shards drew), and the shards of its uses."""
-    taken, _ = _taken(docs, text=text, **options)
+def quotas(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """docs with size, source_size, target, taken (words that the shards drew), and the shards of its uses.
+
+    keep: the columns of docs to return, else all; texts that are not kept are not shuffled.
+    """
+    taken, _ = _taken(docs, text=text, keep=keep, **options)
     shards = F.transform(F.filter("uses", lambda u: u["words"] > 0), lambda u: u["shard"]).alias("shards")
-    return taken.select(*_own(docs), "size", "source_size", "target", "taken", shards)
+    return taken.select(*_own(keep or docs.columns), "size", "source_size", "target", "taken", shards)
 
 
 def _drawn_texts(taken: DataFrame, text: str) -> DataFrame:
@@ -206,7 +209,7 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     Sort by (shard, place) to write shards: places are hashes, which shuffle a shard locally.
     """
     taken, _ = _taken(docs, text=text, **options)
-    own = [F.col("wireloom_text").alias(text) if c == text else x for c, x in zip([c for c in docs.columns if c not in RESULTS], _own(docs), strict=True)]
+    own = [F.col("wireloom_text").alias(text) if c == text else x for c, x in zip([c for c in docs.columns if c not in RESULTS], _own(docs.columns), strict=True)]
     return _drawn_texts(taken, text).select(*own, "size", "source_size", "target", "taken", "copy", "shard", "words", "place")
 
 
@@ -223,4 +226,4 @@ def written(docs: DataFrame, text: str = "text", shards: int = SHARDS, file_byte
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quotas(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return quotas(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "shards")
