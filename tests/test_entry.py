@@ -28,3 +28,11 @@ def test_nothing_outside_imports_llm():
     for path in (REPO / "wireloom").rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_the_rest_is_collected_without_llm(tmp_path):
+    shutil.copytree(REPO / "wireloom", tmp_path / "wireloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(REPO / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and "error" not in said.stdout.lower().splitlines()[-1], said.stdout[-2000:]
