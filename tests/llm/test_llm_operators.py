@@ -294,3 +294,26 @@ def test_cells_grow_with_clustered_vectors():
     flat = rng.normal(size=(4000, 64))
     flat /= np.linalg.norm(flat, axis=1, keepdims=True)
     assert [len(embedding_dedup.cheapest(flat, n, 0.95, 8192)) for n in (10_000, 50_000)] == [8, 8]
+
+
+@pytest.mark.parametrize(("shard_bytes", "block_ids"), [(2000, 300), (40_000, 1 << 18)])
+def test_token_store_of_many_shards_and_blocks(spark, hard, tmp_path, shard_bytes, block_ids):
+    """The rows of one shard and one block come out whatever the sizes; a shard gives any range of its ids."""
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    rows = {}
+    for name, sizes in (("one", (1 << 40, 1 << 40)), ("many", (shard_bytes, block_ids))):
+        path = f"file://{tmp_path}/{name}"
+        token_store.write(docs.coalesce(1), path, shard_bytes=sizes[0], block_ids=sizes[1])
+        stored = token_store.with_starts(token_store.read(spark, path))
+        rows[name] = sorted(map(tuple, stored.select("start", "n_tokens", "doc_id", "ids").collect()), key=lambda r: r[0])
+        files = stored.select("shard").distinct().count()
+        assert files == 1 if name == "one" else files > 3
+    assert rows["many"] == rows["one"]
+    ids = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows["one"]])
+    at = 0
+    for file in sorted(p for p in (tmp_path / "many").iterdir() if p.name.startswith("part-") and p.stat().st_size):
+        shard = token_store.Shard(file.read_bytes())
+        n = sum(int(lengths.sum()) for _, _, _, lengths, _ in shard.documents())
+        assert shard.ids(n // 3, n // 2).tolist() == ids[at + n // 3 : at + n // 2].tolist()
+        at += n
+    assert at == len(ids)

@@ -34,6 +34,7 @@ SEPARATOR = "\nWLX1\n"
 BLOCK, FOOTER, END = b"WLB1", b"WLF1", b"WLE1"
 BLOCK_IDS = 1 << 18
 SHARD_BYTES = 24 << 20
+LEAST_BYTES = 1 << 20
 END_ID = 1
 #: The ids of the default vocabulary file.
 VOCABULARY = 49_408
@@ -211,18 +212,18 @@ def encode(df: DataFrame, path: str | None = None, size: int = VOCABULARY, end_i
     return df.select(doc_id, text).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write(coded: DataFrame, ids: DataFrame, path: str, vocabulary: int, size: int) -> None:
-    """Write the documents' ids as shards of about SHARD_BYTES under path.
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, size: int = VOCABULARY, shard_bytes: int = SHARD_BYTES, block_ids: int = BLOCK_IDS) -> None:
+    """Write the ids of docs (doc_id, text) under path, as shards of about so many bytes of text.
 
-    ids: the doc_id column alone, whose quantiles bound the shards, so that texts are encoded once.  size: bytes of all
-    texts, for the number of shards.
+    Texts are dealt to shards by ranges of doc_id, whose bounds Spark samples, and encoded there; small tables get a
+    shard for each core, of LEAST_BYTES at least.  Rows with one id share a shard.  size: ids of the tokenizer.
     """
-    bits, step = width(vocabulary), narrow(vocabulary)
+    bits, step = width(size), narrow(size)
     separator = len(SEPARATOR.encode())
-    shards = max(1, round(size / SHARD_BYTES))
-    bounds = ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 1 / (8 * shards)) if shards > 1 else []
-    shard = F.size(F.filter(F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]), lambda b: b < F.coalesce("doc_id", F.lit(-(2**63))))) if bounds else F.lit(0)
-    ordered = coded.withColumn("shard", shard).repartitionById(shards, "shard").drop("shard").sortWithinPartitions("doc_id", "ids")
+    n_bytes = text_bytes(docs, "text")
+    shards = max(1, -(-n_bytes // shard_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, n_bytes // LEAST_BYTES))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id")
+    ordered = encode(dealt, tokenizer, size).sortWithinPartitions("doc_id", "ids")
 
     def run(batches):
         starts, before, place, total = [], [], 0, 0
@@ -233,7 +234,7 @@ def write(coded: DataFrame, ids: DataFrame, path: str, vocabulary: int, size: in
                 lengths.append(len(ids) // step)
                 held.append(ids)
                 n += lengths[-1]
-                if n >= BLOCK_IDS:
+                if n >= block_ids:
                     record = block(docs, lengths, np.frombuffer(b"".join(held), f"<u{step}"), bits)
                     starts, before, place, total = [*starts, place], [*before, total], place + len(record) + separator, total + n
                     docs, lengths, held, n = [], [], [], 0
@@ -274,8 +275,7 @@ def with_starts(stored: DataFrame) -> DataFrame:
 
 def op7_token_store(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    size = text_bytes(docs, "text")
     path = scratch(spark, "store")
-    write(encode(docs), docs.select(F.col("doc_id").cast("long")), path, VOCABULARY, size)
+    write(docs, path)
     stored = cut(read(spark, path).select("shard", "doc_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32")), "read")
     return with_starts(stored).select("doc_id", "start", "n_tokens", "ids_crc32")
