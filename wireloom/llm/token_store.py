@@ -35,6 +35,8 @@ BLOCK, FOOTER, END = b"WLB1", b"WLF1", b"WLE1"
 BLOCK_IDS = 1 << 18
 SHARD_BYTES = 24 << 20
 LEAST_BYTES = 1 << 20
+#: Bytes of text, or of ids, that a task handles at once.
+PORTION = 2 << 20
 END_ID = 1
 #: The ids of the default vocabulary file.
 VOCABULARY = 49_408
@@ -205,7 +207,7 @@ def encode(df: DataFrame, path: str | None = None, size: int = VOCABULARY, end_i
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = load(path)
-        for batch in portions(batches, 1, 8 << 20, 16384):
+        for batch in portions(batches, 1, PORTION, 16384):
             ids, lengths = encoder.encode(batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), as_binary(ids.astype(f"<u{step}"), lengths)], names=["doc_id", "ids"])
 
@@ -228,7 +230,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, size: int =
     def run(batches):
         starts, before, place, total = [], [], 0, 0
         docs, lengths, held, n = [], [], [], 0
-        for batch in batches:
+        for batch in portions(batches, 1, PORTION, 16384):
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(doc)
                 lengths.append(len(ids) // step)
