@@ -18,6 +18,7 @@ rows with equal ids are ordered by their content, so reruns agree.  Other column
 
 from __future__ import annotations
 
+import os
 import struct
 from functools import lru_cache
 
@@ -35,8 +36,8 @@ BLOCK, FOOTER, END = b"WLB1", b"WLF1", b"WLE1"
 BLOCK_IDS = 1 << 18
 SHARD_BYTES = 24 << 20
 LEAST_BYTES = 1 << 20
-#: Bytes of text, or of ids, that a task handles at once.
-PORTION = 2 << 20
+#: Bytes of text that a task encodes at once.
+PORTION = 8 << 20
 END_ID = 1
 #: The ids of the default vocabulary file.
 VOCABULARY = 49_408
@@ -197,19 +198,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoded(batches, path: str, end_id: int):
+    """(document ids, ids, lengths) of each portion of the batches (doc_id, text): each whole text's ids and the end id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    encoder = load(path)
+    for batch in portions(batches, 1, PORTION, 16384):
+        yield batch.column(0).cast(pa.int64()), *encoder.encode(batch.column(1), end_id)
+
+
 def encode(df: DataFrame, path: str | None = None, size: int = VOCABULARY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): each whole text's ids and the end id as little-endian integers of ``narrow(size)`` bytes."""
     path = path or vocabulary()
     step = narrow(size)
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = load(path)
-        for batch in portions(batches, 1, PORTION, 16384):
-            ids, lengths = encoder.encode(batch.column(1), end_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), as_binary(ids.astype(f"<u{step}"), lengths)], names=["doc_id", "ids"])
+        for docs, ids, lengths in encoded(batches, path, end_id):
+            yield pa.RecordBatch.from_arrays([docs, as_binary(ids.astype(f"<u{step}"), lengths)], names=["doc_id", "ids"])
 
     return df.select(doc_id, text).mapInArrow(run, "doc_id long, ids binary")
 
@@ -217,38 +221,42 @@ def encode(df: DataFrame, path: str | None = None, size: int = VOCABULARY, end_i
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, size: int = VOCABULARY, shard_bytes: int = SHARD_BYTES, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of docs (doc_id, text) under path, as shards of about so many bytes of text.
 
-    Texts are dealt to shards by ranges of doc_id, whose bounds Spark samples, and encoded there; small tables get a
-    shard for each core, of LEAST_BYTES at least.  Rows with one id share a shard.  size: ids of the tokenizer.
+    Texts are dealt to shards by ranges of doc_id, whose bounds Spark samples, sorted there, then encoded and packed in
+    one map; small tables get a shard for each core, of LEAST_BYTES at least.  Rows with one id share a shard.
+    size: ids of the tokenizer.
     """
-    bits, step = width(size), narrow(size)
+    bits = width(size)
+    tokenizer = tokenizer or vocabulary()
     separator = len(SEPARATOR.encode())
     n_bytes = text_bytes(docs, "text")
     shards = max(1, -(-n_bytes // shard_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, n_bytes // LEAST_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id")
-    ordered = encode(dealt, tokenizer, size).sortWithinPartitions("doc_id", "ids")
 
     def run(batches):
         starts, before, place, total = [], [], 0, 0
         docs, lengths, held, n = [], [], [], 0
-        for batch in portions(batches, 1, PORTION, 16384):
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for some, ids, counts in encoded(batches, tokenizer, END_ID):
+            at = 0
+            for doc, count in zip(some.to_pylist(), counts.tolist(), strict=True):
                 docs.append(doc)
-                lengths.append(len(ids) // step)
-                held.append(ids)
-                n += lengths[-1]
+                lengths.append(count)
+                held.append(ids[at : at + count])
+                at += count
+                n += count
                 if n >= block_ids:
-                    record = block(docs, lengths, np.frombuffer(b"".join(held), f"<u{step}"), bits)
+                    record = block(docs, lengths, np.concatenate(held), bits)
                     starts, before, place, total = [*starts, place], [*before, total], place + len(record) + separator, total + n
                     docs, lengths, held, n = [], [], [], 0
                     yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
         if docs:
-            record = block(docs, lengths, np.frombuffer(b"".join(held), f"<u{step}"), bits)
+            record = block(docs, lengths, np.concatenate(held), bits)
             starts, before = [*starts, place], [*before, total]
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
         if starts:
             yield pa.RecordBatch.from_arrays([pa.array([footer(starts, before)], pa.binary())], names=["record"])
 
-    ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    packed = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, "record binary")
+    packed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
