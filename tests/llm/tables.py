@@ -6,6 +6,7 @@ import random
 
 CLASH = ["n", "s", "b", "key", "part", "passes", "block", "size", "target", "failures", "component", "chunk", "label", "words"]
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+BENCHMARK = "item_id long, text string"
 PAGES, EMBEDDINGS, LABELS = "page_id long, url string, html string", "vec_id long, embedding array<float>, label int", "doc_id long, quality int, toxic int"
 
 
@@ -30,6 +31,10 @@ def documents(n: int = 120) -> list[tuple]:
     long = " ".join(rnd.choice("lorem ipsum dolor sit amet consectetur adipiscing elit".split()) for _ in range(9000))
     rows += [(2001, None, "en", "site1", 0), (2002, "", None, None, None), (2003, " \t\r\n\x0b\x0c", "en", None, 6), (2004, "word", "en", "site2", 4), (2005, "The Shared line at the head", None, None, None)]
     rows += [(2006, long, "en", "site3", len(long)), (2007, long, "en", "site4", len(long)), (2008, "same " * 60, "en", "site5", 300), (2009, "ÄÖÜ ß é \U0001f600 <|endoftext|> 's   x y", "de", "site6", 30)]
+    notice = "Licensed under the Apache License, Version 2.0"
+    rows += [(2010, f"{notice}. Released under the MIT-License! mit licensed; mit, license {notice}", "en", "site8", 1), (2011, "GNU general Public license v. 3 mit", "en", "site8", 1), (2012, "license", "en", "site8", 1)]
+    rows += [(2013, "Permission is hereby granted, free of charge, to anybody obtaining a copy of the software and documentation files (the software) so as to deal in the Software without any restriction", "en", "site8", 1)]
+    rows += [(2014, "this work is licensed under GNU the general public license (the version 3) all rights reserved MIT\nLICENSE mit license", "en", "site8", 1)]
     rows += [rows[4], rows[4], (rows[4][0], rows[9][1], "en", "other", 1), (None, rows[10][1], "en", "site1", 1), (None, None, None, None, None), (-5, rows[11][1], "en", "site7", 1)]
     return rows
 
@@ -50,6 +55,7 @@ def folder(spark, path, empty: bool = False) -> str:
     vectors = [(k, [x + rnd.gauss(0, 0.12) for x in base[k % 25]], k % 3) for k in range(150)]
     vectors += [(500, None, 1), (501, [], 1), (502, [0.0] * 6, 1), (503, [float("nan")] * 6, 1), (504, [float("inf"), *[1.0] * 5], 1), (505, [None, *[1.0] * 5], 1), (None, base[0], 1), (506, base[0], None), (506, base[0], None), (507, [1e-30 * x for x in base[0]], 1)]
     labels = [(r[0], int("Shared" not in (r[1] or "")), 0) for r in docs if r[0] is not None] + [(None, 1, 0), (7, None, 0), (999999, 1, 1)]
-    for name, rows, schema in (("documents", docs, DOCUMENTS), ("pages", pages, PAGES), ("embeddings", vectors, EMBEDDINGS), ("labels", labels, LABELS)):
+    items = [(1, "Shared line at the head"), (1, "Shared line at the head"), (2, docs[3][1]), (3, None), (4, " ,. "), (None, "SAME word Äöü copyright"), (5, "nowhere"), (6, docs[8][1] + " notice notice")]
+    for name, rows, schema in (("benchmark", items, BENCHMARK), ("documents", docs, DOCUMENTS), ("pages", pages, PAGES), ("embeddings", vectors, EMBEDDINGS), ("labels", labels, LABELS)):
         clashing(spark, [] if empty else rows, schema).coalesce(2).write.parquet(f"{path}/{name}.parquet")
     return str(path)

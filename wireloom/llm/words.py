@@ -20,6 +20,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes of terms as they are, A-Z in lower case; what divides terms (ASCII but digits and letters) as a blank.
+TERM = np.full(256, 32, np.uint8)
+for _low, _high in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    TERM[_low:_high] = LOWER[_low:_high]
+
+
 class Words(NamedTuple):
     data: np.ndarray  # the words' bytes, each word followed by one blank
     ends: np.ndarray  # where each word's blank ends in data
@@ -65,6 +71,13 @@ def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     return Words(LOWER[out] if lower else out, ends, np.searchsorted(starts, where))
 
 
+def terms(texts: pa.Array | pa.ChunkedArray) -> Words:
+    """The terms of each text: runs of digits, letters and anything beyond ASCII, with A-Z in lower case."""
+    data, where = binary(texts)
+    cut = pa.Array.from_buffers(pa.large_binary(), len(where) - 1, [None, pa.py_buffer(np.ascontiguousarray(where)), pa.py_buffer(TERM[data])])
+    return words(cut)
+
+
 def hashes(distinct: pa.Array) -> np.ndarray:
     """A 64-bit hash of each distinct word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
