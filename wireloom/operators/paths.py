@@ -1,11 +1,15 @@
-"""Paths over an undirected graph: breadth-first rounds over vertices, then back along the steps between levels."""
+"""Paths over an undirected graph: breadth-first rounds over vertices, then back along the steps between levels.
+
+``trace`` finds one path, the first by name; ``shortest`` answers any number of questions in the same rounds, from both
+ends; ``within`` lists all chains of a bounded length by Spark's recursive SQL.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import Tables, cut, scratch
 
 
 def trace(edges: DataFrame, start: str, goal: str) -> DataFrame:
@@ -35,3 +39,92 @@ def trace(edges: DataFrame, start: str, goal: str) -> DataFrame:
         first = steps.agg(F.min("via").alias("via"))
         ways = cut(steps.join(F.broadcast(first), "via").groupBy("at", "via").agg(F.min("vertices").alias("vertices")).select("at", "vertices", "via"), "ways")
     return ways.select("vertices", "via")
+
+
+#: Levels that one job follows back.
+BACK = 4
+
+
+def shortest(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A shortest path for each of pairs (query, start, goal) over edges (a, b, via), all searched in the same rounds.
+
+    (query, start, goal, status, steps, vertices, via): status is connected or none, and the last three are null for
+    none.  query must be unique; null ends are joined with nothing.  A round takes each query's frontier one step
+    further, in turn from the start and from the goal, until they meet or one is empty; each level stays as a table of
+    predecessors, of which a vertex keeps the first by (via, vertex).  Of the vertices where a query's frontiers meet
+    first, the path takes the least.  Rounds grow with the longest path, and rows of a round with the vertices at that
+    distance of each query, as any breadth-first search.
+    """
+    tables = Tables(edges.sparkSession)
+    known = edges.filter("a <> b AND via IS NOT NULL").select("a", "b", "via")
+    both = tables.cut(known.union(known.select("b", "a", "via")).groupBy("a", "b").agg(F.min("via").alias("via")), "both")
+    asked = tables.cut(pairs.select("query", "start", "goal").filter("query IS NOT NULL"), "asked")
+    nowhere = lambda c: F.lit(None).cast(edges.schema[c].dataType)
+    levels = {side: [tables.cut(asked.filter("start IS NOT NULL AND goal IS NOT NULL").select("query", F.col(side).alias("at"), nowhere("a").alias("prev"), nowhere("via").alias("via")), f"{side}-0")] for side in ("start", "goal")}
+    met = [levels["start"][0].join(levels["goal"][0].select("query", "at"), ["query", "at"], "left_semi").select("query", "at", F.lit(0).alias("near"), F.lit(0).alias("far"))]
+    live = levels["start"][0].select("query").join(met[0], "query", "left_anti")
+    left = 1
+    while left:
+        for side, other in (("start", "goal"), ("goal", "start")):
+            own = levels[side]
+            from_ = own[-1].join(live, "query", "left_semi").select("query", F.col("at").alias("a"))
+            new = from_.join(both, "a").groupBy("query", F.col("b").alias("at")).agg(F.min(F.struct("via", F.col("a").alias("prev"))).alias("by"))
+            for level in own[-2:]:  # a neighbour of a level lies in it, in the level before or in the next one
+                new = new.join(level.select("query", "at"), ["query", "at"], "left_anti")
+            meets = levels[other][-1].select("query", "at", F.lit(True).alias("meets"))
+            new = new.join(meets, ["query", "at"], "left").select("query", "at", "by.prev", "by.via", F.coalesce("meets", F.lit(False)).alias("meets"))
+            new, left, ends = tables.counted(new, f"{side}-{len(own)}", F.lit(True), F.col("meets"))
+            own.append(new)
+            if not left:
+                break
+            if ends:
+                found = new.filter("meets").groupBy("query").agg(F.min("at").alias("at"))
+                met.append(found.select("query", "at", F.lit(len(levels["start"]) - 1).alias("near"), F.lit(len(levels["goal"]) - 1).alias("far")))
+            # queries whose frontiers met, or have no vertex any more, rest
+            live = new.groupBy("query").agg(F.bool_or("meets").alias("meets")).filter("NOT meets").select("query")
+    ways = met[0]
+    for more in met[1:]:
+        ways = ways.union(more)
+    ways = ways.withColumn("end", F.col("at")).withColumn("vertices", F.array("at")).withColumn("via", F.array().cast(f"array<{edges.schema['via'].dataType.simpleString()}>"))
+    ways = tables.cut(ways, "ways")
+    for side, place, reach in (("start", "at", "near"), ("goal", "end", "far")):
+        for n in range(len(levels[side]) - 1, 0, -1):
+            step = levels[side][n].select(F.col("query").alias("q"), F.col("at").alias("v"), F.col("prev"), F.col("via").alias("by"))
+            ways = ways.join(step, (F.col("q") == F.col("query")) & (F.col("v") == F.col(place)) & (F.col(reach) >= n), "left")
+            went = F.col("prev").isNotNull()
+            joined = (lambda c, x: F.array_prepend(c, x)) if side == "start" else (lambda c, x: F.array_append(c, x))
+            ways = ways.withColumn("vertices", F.when(went, joined("vertices", F.col("prev"))).otherwise(F.col("vertices")))
+            ways = ways.withColumn("via", F.when(went, joined("via", F.col("by"))).otherwise(F.col("via"))).withColumn(place, F.coalesce("prev", place)).drop("q", "v", "prev", "by")
+            if n % BACK == 1:
+                ways = tables.cut(ways, "ways")
+    ways = ways.select("query", F.lit("connected").alias("status"), (F.col("near") + F.col("far")).alias("steps"), "vertices", "via")
+    tables.drop("both", *[f"{side}-{n}" for side in levels for n in range(len(levels[side]))])
+    return asked.join(ways, "query", "left").withColumn("status", F.coalesce("status", F.lit("none"))).select("query", "start", "goal", "status", "steps", "vertices", "via")
+
+
+def within(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
+    """(start, at, vertices, via): every chain of at most so many edges (a, b, via) from starts (start) that meets no vertex twice.
+
+    Spark's recursive SQL, whose rows grow with the chains: steps is a small number.  Null ends are joined with nothing.
+    """
+    spark = edges.sparkSession
+    known = edges.filter("a <> b AND via IS NOT NULL").select("a", "b", "via")
+    both = cut(known.union(known.select("b", "a", "via")).distinct(), "both")
+    names = [f"wireloom_{what}_{abs(hash(scratch(spark, what)))}" for what in ("both", "starts")]
+    both.createOrReplaceTempView(names[0])
+    starts.select("start").filter("start IS NOT NULL").distinct().createOrReplaceTempView(names[1])
+    kind = edges.schema["via"].dataType.simpleString()
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    try:
+        found = spark.sql(f"""
+            WITH RECURSIVE chain(start, at, vertices, via) AS (
+              SELECT start, start, array(start), CAST(array() AS array<{kind}>) FROM {names[1]}
+              UNION ALL
+              SELECT start, b, array_append(vertices, b), array_append(c.via, e.via) FROM chain c JOIN {names[0]} e ON e.a = c.at WHERE size(c.via) < {int(steps)} AND NOT array_contains(vertices, b)
+            ) SELECT * FROM chain WHERE size(via) > 0""")
+        return cut(found, "chains")
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+        for name in names:
+            spark.catalog.dropTempView(name)

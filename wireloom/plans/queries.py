@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -16,20 +14,8 @@ from ..operators.spatial import band_join, nearest
 from ..sources import sheet
 from ..sources.bridge import net_edges, points, table, terminals, wires
 from ..streaming.events import sessions, windowed
-from . import extract, kg, netlist, query, simulate, tiles
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def registered(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+from . import circuits, extract, kg, netlist, query, simulate, tiles  # circuits registers its queries
+from .registry import ORACLES, QUERIES, registered
 
 
 def _values(columns: str, rows: list[tuple]) -> str:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bridges import cut_off
 from ..operators.components import components
 from ..operators.paths import trace
+from ..shared import Tables
 
 EXTERNAL = ("external_drawing", "external_machine")
 
@@ -60,14 +62,49 @@ def power_domains(netlist: dict[str, DataFrame]) -> DataFrame:
 
 
 def loses_power(netlist: dict[str, DataFrame], breaker: str) -> DataFrame:
-    """(component) on the nets that a breaker protects, itself or through the supply that it feeds."""
+    """(component, net) on the power nets that a breaker protects, itself or through supplies that it feeds.
+
+    A supply on a net that is lost, which it does not power itself, loses its own nets too, and so on.
+    """
+    tables = Tables(netlist["terminals"].sparkSession)
     r = netlist["relationships"]
-    protected = r.filter((F.col("type") == "PROTECTS") & (F.col("src") == breaker)).select(F.col("tgt").alias("at"))
-    through = r.filter("type = 'POWERS'").join(protected, F.col("src") == F.col("at"), "left_semi").select(F.col("tgt").alias("at"))
-    nets = netlist["nets"].filter("signal_type = 'power'").select(F.col("id").alias("at")).join(protected.union(through), "at", "left_semi")
+    powers = r.filter("type = 'POWERS'").select("src", "tgt")
+    on = netlist["terminals"].filter("net IS NOT NULL").select("parent_component", "net").distinct()
+    feeds = on.join(powers, F.col("src") == F.col("parent_component")).select("net", "src", "tgt")
+    fed = feeds.join(powers.select(F.col("src").alias("s"), F.col("tgt").alias("t")), (F.col("s") == F.col("src")) & (F.col("t") == F.col("net")), "left_anti").select("net", "tgt")
+    # from anything lost to what it powers: a supply to its nets, a net to the nets of supplies that live on it
+    onward = tables.cut(powers.select(F.col("src").alias("from"), "tgt").union(fed).distinct(), "onward")
+    new = tables.cut(r.filter((F.col("type") == "PROTECTS") & (F.col("src") == breaker)).select(F.col("tgt").alias("at")).distinct(), "round-0")
+    lost, grown, turn = new, 1, 0
+    while grown:
+        turn += 1
+        new = onward.join(new, F.col("from") == F.col("at"), "left_semi").select(F.col("tgt").alias("at")).distinct()
+        new, grown = tables.counted(new.join(lost, "at", "left_anti"), f"round-{turn}", F.lit(True))
+        lost = lost.union(new)
+    nets = netlist["nets"].filter("signal_type = 'power'").select(F.col("id").alias("at")).join(lost, "at", "left_semi")
     return netlist["terminals"].join(nets, F.col("net") == F.col("at"), "left_semi").select(F.col("parent_component").alias("component"), "net").distinct()
 
 
+def breaker_impact(netlist: dict[str, DataFrame], sources: DataFrame) -> DataFrame:
+    """(component, switch, lost_nets, lost_terminals) of each hand switch: what has no way to sources (net) with it open.
+
+    Nets are joined by hand switches, and by supplies from the nets that they live on to those that they power.
+    Everything is found in one pass over all switches; those that cut nothing off have zeros.
+    """
+    from .simulate import switch_edges
+
+    hand = switch_edges(netlist).filter("hand").select("component", "switch", "net_1", "net_2")
+    powers = netlist["relationships"].filter("type = 'POWERS'").select("src", "tgt")
+    on = netlist["terminals"].filter("net IS NOT NULL").select(F.col("parent_component").alias("src"), "net").distinct()
+    supply = on.join(powers, "src").filter("net <> tgt").select(F.concat_ws(" ", F.lit("supply"), "src", "net", "tgt").alias("edge"), F.col("net").alias("a"), F.col("tgt").alias("b"))
+    edges = hand.select(F.concat_ws(" ", F.lit("switch"), "switch").alias("edge"), F.col("net_1").alias("a"), F.col("net_2").alias("b")).union(supply)
+    weights = netlist["terminals"].filter("net IS NOT NULL").groupBy(F.col("net").alias("vertex")).agg(F.count("*").alias("weight"))
+    losses = cut_off(edges, sources.select(F.col("net").alias("vertex")), weights)["losses"]
+    every = hand.join(losses, F.concat_ws(" ", F.lit("switch"), "switch") == F.col("edge"), "left")
+    none = F.lit(0).cast("long")
+    return every.select("component", "switch", F.coalesce("lost_vertices", none).alias("lost_nets"), F.coalesce("lost_weight", none).alias("lost_terminals"))
+
+
 def actuation(netlist: dict[str, DataFrame]) -> DataFrame:
     """(device, relay, contact, status): what switches a relay and what its coil moves; off-page devices are undetermined."""
     r, c = netlist["relationships"], netlist["components"]

@@ -1,17 +1,23 @@
-"""Relay logic to a fixpoint, for many scenarios at once: closed contacts join nets, joined nets energise coils."""
+"""Relay logic to a fixpoint, 64 scenarios in a long: closed contacts join nets, joined nets energise coils.
 
-from __future__ import annotations
+A switch has a mask of the scenarios in which it is closed, a net one of those in which it is tied to the source and one
+for the return, a coil one of those in which it is energised.  Masks spread over the switches by joins on (block, net) in
+which only what a round added takes part, so scenarios multiply no rows but for each further block of 64.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import components
-from ..shared import cut
-from .netlist import bare
+from ..shared import Tables
+from .netlist import SHEET, bare
 
 SOURCE, RETURN = "24E-1", "0V"
+#: Blocks of 64 scenarios that one run takes: their masks are literals of its plans.
+BLOCKS = 4096
+#: Switches that masks pass in one job.
+HOPS = 2
 
 
 def _pairs(netlist: dict[str, DataFrame], ends: list[tuple[str, str, str]], name: str) -> DataFrame:
@@ -45,39 +51,101 @@ def scenarios(spark: SparkSession, devices: list[str]) -> DataFrame:
     return spark.range(1 << n).select(F.col("id").alias("scenario"), F.explode(bits).alias("d")).select("scenario", "d.*")
 
 
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def packed(settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """settings (scenario, component, closed) as (block, live) and (block, component, opened), masks of 64 scenarios."""
+    own = settings.select(F.shiftright("scenario", 6).alias("block"), _bit(F.col("scenario").bitwiseAND(F.lit(63))).alias("bit"), "component", "closed")
+    live = own.groupBy("block").agg(F.bit_or("bit").alias("live"))
+    return live, own.filter("NOT closed").groupBy("block", "component").agg(F.bit_or("bit").alias("opened"))
+
+
+def expanded(masks: DataFrame, live: str, *names: str) -> DataFrame:
+    """A row for each scenario of live, with the bits of the named masks as booleans."""
+    has = lambda c, j: F.call_function("shiftright", F.col(c), j).bitwiseAND(F.lit(1)) == 1
+    rows = masks.withColumn("wireloom_bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: has(live, j))))
+    flags = [has(n, F.col("wireloom_bit")).alias(n) for n in names]
+    kept = [c for c in masks.columns if c not in ("block", live, *names)]
+    return rows.select((F.col("block") * 64 + F.col("wireloom_bit")).alias("scenario"), *kept, *flags)
+
+
+def _hop(labels: DataFrame, closed: DataFrame) -> DataFrame:
+    """labels (block, net, p, z, dp, dz) after what is new in them (dp, dz) has passed one switch."""
+    new = labels.filter("dp <> 0 OR dz <> 0").join(closed, ["block", "net"])
+    came = new.select("block", F.col("other").alias("net"), F.expr("dp & mask").alias("mp"), F.expr("dz & mask").alias("mz")).filter("mp <> 0 OR mz <> 0")
+    none = F.lit(0).cast("long")
+    both = labels.select("block", "net", "p", "z", none.alias("mp"), none.alias("mz")).union(came.select("block", "net", none, none, "mp", "mz"))
+    met = both.groupBy("block", "net").agg(*[F.bit_or(c).alias(c) for c in ("p", "z", "mp", "mz")])
+    return met.select("block", "net", F.expr("p | mp").alias("p"), F.expr("z | mz").alias("z"), F.expr("mp & ~p").alias("dp"), F.expr("mz & ~z").alias("dz"))
+
+
 def simulate(netlist: dict[str, DataFrame], settings: DataFrame) -> dict[str, DataFrame]:
-    """nets (scenario, net, has24, has0), coils (scenario, coil) that are energised, and whether it settled.
+    """``simulate_masks`` for settings (scenario, component, closed), scenario by scenario.
+
+    nets (scenario, net, has24, has0), coils (scenario, component) that are energised, oscillating (scenario, sheet), and
+    settled, whether the latter is empty.
+    """
+    masks = simulate_masks(netlist, *packed(settings))
+    coils = expanded(masks["coils"].withColumn("energised", F.col("on")), "on", "energised").select("scenario", "component")
+    oscillating = expanded(masks["oscillating"].withColumn("o", F.col("changed")), "changed", "o").select("scenario", "sheet")
+    nets = expanded(masks["nets"], "live", "has24", "has0").select("scenario", "net", "has24", "has0")
+    return {"nets": nets, "coils": coils, "settled": oscillating.isEmpty(), "oscillating": oscillating}
+
+
+def simulate_masks(netlist: dict[str, DataFrame], live: DataFrame, opened: DataFrame) -> dict[str, DataFrame]:
+    """nets (block, net, live, has24, has0), coils (block, component, on), oscillating (block, sheet, changed): masks.
 
-    Hand switches that settings (scenario, component, closed) don't name are closed.  Rounds go on until the coils of
-    each scenario are as they were in some round before: the last one, or else it is among ``oscillating`` (scenario),
-    and its nets and coils are those of one round of its cycle.
+    live (block, live) tells which of a block's 64 scenarios there are, opened (block, component, opened) in which of
+    them a hand switch is open; else it is closed.  Rounds go on until the coils of each sheet and scenario are as they
+    were a round before, or as they were in the last round whose number is a power of two: those still changing
+    oscillate, and their nets and coils are those of one round of their cycle.
     """
-    edges = cut(switch_edges(netlist), "switches")
-    coils = _pairs(netlist, COILS, "coil").select("component", "net_1", "net_2")
-    cases = cut(settings.select("scenario").distinct(), "cases")
-    each = cut(edges.join(F.broadcast(cases)).join(settings, ["scenario", "component"], "left"), "each")
-    nets = cut(netlist["nets"].select(F.col("id").alias("net")).join(F.broadcast(cases)), "nets")
-    coil_of = cut(coils.join(F.broadcast(cases)), "coils")
-    on = cases.select("scenario", F.lit("").alias("component")).filter(F.lit(False))
-    shown = lambda c: cases.join(c, "scenario", "left").groupBy("scenario").agg(F.array_sort(F.collect_set("component")).alias("set"))
-    last = cut(shown(on), "last")
-    seen = [last]
-    node = lambda s, n: F.xxhash64(s, n)
+    spark = netlist["terminals"].sparkSession
+    tables = Tables(spark)
+    found = live.filter("live <> 0").limit(BLOCKS + 1).collect()
+    if len(found) > BLOCKS:
+        raise ValueError(f"more than {BLOCKS} blocks of 64 scenarios: simulate them in parts")
+    blocks = F.explode(F.arrays_zip(F.lit([r["block"] for r in found]).cast("array<long>").alias("block"), F.lit([r["live"] for r in found]).cast("array<long>").alias("live")))
+    dealt = lambda df: df.withColumn("wireloom_block", blocks).select("wireloom_block.block", "wireloom_block.live", *df.columns)
+    none = F.lit(0).cast("long")
+    switches = dealt(switch_edges(netlist).filter("net_1 <> net_2").select("component", "net_1", "net_2", "hand", "when_on").distinct())
+    switches = tables.cut(switches.join(opened, ["block", "component"], "left").withColumn("opened", F.coalesce("opened", none)), "switches")
+    coil_of = tables.cut(dealt(_pairs(netlist, COILS, "coil").select("component", "net_1", "net_2").distinct()), "coil_of")
+    poles = dealt(netlist["terminals"].select("net").filter(bare(F.col("net")).isin(SOURCE, RETURN)).distinct())
+    pole = lambda name: F.when(bare(F.col("net")) == name, F.col("live")).otherwise(none)
+    poles = tables.cut(poles.select("block", "net", pole(SOURCE).alias("p"), pole(RETURN).alias("z"), pole(SOURCE).alias("dp"), pole(RETURN).alias("dz")), "poles")
+    sheet = F.when(F.contains("component", F.lit(SHEET)), F.substring_index("component", SHEET, 1)).otherwise("")
+    state = tables.cut(coil_of.select("block", "live", "component", *[none.alias(c) for c in ("on", "was", "saved")]).limit(0), "state")
+    done = tables.cut(state.select("block", sheet.alias("sheet"), none.alias("done")), "done")
+    turn = 0
     while True:
-        acting = each.join(on.withColumn("energised", F.lit(True)), ["scenario", "component"], "left")
-        lit = F.coalesce("energised", F.lit(False))
-        shut = acting.filter(F.when(F.col("hand"), F.coalesce("closed", F.lit(True))).otherwise(lit == F.col("when_on")))
-        found = components(shut.select(node("scenario", "net_1").alias("a"), node("scenario", "net_2").alias("b")))
-        groups = nets.withColumn("v", node("scenario", "net")).join(found, F.col("vertex") == F.col("v"), "left").select("scenario", "net", F.coalesce("component", "v").alias("group"))
-        live = groups.groupBy("group").agg(F.bool_or(bare(F.col("net")) == SOURCE).alias("has24"), F.bool_or(bare(F.col("net")) == RETURN).alias("has0"))
-        state = cut(groups.join(live, "group").select("scenario", "net", "has24", "has0"), "state")
-        one = state.select("scenario", F.col("net").alias("net_1"), F.col("has24").alias("p1"), F.col("has0").alias("z1"))
-        two = state.select("scenario", F.col("net").alias("net_2"), F.col("has24").alias("p2"), F.col("has0").alias("z2"))
-        new = coil_of.join(one, ["scenario", "net_1"]).join(two, ["scenario", "net_2"]).filter("(p1 AND z2) OR (z1 AND p2)").select("scenario", "component")
-        new = cut(new.distinct(), "energised")
-        now = cut(shown(new), "last")
-        if now.join(reduce(DataFrame.union, seen), ["scenario", "set"], "left_anti").isEmpty():
-            oscillating = cut(now.join(last, ["scenario", "set"], "left_anti").select("scenario"), "oscillating")
-            return {"nets": state, "coils": new, "settled": oscillating.isEmpty(), "oscillating": oscillating}
-        on, last = new, now
-        seen.append(now)
+        lit_up = F.coalesce("on", none)
+        mask = F.when(F.col("hand"), F.expr("live & ~opened")).otherwise(F.when(F.col("when_on"), lit_up).otherwise(F.col("live").bitwiseAND(F.bitwise_not(lit_up))))
+        acting = switches.join(state.select("block", "component", "on"), ["block", "component"], "left").withColumn("mask", mask).filter("mask <> 0")
+        ends = F.explode(F.array(F.struct(F.col("net_1").alias("net"), F.col("net_2").alias("other")), F.struct(F.col("net_2").alias("net"), F.col("net_1").alias("other"))))
+        closed = acting.select("block", "mask", ends.alias("e")).groupBy("block", "e.net", "e.other").agg(F.bit_or("mask").alias("mask"))
+        closed = tables.cut(closed, "closed")
+        labels, new = poles, 1
+        while new:
+            for _ in range(HOPS):
+                labels = _hop(labels, closed)
+            labels, new = tables.counted(labels, "labels", F.expr("dp <> 0 OR dz <> 0"))
+        one = labels.select("block", F.col("net").alias("net_1"), F.col("p").alias("p1"), F.col("z").alias("z1"))
+        two = labels.select("block", F.col("net").alias("net_2"), F.col("p").alias("p2"), F.col("z").alias("z2"))
+        fed = coil_of.join(one, ["block", "net_1"]).join(two, ["block", "net_2"]).select("block", "live", "component", F.expr("(p1 & z2) | (z1 & p2)").alias("on"), none.alias("was"), none.alias("saved")).filter("on <> 0")
+        keep = turn & (turn - 1) == 0  # this turn's coils are what later turns are compared with, until the next power of two
+        before = state.select("block", "live", "component", none.alias("on"), F.col("on").alias("was"), F.col("on" if keep else "saved").alias("saved"))
+        state = fed.union(before).groupBy("block", "live", "component").agg(*[F.bit_or(c).alias(c) for c in ("on", "was", "saved")])
+        state = tables.cut(state.filter("(on | was | saved) <> 0"), "state")
+        marks = state.groupBy("block", "live", sheet.alias("sheet")).agg(F.bit_or(F.expr("on ^ was")).alias("changed"), F.bit_or(F.expr("on ^ saved")).alias("differ"))
+        done = marks.join(done.select("block", "sheet", "done"), ["block", "sheet"], "left").select("block", "sheet", "live", "changed", F.expr("coalesce(done, 0) | (live & ~changed) | (live & ~differ)").alias("done"))
+        done, moving = tables.counted(done, "done", F.expr("(live & ~done) <> 0"))
+        if not moving:
+            break
+        turn += 1
+    tables.drop("switches", "closed", "coil_of", "poles")
+    nets = dealt(netlist["nets"].select(F.col("id").alias("net"))).join(labels.select("block", "net", F.col("p").alias("has24"), F.col("z").alias("has0")), ["block", "net"], "left")
+    nets = nets.select("block", "net", "live", F.coalesce("has24", none).alias("has24"), F.coalesce("has0", none).alias("has0"))
+    return {"nets": nets, "coils": state.filter("on <> 0").select("block", "component", "on"), "oscillating": done.filter("changed <> 0").select("block", "sheet", "changed")}

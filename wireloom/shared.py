@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,12 @@ class Tables:
         self.paths[what] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, what: str, *conditions: Column) -> tuple:
+        """``cut``, and how many rows meet each condition, which are counted as they are written."""
+        seen = Observation()
+        made = self.cut(df.observe(seen, *[F.count_if(c).alias(f"n{k}") for k, c in enumerate(conditions)]), what)
+        return made, *[seen.get.get(f"n{k}", 0) for k in range(len(conditions))]
+
     def drop(self, *names: str) -> None:
         for what in names:
             if what in self.paths:
