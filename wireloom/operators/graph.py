@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..shared import cut, walk
+from ..shared import Tables, cut, walk
 from .components import components
 
 
@@ -89,40 +88,89 @@ def junctions(edges: DataFrame, prm: Params = Params()) -> DataFrame:
     return found
 
 
+def _ranked(darts: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of darts (dart, next, node), those with an end: (dart, last, hops), and the others, which go round: (dart, low).
+
+    Pointers double: a round adds what a dart's pointer has passed to what it has passed itself.  last is the dart at
+    the end of the list and hops the darts to it; low is the least node (where a dart leads to) of a loop.  Darts that
+    know their end rest.  Once a round lets none rest, all others are loops, and after as many doublings as the number
+    of them has bits each has seen its whole loop.
+    """
+    rest = darts.filter("next IS NULL").select("dart", F.col("dart").alias("last"), F.lit(0).cast("long").alias("hops"))
+    rest = [tables.cut(rest, f"{name}-rest-0")]
+    go, left = tables.counted(darts.filter("next IS NOT NULL").select("dart", "next", "node", F.col("node").alias("low"), F.lit(1).cast("long").alias("hops")), f"{name}-go", F.lit(True))
+    seen, round_ = None, 0
+    while left and not (seen == left and 1 << round_ >= left):
+        round_ += 1
+        ended = rest[-1]
+        for r in rest[:-1]:
+            ended = ended.union(r)
+        there = go.select(F.col("dart").alias("d"), F.col("next").alias("after"), F.col("low").alias("l"), F.col("hops").alias("h"), F.lit(None).cast("long").alias("last"))
+        there = there.union(ended.select("dart", F.lit(None).cast("long"), F.lit(None).cast("long"), "hops", "last"))
+        met = tables.cut(go.join(there, F.col("d") == F.col("next")).select("dart", F.col("after").alias("next"), "node", F.least("low", "l").alias("low"), (F.col("hops") + F.col("h")).alias("hops"), "last"), f"{name}-met-{round_ % 2}")
+        rest.append(tables.cut(met.filter("last IS NOT NULL").select("dart", "last", "hops"), f"{name}-rest-{round_}"))
+        seen = left
+        go, left = tables.counted(met.filter("last IS NULL").drop("last"), f"{name}-go", F.lit(True))
+    ended = rest[0]
+    for r in rest[1:]:
+        ended = ended.union(r)
+    return ended, go.select("dart", "low")
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """Each edge's place in its maximal run between nodes whose degree is not two.
+
+    (page, run, place, edge, length, node, x, y, to_node, to_x, to_y, closed, conductor): run names the run, places count
+    from 0, an edge leads from node to to_node.  A run starts at the lower of its end nodes; a loop through one junction
+    at it, and a loop without any, which is a box and no conductor, at its least node, both with the lower edge.
+
+    An edge is two darts, one each way; a dart's next one leaves the node of degree two that it leads to.  Lists of darts
+    are ranked by pointer doubling, so rounds grow with the logarithm of the longest run and no task holds a run.
+    """
+    tables = Tables(edges.sparkSession)
+    own = tables.cut(edges.withColumn("row", F.monotonically_increasing_id()), "own")
+    side = lambda k, a, b: F.struct(F.lit(k).alias("way"), F.col(a).alias("from"), F.col(b).alias("node"))
+    darts = own.select("page", "edge", "row", F.explode(F.array(side(0, "a", "b"), side(1, "b", "a"))).alias("d")).select("page", "edge", (F.col("row") * 2 + F.col("d.way")).alias("dart"), "d.from", "d.node")
+    # at a node of degree two, the dart that leaves by the other edge
+    leaving = darts.groupBy("page", F.col("from").alias("node")).agg(F.count("*").alias("degree"), F.min("dart").alias("one"), F.max("dart").alias("two"))
+    back = F.col("dart").bitwiseXOR(F.lit(1).cast("long"))
+    led = darts.join(leaving, ["page", "node"])
+    darts = tables.cut(led.select("page", "edge", "dart", "from", "node", F.when(F.col("degree") == 2, F.when(F.col("one") == back, F.col("two")).otherwise(F.col("one"))).alias("next"), (F.col("degree") != 2).alias("broken")), "darts")
+    ended, loops = _ranked(darts, tables, "open")
+    # a loop is cut at its least node and ranked once more
+    opened = tables.cut(darts.join(loops, "dart").select("dart", F.when(F.col("node") != F.col("low"), F.col("next")).alias("next"), "node"), "opened")
+    around, _ = _ranked(opened, tables, "loops")
+    ranks = ended.withColumn("box", F.lit(False)).union(around.withColumn("box", F.lit(True)))
+    final = darts.select(F.col("dart").alias("last"), F.struct(F.col("node"), F.col("edge"), F.col("dart")).alias("final"))
+    found = darts.select("page", "dart", "from", "node").join(ranks, "dart").join(final, "last")
+    # of the two lists of a run, the one that ends at the higher node, or by the higher edge
+    one = found.withColumn("row", F.shiftright("dart", 1)).groupBy("row").agg(F.max(F.struct("final", "dart", "from", "node", "hops", "box")).alias("d")).select("row", "d.*")
+    one = tables.cut(one.withColumn("run", F.col("final.dart")), "one")
+    runs = one.groupBy("run").agg(F.max("hops").alias("longest"), F.max(F.struct("hops", "from")).alias("start"), F.first("final.node").alias("end"))
+    placed = own.join(one, "row").join(runs, "run")
+    ahead = F.col("from") == F.col("a")
+    at = lambda a, b, name: F.when(ahead, F.col(a)).otherwise(F.col(b)).alias(name)
+    placed = placed.select(
+        "page", "run", (F.col("longest") - F.col("hops")).cast("long").alias("place"), "edge", "length", F.col("from").alias("node"), at("ax", "bx", "x"), at("ay", "by", "y"),
+        F.col("node").alias("to_node"), at("bx", "ax", "to_x"), at("by", "ay", "to_y"), (F.col("start.from") == F.col("end")).alias("closed"), (~F.col("box")).alias("conductor"),
+    )
+    placed = tables.cut(placed, "placed")
+    tables.drop(*[name for name in list(tables.paths) if name != "placed"])
+    return placed
+
+
 def contract(edges: DataFrame) -> DataFrame:
-    """Maximal runs between nodes whose degree is not two: (page, run, points, node_ids, length, segment_count, closed).
+    """Maximal runs between nodes whose degree is not two: (page, run, first_edge, points, node_ids, length, segment_count, closed, conductor).
 
-    Edges that meet in a node of degree two are one component; each component, which is one conductor, is put in order.
+    The runs of ``ordered``, each as one row; where a run may be beyond one row, take the rows of ``ordered``.
     """
-    two = degrees(edges).filter("degree = 2").select("page", "node")
-    code = F.struct("page", "edge")
-    pairs = ends(edges).join(two, ["page", "node"]).groupBy("page", "node").agg(F.min(code).alias("a"), F.max(code).alias("b"))
-    numbered = cut(edges.select("page", "edge").distinct().withColumn("id", F.xxhash64("page", "edge")), "edges")
-    links = pairs.select(F.xxhash64("a.page", "a.edge").alias("a"), F.xxhash64("b.page", "b.edge").alias("b"))
-    named = numbered.join(components(links), F.col("vertex") == F.col("id"), "left").select("page", "edge", F.coalesce("component", "id").alias("run"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        at: dict[int, list[tuple[int, int]]] = {}
-        place: dict[int, tuple[float, float]] = {}
-        for r in pdf.itertuples():
-            at.setdefault(r.a, []).append((r.edge, r.b))
-            at.setdefault(r.b, []).append((r.edge, r.a))
-            place[r.a], place[r.b] = (r.ax, r.ay), (r.bx, r.by)
-        tips = sorted(n for n, e in at.items() if len(e) == 1)
-        node = tips[0] if tips else min(at)
-        nodes, used = [node], set()
-        while step := min(((e, o) for e, o in at[node] if e not in used), default=None):
-            used.add(step[0])
-            node = step[1]
-            nodes.append(node)
-        points = [{"x": place[n][0], "y": place[n][1]} for n in nodes]
-        return pd.DataFrame([{"page": pdf["page"].iloc[0], "run": pdf["run"].iloc[0], "first_edge": pdf["edge"].min(), "points": points, "node_ids": nodes, "length": pdf["length"].sum(), "segment_count": len(pdf), "closed": nodes[0] == nodes[-1]}])
-
-    schema = "page int, run long, first_edge long, points array<struct<x:double,y:double>>, node_ids array<long>, length double, segment_count int, closed boolean"
-    # a loop through one junction is a conductor; a loop without any is a box
-    broken = ends(edges).join(named, ["page", "edge"]).join(two, ["page", "node"], "left_anti").select("page", "run").distinct().withColumn("conductor", F.lit(True))
-    runs = edges.join(named, ["page", "edge"]).groupBy("page", "run").applyInPandas(order, schema)
-    return runs.join(broken, ["page", "run"], "left").withColumn("conductor", F.coalesce("conductor", F.lit(False)))
+    each = ordered(edges).groupBy("page", "run").agg(
+        F.min("edge").alias("first_edge"), F.array_sort(F.collect_list(F.struct("place", "node", "x", "y"))).alias("steps"), F.max(F.struct("place", "to_node", "to_x", "to_y")).alias("end"),
+        F.sum("length").alias("length"), F.count("*").cast("int").alias("segment_count"), F.first("closed").alias("closed"), F.first("conductor").alias("conductor"),
+    )
+    points = F.array_append(F.transform("steps", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))), F.struct(F.col("end.to_x").alias("x"), F.col("end.to_y").alias("y")))
+    nodes = F.array_append(F.transform("steps", lambda s: s["node"]), F.col("end.to_node"))
+    return each.select("page", "run", "first_edge", points.alias("points"), nodes.alias("node_ids"), "length", "segment_count", "closed", "conductor")
 
 
 def glyph_clusters(strokes: DataFrame, prm: Params = Params()) -> DataFrame:

@@ -113,6 +113,21 @@ def wire_chains(spark, sf_dir):
     return found.withColumn("vertices", F.array_join("vertices", " ")).withColumn("via", F.array_join("via", " "))
 
 
+@registered("short_chains", f"""
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT a, b, via FROM {WIRE_SQL} WHERE a <> b UNION SELECT b, a, via FROM {WIRE_SQL} WHERE a <> b
+), c("start", v, seen, n) AS (
+  SELECT DISTINCT "start", "start", ["start"], 0 FROM {PAIR_SQL} WHERE query % 2 = 0
+  UNION ALL SELECT "start", e.b, list_append(seen, e.b), n + 1 FROM c JOIN e ON e.a = c.v WHERE n < 3 AND NOT list_contains(seen, e.b)
+) SELECT "start", n AS steps, count(*) AS chains, count(DISTINCT v) AS ends FROM c WHERE n > 0 GROUP BY ALL
+""")
+def short_chains(spark, sf_dir):
+    """All chains of up to three wires from the least part of each customer's orders."""
+    edges, pairs = _market_wires(spark, sf_dir)
+    found = within(edges, pairs.filter("query % 2 = 0"), 3)
+    return found.groupBy("start", F.size("via").alias("steps")).agg(F.count("*").alias("chains"), F.count_distinct("at").alias("ends"))
+
+
 @registered("breaker_impact", f"""
 WITH RECURSIVE n AS MATERIALIZED (
   SELECT sheet, concat(sheet, '#', component, '-', "at") AS id, "at" AS a, lead("at") OVER (PARTITION BY sheet, component ORDER BY "at") AS b, urgency FROM {SHEET_SQL.format('p_size')}
