@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 
 from wireloom import shared
+from wireloom.operators import graph
 from wireloom.operators.bridges import cut_off
 from wireloom.operators.paths import shortest, within
 from wireloom.plans import query, simulate
@@ -211,3 +212,49 @@ def test_impact_of_a_breaker(small, second, want):
     made = supplies(small, second)
     got = [(r.component, r.lost_nets, r.lost_terminals) for r in query.breaker_impact(made, small.createDataFrame([("IN",)], "net string")).collect()]
     assert got == [want]
+
+
+# runs of conductors
+
+
+def walked(edges):
+    """{nodes: (conductor, length)} of runs of (edge, a, b, length) on one page."""
+    around = defaultdict(list)
+    for e in edges:
+        around[e[1]].append((e[0], e[2], e[3]))
+        around[e[2]].append((e[0], e[1], e[3]))
+    used, out = set(), {}
+
+    def walk(start, step):
+        nodes, length, edge = [start], 0.0, step
+        while True:
+            used.add(edge[0])
+            nodes.append(edge[1])
+            length += edge[2]
+            if len(around[edge[1]]) != 2 or edge[1] == start:
+                return nodes, length
+            edge = next(x for x in around[edge[1]] if x[0] != edge[0])
+
+    for end in (True, False):  # runs between nodes of another degree first, then loops from their least node
+        for start in sorted(v for v in around if (len(around[v]) != 2) == end):
+            for step in sorted(around[start]):
+                if step[0] not in used:
+                    nodes, length = walk(start, step)
+                    out[tuple(nodes)] = (end, length)
+    return out
+
+
+@pytest.mark.parametrize("long", [0, 100_000])
+def test_runs_are_those_of_a_walk(small, long):
+    rnd = random.Random(5)
+    edges = [(k, *rnd.sample(range(90), 2)) for k in range(80)]
+    edges += [(1000 + k, 200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(1100, 300, 301), (1101, 301, 300), (1102, 310, 311), (1103, 311, 312), (1104, 312, 310), (1105, 310, 320)]
+    edges += [(5000 + k, 10**6 + k, 10**6 + k + 1) for k in range(long)] + [(10**6 + k, 5 * 10**6 + k, 5 * 10**6 + (k + 1) % (long // 4)) for k in range(long // 4)]
+    names = {v: v for e in edges for v in e[1:]}
+    if long:  # ids along the run are in no order
+        far = [v for v in names if v >= 10**6]
+        names |= dict(zip(far, rnd.sample(far, len(far)), strict=True))
+    made = [(e, names[a], names[b], float(e % 7 + 1)) for e, a, b in edges]
+    rows = small.createDataFrame(made, "edge long, a long, b long, length double").selectExpr("7 AS page", "*", "double(a) AS ax", "0D AS ay", "double(b) AS bx", "1D AS by").repartition(4)
+    got = {tuple(r.node_ids): (r.conductor, r.length) for r in graph.contract(rows).collect()}
+    assert got == walked(made)

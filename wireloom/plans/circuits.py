@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators.paths import shortest, within
 from ..sources import bridge
 from . import query, simulate
@@ -153,3 +154,41 @@ def breaker_impact(spark, sf_dir):
     """Nets and terminals that each breaker of each customer's sheet cuts off from the urgent orders."""
     made = bridge.breaker_sheets(spark, sf_dir)
     return query.breaker_impact(made, made["sources"])
+
+
+@registered("wire_runs", """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT concat(c_mktsegment, c_nationkey) AS page, concat('W', net, '-', part) AS edge, part AS a, next AS b FROM (
+    SELECT net, part, lead(part) OVER (PARTITION BY net ORDER BY part) AS next FROM (SELECT DISTINCT l_orderkey AS net, l_partkey AS part FROM lineitem)
+  ) JOIN orders ON o_orderkey = net JOIN customer ON c_custkey = o_custkey WHERE next IS NOT NULL
+), d AS MATERIALIZED (
+  SELECT page, edge, a AS f, b AS t FROM e UNION ALL SELECT page, edge, b, a FROM e
+), g AS MATERIALIZED (
+  SELECT page, f AS v, count(*) AS degree FROM d GROUP BY ALL
+), w(page, first, s, edge, v, path) AS (
+  SELECT d.page, d.edge, d.f, d.edge, d.t, [d.f, d.t] FROM d JOIN g ON g.page = d.page AND g.v = d.f WHERE degree <> 2
+  UNION ALL
+  SELECT w.page, w.first, w.s, d.edge, d.t, list_append(w.path, d.t) FROM w JOIN g ON g.page = w.page AND g.v = w.v AND degree = 2 JOIN d ON d.page = w.page AND d.f = w.v AND d.edge <> w.edge
+), l(page, first, s, edge, v, path) AS (
+  SELECT page, edge, f, edge, t, [f, t] FROM d WHERE edge NOT IN (SELECT edge FROM w)
+  UNION ALL
+  SELECT l.page, l.first, l.s, d.edge, d.t, list_append(l.path, d.t) FROM l JOIN d ON d.page = l.page AND d.f = l.v AND d.edge <> l.edge WHERE l.v <> l.s
+), r AS (
+  SELECT w.*, true AS conductor FROM w JOIN g ON g.page = w.page AND g.v = w.v AND degree <> 2 WHERE s < w.v OR (s = w.v AND first < edge)
+  UNION ALL SELECT *, false FROM l WHERE v = s AND s = list_min(path) AND first < edge
+)
+SELECT page, array_to_string(path, ' ') AS nodes, CAST(len(path) - 1 AS INTEGER) AS segments, s = v AS closed, conductor,
+       CAST(list_sum(list_transform(range(1, len(path)), lambda i: abs(path[i + 1] - path[i]))) AS DOUBLE) AS length FROM r
+""")
+def wire_runs(spark, sf_dir):
+    """Runs of wires between parts that are no mere joints, on the sheet of each market and nation."""
+    sheets = bridge.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("net"), F.col("o_custkey").alias("c_custkey")).join(bridge.table(spark, sf_dir, "customer"), "c_custkey")
+    wire = bridge.wires(spark, sf_dir).join(sheets, "net")
+    at = lambda c, n: F.col(c).cast("double").alias(n)
+    edge = F.concat(F.lit("W"), F.col("net").cast("string"), F.lit("-"), F.col("from_part").cast("string"))
+    edges = wire.select(
+        F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("page"), edge.alias("edge"), F.col("from_part").alias("a"), F.col("to_part").alias("b"), at("from_part", "ax"), F.lit(0.0).alias("ay"), at("to_part", "bx"), F.lit(0.0).alias("by"),
+        F.abs(F.col("from_part") - F.col("to_part")).cast("double").alias("length"),
+    )
+    runs = graph.contract(edges)
+    return runs.select("page", F.array_join("node_ids", " ").alias("nodes"), F.col("segment_count").alias("segments"), "closed", "conductor", "length")
