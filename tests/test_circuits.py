@@ -12,6 +12,7 @@ from wireloom import shared
 from wireloom.operators import graph
 from wireloom.operators.bridges import cut_off
 from wireloom.operators.paths import shortest, within
+from wireloom.params import Params
 from wireloom.plans import query, simulate
 
 
@@ -218,12 +219,12 @@ def test_impact_of_a_breaker(small, second, want):
 
 
 def walked(edges):
-    """{nodes: (conductor, length)} of runs of (edge, a, b, length) on one page."""
+    """(nodes, conductor, length) of the runs of (edge, a, b, length) on one page; parallel edges are runs of their own."""
     around = defaultdict(list)
     for e in edges:
         around[e[1]].append((e[0], e[2], e[3]))
         around[e[2]].append((e[0], e[1], e[3]))
-    used, out = set(), {}
+    used, out = set(), []
 
     def walk(start, step):
         nodes, length, edge = [start], 0.0, step
@@ -240,8 +241,8 @@ def walked(edges):
             for step in sorted(around[start]):
                 if step[0] not in used:
                     nodes, length = walk(start, step)
-                    out[tuple(nodes)] = (end, length)
-    return out
+                    out.append((nodes, end, length))
+    return sorted(out)
 
 
 @pytest.mark.parametrize("long", [0, 100_000])
@@ -256,5 +257,33 @@ def test_runs_are_those_of_a_walk(small, long):
         names |= dict(zip(far, rnd.sample(far, len(far)), strict=True))
     made = [(e, names[a], names[b], float(e % 7 + 1)) for e, a, b in edges]
     rows = small.createDataFrame(made, "edge long, a long, b long, length double").selectExpr("7 AS page", "*", "double(a) AS ax", "0D AS ay", "double(b) AS bx", "1D AS by").repartition(4)
-    got = {tuple(r.node_ids): (r.conductor, r.length) for r in graph.contract(rows).collect()}
-    assert got == walked(made)
+    assert sorted((r.node_ids, r.conductor, r.length) for r in graph.contract(rows).collect()) == walked(made)
+
+
+# ends of segments
+
+
+@pytest.mark.parametrize("rounds", [6, 1])
+def test_cells_snap_as_one_end_after_another(small, monkeypatch, rounds):
+    """Ends are one to two tolerances apart, at random and along lines drawn in order; few rounds leave a walk."""
+    monkeypatch.setattr(graph, "ROUNDS", rounds)
+    rnd, tol = random.Random(rounds), 0.35
+    rows = [(page, k, *(rnd.uniform(0, 9) for _ in range(4))) for page in (1, 2) for k in range(260)]
+    rows += [(3, k, 0.4 * k, 1.0, 0.4 * k + 0.4, 1.0) for k in range(60)] + [(3, 100 + k, 20 - 0.55 * k, 3.0, 20.0, 3.0 + 0.5 * k) for k in range(40)] + [(3, 7, 0.0, 0.0, 0.175, 0.525), (3, 7, 5.0, 5.0, 5.0, 5.0)]
+    want, nodes, cells = [], defaultdict(list), defaultdict(dict)
+    for page, seg, x0, y0, x1, y1 in sorted(rows, key=lambda r: r[:2]):
+        pair = []
+        for x, y in ((x0, y0), (x1, y1)):
+            cx, cy = round(x / tol), round(y / tol)
+            near = [cells[page][cx + dx, cy + dy] for dx in (0, -1, 1) for dy in (0, -1, 1) if (cx + dx, cy + dy) in cells[page]]
+            if not near:
+                near = [cells[page].setdefault((cx, cy), len(nodes[page]))]
+                nodes[page].append((x, y))
+            pair.append(near[0])
+        if pair[0] != pair[1]:
+            want.append((page, seg, *pair))
+    made = small.createDataFrame(rows, "page int, seg long, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+    got = graph.snap_cells(made, Params(node_tol=tol)).collect()
+    assert sorted((r.page, r.edge, r.a, r.b) for r in got) == sorted(want)
+    for r in got:
+        assert (r.ax, r.ay) == pytest.approx(nodes[r.page][r.a], abs=0.0051)

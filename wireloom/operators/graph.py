@@ -5,9 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..params import Params
-from ..shared import Tables, cut, walk
+from ..shared import Tables, cut, numbered, walk
 from .components import components
 
 
@@ -67,6 +68,99 @@ def snap_nodes(segments: DataFrame, prm: Params = Params()) -> DataFrame:
     return edges.select("page", "edge", "a", "b", "ax", "ay", "bx", "by", F.sqrt(dx * dx + dy * dy).alias("length"))
 
 
+#: Rounds in which cells decide at once; what depends on longer chains of earlier cells is walked.
+ROUNDS = 6
+#: The order in which the cells around an end are looked through.
+PROBES = [(dx, dy) for dx in (0, -1, 1) for dy in (0, -1, 1)]
+
+
+def _cell_walk():
+    nodes: set[tuple[int, int]] = set()
+
+    def step(row):
+        if row is None:
+            return []
+        _, page, _, _, _, cx, cy = row
+        if any((cx + dx, cy + dy) in nodes for dx, dy in PROBES):
+            return []
+        nodes.add((cx, cy))
+        return [(page, cx, cy)]
+
+    return step
+
+
+def _node_cells(cells: DataFrame, tables: Tables) -> DataFrame:
+    """(page, cx, cy) of the cells (page, cx, cy, born) that get a node: those next to no such cell born earlier.
+
+    A cell whose earlier neighbours are all decided is decided next, so rounds take whole fronts; what is left after
+    ``ROUNDS``, where decisions hang on each other in longer chains, is walked by components, in the order of birth.
+    """
+    at = ["page", "cx", "cy"]
+    other = F.struct((F.col("cx") + F.col("d.dx")).alias("ox"), (F.col("cy") + F.col("d.dy")).alias("oy"))
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in PROBES if (dx, dy) != (0, 0)])).alias("d")
+    near = cells.select(*at, "born", around).select(*at, "born", other.alias("o")).select(*at, "born", "o.*")
+    earlier = near.join(cells.select("page", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("born").alias("before")), ["page", "ox", "oy"]).filter("before < born")
+    earlier = tables.cut(earlier.select(*at, "ox", "oy"), "earlier")
+    open_, left, found = cells.select(*at), 1, []
+    for k in range(ROUNDS):
+        first = tables.cut(open_.join(earlier, at, "left_anti"), f"first-{k}")
+        found.append(first)
+        taken = earlier.join(first.select("page", F.col("cx").alias("ox"), F.col("cy").alias("oy")), ["page", "ox", "oy"], "left_semi").select(*at).distinct()
+        open_, left = tables.counted(open_.join(first, at, "left_anti").join(taken, at, "left_anti"), "open", F.lit(True))
+        if not left:
+            break
+        still = open_.select("page", F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+        earlier = tables.cut(earlier.join(open_, at, "left_semi").join(still, ["page", "ox", "oy"], "left_semi"), "earlier")
+    nodes = found[0]
+    for more in found[1:]:
+        nodes = nodes.union(more)
+    if left:
+        key = lambda x, y: F.xxhash64("page", x, y)
+        tied = components(earlier.select(key("cx", "cy").alias("a"), key("ox", "oy").alias("b")))
+        rows = open_.join(cells, at).withColumn("v", key("cx", "cy")).join(tied, F.col("vertex") == F.col("v"), "left")
+        rows = rows.select(F.coalesce("component", "v").alias("group"), "page", "born.seg", "born.row", "born.end", "cx", "cy")
+        page = rows.schema["page"].dataType
+        out = pa.schema([("page", to_arrow_type(page)), ("cx", pa.int64()), ("cy", pa.int64())])
+        nodes = nodes.union(walk(rows, ["group", "page"], ["seg", "row", "end"], _cell_walk, f"page {page.simpleString()}, cx long, cy long", out))
+    return nodes
+
+
+def snap_cells(segments: DataFrame, prm: Params = Params()) -> DataFrame:
+    """``snap_nodes`` by the cells' own rule: an end takes the node of the first of the 3 x 3 cells around it that has one.
+
+    Cells are node_tol wide about its multiples (halves to even), and looked through in the order of ``PROBES``; a cell
+    has one node at most, that of the end that found none.  So ends of one and the same node may be two cells apart, and
+    ends within the tolerance may get two nodes.  Nodes lie where their first end does, to two digits.
+
+    Only the first end of a cell can make its node, so a cell decides once: ends are first reduced to cells, these
+    decide in rounds (``_node_cells``), and each end then looks up the nodes that were there before it.
+    """
+    tables = Tables(segments.sparkSession)
+    own = tables.cut(segments.select("page", "seg", "x0", "y0", "x1", "y1").withColumn("row", F.monotonically_increasing_id()), "segments")
+    end = lambda k: F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    points = own.select("page", "seg", "row", F.explode(F.array(end(0), end(1))).alias("e")).select("page", "seg", "row", "e.*")
+    cell = lambda c: F.rint(F.col(c) / prm.node_tol).cast("long")
+    points = points.withColumn("cx", cell("x")).withColumn("cy", cell("y")).withColumn("born", F.struct("seg", "row", "end"))
+    cells = tables.cut(points.groupBy("page", "cx", "cy").agg(F.min("born").alias("born"), F.min_by(F.struct("x", "y"), "born").alias("p")), "cells")
+    nodes = _node_cells(cells.select("page", "cx", "cy", "born"), tables).join(cells, ["page", "cx", "cy"])
+    nodes = tables.cut(nodes.select("page", "cx", "cy", "born.*", F.round("p.x", 2).alias("nx"), F.round("p.y", 2).alias("ny")), "nodes")
+    placed = numbered(nodes, ["page", "seg", "row", "end"], "place")
+    first = placed.groupBy("page").agg(F.min("place").alias("low"))
+    nodes = tables.cut(placed.join(first, "page").withColumn("node", F.col("place") - F.col("low")), "numbered")
+    seen_from = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(PROBES)])).alias("d")
+    seen = nodes.select("page", F.struct("seg", "row", "end").alias("since"), "node", "nx", "ny", "cx", "cy", seen_from)
+    seen = seen.select("page", (F.col("cx") - F.col("d.dx")).alias("cx"), (F.col("cy") - F.col("d.dy")).alias("cy"), "since", F.struct("d.rank", "node", "nx", "ny").alias("found"))
+    met = points.join(seen, ["page", "cx", "cy"]).filter("since <= born")
+    side = lambda k: F.min(F.when(F.col("end") == k, F.col("found")))
+    tied = met.groupBy("row").agg(side(0).alias("a"), side(1).alias("b")).filter("a.node <> b.node")
+    dx, dy = F.col("a.nx") - F.col("b.nx"), F.col("a.ny") - F.col("b.ny")
+    edges = own.select("page", F.col("seg").alias("edge"), "row").join(tied, "row")
+    made = edges.select("page", "edge", F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.nx").alias("ax"), F.col("a.ny").alias("ay"), F.col("b.nx").alias("bx"), F.col("b.ny").alias("by"), F.sqrt(dx * dx + dy * dy).alias("length"))
+    made = tables.cut(made, "made")
+    tables.drop(*[name for name in list(tables.paths) if name != "made"])
+    return made
+
+
 def ends(edges: DataFrame) -> DataFrame:
     """A row for each end of each edge."""
     return edges.select("page", "edge", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("b").alias("node"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e")).select("page", "edge", "e.*")

@@ -25,6 +25,7 @@ class Params:
     review_confidence: float = 0.7
     layers: tuple[str, ...] = ()
     page: int | None = None
+    node_rule: str = "cells"  # or "distance": the oldest node within node_tol
     documented_junctions: bool = False
 
     @classmethod

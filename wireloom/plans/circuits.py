@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.paths import shortest, within
+from ..params import Params
 from ..sources import bridge
 from . import query, simulate
 from .registry import registered
@@ -192,3 +193,34 @@ def wire_runs(spark, sf_dir):
     )
     runs = graph.contract(edges)
     return runs.select("page", F.array_join("node_ids", " ").alias("nodes"), F.col("segment_count").alias("segments"), "closed", "conductor", "length")
+
+
+@registered("snapped_ends", """
+WITH RECURSIVE p AS (
+  SELECT label AS page, vec_id AS seg, unnest([0, 1]) AS e, unnest([CAST(embedding[1] AS DOUBLE), CAST(embedding[3] AS DOUBLE)]) AS x, unnest([CAST(embedding[2] AS DOUBLE), CAST(embedding[4] AS DOUBLE)]) AS y FROM embeddings
+), c AS (
+  SELECT *, CAST(round_even(x / 0.04, 0) AS BIGINT) AS cx, CAST(round_even(y / 0.04, 0) AS BIGINT) AS cy, row_number() OVER (PARTITION BY page ORDER BY seg, e) AS t FROM p
+), f AS MATERIALIZED (
+  SELECT page, cx, cy, min(t) AS t, arg_min(round(x, 2), t) AS x, arg_min(round(y, 2), t) AS y, row_number() OVER (PARTITION BY page ORDER BY min(t)) AS n FROM c GROUP BY page, cx, cy
+), s(page, n, nodes) AS (
+  SELECT DISTINCT page, CAST(0 AS BIGINT), CAST([] AS STRUCT(cx BIGINT, cy BIGINT, t BIGINT)[]) FROM f
+  UNION ALL
+  SELECT s.page, f.n, CASE WHEN len(list_filter(nodes, lambda o: abs(o.cx - f.cx) <= 1 AND abs(o.cy - f.cy) <= 1)) > 0 THEN nodes ELSE list_append(nodes, {'cx': f.cx, 'cy': f.cy, 't': f.t}) END
+  FROM s JOIN f ON f.page = s.page AND f.n = s.n + 1
+), k AS (
+  SELECT page, unnest(nodes) AS o, generate_subscripts(nodes, 1) - 1 AS node FROM (SELECT page, arg_max(nodes, n) AS nodes FROM s GROUP BY page)
+), r AS (
+  SELECT c.page, c.seg, c.e, arg_min(k.node, (list_position([0, -1, 1], k.o.cx - c.cx), list_position([0, -1, 1], k.o.cy - c.cy))) AS node
+  FROM c JOIN k ON k.page = c.page AND abs(k.o.cx - c.cx) <= 1 AND abs(k.o.cy - c.cy) <= 1 AND k.o.t <= c.t GROUP BY ALL
+), n AS (
+  SELECT k.page, k.node, f.x, f.y FROM k JOIN f ON f.page = k.page AND f.cx = k.o.cx AND f.cy = k.o.cy
+)
+SELECT a.page, a.seg AS edge, a.node AS a, b.node AS b, na.x AS ax, na.y AS ay, nb.x AS bx, nb.y AS "by"
+FROM r a JOIN r b ON b.page = a.page AND b.seg = a.seg AND a.e = 0 AND b.e = 1 JOIN n na ON na.page = a.page AND na.node = a.node JOIN n nb ON nb.page = b.page AND nb.node = b.node WHERE a.node <> b.node
+""")
+def snapped_ends(spark, sf_dir):
+    """Vectors as segments from their first two components to the next two, a label being a page, with ends snapped to nodes."""
+    e = bridge.table(spark, sf_dir, "embeddings")
+    at = lambda k, n: F.get("embedding", F.lit(k)).cast("double").alias(n)
+    segments = e.select(F.col("label").alias("page"), F.col("vec_id").alias("seg"), at(0, "x0"), at(1, "y0"), at(2, "x1"), at(3, "y1"))
+    return graph.snap_cells(segments, Params(node_tol=0.04)).drop("length")

@@ -184,7 +184,8 @@ def extract(primitives: DataFrame, label_boxes: DataFrame | None = None, prm: Pa
     marks = cut(symbols(routes, prm), "symbols")
     segments = routes.filter("route = 'segment'").select("page", F.xxhash64("group_id", "item").alias("h"), "group_id", "item", "x0", "y0", "x1", "y1")
     segments = segments.withColumn("seg", F.row_number().over(Window.partitionBy("page").orderBy("group_id", "item")).cast("long"))
-    edges = cut(graph.snap_nodes(segments.select("page", "seg", "x0", "y0", "x1", "y1"), prm), "edges")
+    snap = {"cells": graph.snap_cells, "distance": graph.snap_nodes}[prm.node_rule]
+    edges = cut(snap(segments.select("page", "seg", "x0", "y0", "x1", "y1"), prm), "edges")
     wires, loops = conductors(edges)
     wires = cut(attach(wires, names, prm), "conductors")
     nets = cut(graph.nets(wires), "nets")
