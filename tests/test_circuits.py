@@ -287,3 +287,10 @@ def test_cells_snap_as_one_end_after_another(small, monkeypatch, rounds):
     assert sorted((r.page, r.edge, r.a, r.b) for r in got) == sorted(want)
     for r in got:
         assert (r.ax, r.ay) == pytest.approx(nodes[r.page][r.a], abs=0.0051)
+
+
+def test_parameter_files_load():
+    prm = Params.merged('{"node_snap": 0.5, "ortho_tol": 0.1, "ocr_dpi": 300, "word_gap_ratio": 2}', bind_radius=9.0)
+    assert (prm.node_tol, prm.ortho_tol, prm.ocr_dpi, prm.gap_factor, prm.bind_radius, prm.ocr_pad) == (0.5, 0.1, 300, 2, 9.0, 2.5)
+    with pytest.raises(TypeError):
+        Params.merged('{"nowhere": 1}')

@@ -23,6 +23,9 @@ class Params:
     bind_radius: float = 7.0
     label_radius_factor: float = 1.6
     review_confidence: float = 0.7
+    ortho_tol: float = 0.25
+    ocr_dpi: float = 600.0
+    ocr_pad: float = 2.5
     layers: tuple[str, ...] = ()
     page: int | None = None
     node_rule: str = "cells"  # or "distance": the oldest node within node_tol
@@ -30,8 +33,16 @@ class Params:
 
     @classmethod
     def merged(cls, text: str | None = None, **overrides) -> Params:
-        """The defaults, overridden by a JSON object and by keywords; unknown names are an error."""
-        return cls(**{**(json.loads(text) if text else {}), **overrides})
+        """The defaults, overridden by a JSON object and by keywords; unknown names are an error, those of ``FILE_NAMES`` are known."""
+        given = {FILE_NAMES.get(name, name): value for name, value in (json.loads(text) if text else {}).items()}
+        return cls(**{**given, **overrides})
 
     def to_json(self) -> str:
         return json.dumps(dataclasses.asdict(self))
+
+
+# What existing parameter files call some of these.
+FILE_NAMES = {
+    "node_snap": "node_tol", "line_band": "baseline_tol", "word_gap_ratio": "gap_factor", "label_attach_dy": "label_gap",
+    "endpoint_bind_radius": "bind_radius", "terminal_dot_max_dia": "terminal_diameter",
+}

@@ -70,11 +70,11 @@ def labels(boxes: DataFrame, known_designators: list[str] | None = None) -> Data
     return both.select("page", "id", "text", F.col("raw").alias("raw_ocr"), "confidence", kind.alias("kind"), "orientation", "x0", "y0", "x1", "y1", c["x"].alias("cx"), c["y"].alias("cy"))
 
 
-def conductors(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def conductors(edges: DataFrame, prm: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """Conductors and boxes from the edges of a page's graph."""
     runs = cut(graph.contract(edges), "runs")
     number = F.row_number().over(Window.partitionBy("page").orderBy("first_edge"))
-    run = horizontal_run(F.col("points"))
+    run = horizontal_run(F.col("points"), prm.ortho_tol)
     wires = runs.filter("conductor").select(
         "page", F.format_string("C%04d", number).alias("id"), "points", "node_ids", F.round(length(F.col("points")), 2).alias("length"), "segment_count", run.alias("run"),
         F.array(F.element_at("node_ids", 1), F.element_at("node_ids", -1)).alias("end_nodes"), F.array(F.element_at("points", 1), F.element_at("points", -1)).alias("endpoints"),
@@ -186,7 +186,7 @@ def extract(primitives: DataFrame, label_boxes: DataFrame | None = None, prm: Pa
     segments = segments.withColumn("seg", F.row_number().over(Window.partitionBy("page").orderBy("group_id", "item")).cast("long"))
     snap = {"cells": graph.snap_cells, "distance": graph.snap_nodes}[prm.node_rule]
     edges = cut(snap(segments.select("page", "seg", "x0", "y0", "x1", "y1"), prm), "edges")
-    wires, loops = conductors(edges)
+    wires, loops = conductors(edges, prm)
     wires = cut(attach(wires, names, prm), "conductors")
     nets = cut(graph.nets(wires), "nets")
     crossings = graph.junctions(edges, prm)

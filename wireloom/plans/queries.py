@@ -628,6 +628,15 @@ def crop_targets(spark, sf_dir):
     return tiles.crop_targets(names.withColumn("id", F.col("id").cast("string")), queue).select("page", F.col("id").cast("long").alias("id"))
 
 
+CROPS = ["40", "7", "100", "7", "3", "99999999", "11"]
+
+
+@registered("crop_list", f"SELECT i.place, l.page, l.id FROM {L_SQL} l JOIN (SELECT unnest({CROPS}) AS id, CAST(unnest(range({len(CROPS)})) AS INTEGER) AS place) i ON CAST(l.id AS VARCHAR) = i.id WHERE orientation <> 'graphic'")
+def crop_list(spark, sf_dir):
+    """Labels by a list of ids, in its order, as it repeats them and without graphics."""
+    return tiles.crop_targets(_doubtful(spark, sf_dir), None, CROPS).select("place", "page", "id")
+
+
 @registered("crop_boxes", "SELECT event_id AS id, CAST(floor(greatest(0.0::DOUBLE, (value - 2.5) * (600::DOUBLE / 72))) AS INTEGER) AS left_px, false AS too_small FROM events WHERE value < 1200")
 def crop_boxes(spark, sf_dir):
     """The left edge, in pixels, of the padded crop of each label."""

@@ -34,9 +34,15 @@ def sheets(items: DataFrame, key: list[str], order: list[str], per_sheet: int, c
 
 
 def crop_targets(names: DataFrame, queue: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """The labels to crop: those with the given ids, or else those that the review queue calls doubtful and that are no graphic."""
+    """The labels to crop, no graphics: those that the review queue calls doubtful, or else those with the given ids.
+
+    With ids each label has its ``place`` in the list, from 0 on, once for each time that it is listed there; ids that no
+    label has are left out.
+    """
     if ids is not None:
-        return names.filter(F.col("id").isin(ids))
+        listed = names.sparkSession.createDataFrame(list(enumerate(ids)), "place int, wireloom_id string")
+        found = names.filter("orientation <> 'graphic'").join(F.broadcast(listed), F.col("id").cast("string") == F.col("wireloom_id"))  # a list that the caller holds
+        return found.drop("wireloom_id")
     flagged = queue.filter("kind = 'low_confidence_label'").select("page", "id").distinct()
     return names.filter("orientation <> 'graphic'").join(flagged, ["page", "id"], "left_semi")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
 from ..plans.netlist import sheeted
+from . import snapshots
 
 #: A netlist document: one JSON object with a list for each table.
 NETLIST = """
@@ -103,9 +104,9 @@ def page_geometry(spark: SparkSession, path: str, page: int, schema: str) -> Dat
 
 
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A graph's three tables; relationships without keywords or tables without their columns are an error."""
+    """The three tables of a graph's last commit; relationships without keywords or tables without their columns are an error."""
     need = {"chunks": {"content", "source_id"}, "entities": {"entity_name", "entity_type", "source_id"}, "relationships": {"src_id", "tgt_id", "keywords", "source_id"}}
-    graph = {name: spark.read.parquet(f"{path}/{name}") for name in need}
+    graph = snapshots.tables(spark, path) or {name: spark.read.parquet(f"{path}/{name}") for name in need}  # or tables that were written one by one
     for name, columns in need.items():
         if lacking := columns - set(graph[name].columns):
             raise ValueError(f"{name} lacks {sorted(lacking)}")
