@@ -14,7 +14,7 @@ from ..operators.spatial import band_join, nearest
 from ..sources import sheet
 from ..sources.bridge import net_edges, points, table, terminals, wires
 from ..streaming.events import sessions, windowed
-from . import circuits, extract, kg, netlist, query, simulate, tiles  # circuits registers its queries
+from . import circuits, extract, kg, netlist, query, questions, simulate, tiles  # circuits and questions register their queries
 from .registry import ORACLES, QUERIES, registered
 
 

@@ -14,10 +14,12 @@ EXTERNAL = ("external_drawing", "external_machine")
 
 
 def metadata(netlist: dict[str, DataFrame]) -> DataFrame:
+    """(field, value) of a drawing; with drawing_no, where the netlist has it, of each drawing."""
     d = netlist["drawing"]
-    flat = d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("value")) for k in ("drawing_number", "revision", "title", "date", "assembly")])).alias("x")).select("x.*")
+    own = ["drawing_no"] if "drawing_no" in d.columns else []
+    flat = d.select(*own, F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("value")) for k in ("drawing_number", "revision", "title", "date", "assembly")])).alias("x")).select(*own, "x.*")
     for name, field in (("references", "reference"), ("notes", "note")):
-        flat = flat.union(d.select(F.lit(field), F.explode(name)))
+        flat = flat.union(d.select(*own, F.lit(field), F.explode(name)))
     return flat
 
 
@@ -30,17 +32,23 @@ def attribute(netlist: dict[str, DataFrame], name: str) -> DataFrame:
     return netlist["components"].select("id", F.explode("ratings").alias("r")).filter(F.col("r.k") == name).select("id", F.col("r.v").alias("value"))
 
 
-def net_explorer(netlist: dict[str, DataFrame], net: str) -> DataFrame:
-    """(kind, id, component) of the wires and terminals of a net."""
-    wires = netlist["wires"].filter(F.col("net") == net).select(F.lit("wire").alias("kind"), "id", F.lit(None).cast("string").alias("component"))
-    return wires.union(netlist["terminals"].filter(F.col("net") == net).select(F.lit("terminal"), "id", "parent_component"))
+def net_explorer(netlist: dict[str, DataFrame], net: str | None = None) -> DataFrame:
+    """(net, kind, id, component) of the wires and terminals of a net, or of all nets."""
+    asked = F.col("net").isNotNull() if net is None else F.col("net") == net
+    wires = netlist["wires"].filter(asked).select("net", F.lit("wire").alias("kind"), "id", F.lit(None).cast("string").alias("component"))
+    return wires.union(netlist["terminals"].filter(asked).select("net", F.lit("terminal"), "id", "parent_component"))
 
 
 def _part(terminal: Column) -> Column:
     return F.regexp_extract(terminal, r"^(.*?):", 1)
 
 
-def wires_at(netlist: dict[str, DataFrame], component: str) -> DataFrame:
+def wires_at(netlist: dict[str, DataFrame], component: str | None = None) -> DataFrame:
+    """The wires that end at a component; or, with ``component`` before their columns, at each."""
+    if component is None:
+        w = netlist["wires"].drop("ord")
+        ends = F.array_distinct(F.array(_part(F.col("from_terminal")), _part(F.col("to_terminal"))))
+        return w.select(F.explode(ends).alias("component"), *w.columns).filter("component <> ''")
     return netlist["wires"].filter((_part(F.col("from_terminal")) == component) | (_part(F.col("to_terminal")) == component)).drop("ord")
 
 
@@ -57,6 +65,16 @@ def shared_nets(netlist: dict[str, DataFrame], one: str, two: str) -> DataFrame:
     return a.join(t.filter(F.col("parent_component") == two).select("net", F.col("id").alias("terminal_2")), "net")
 
 
+def shared_by_pairs(netlist: dict[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """pairs (one, two) of components with each net that both are on: (one, two, net, terminal_1, terminal_2).
+
+    The terminals of the first meet those of the second by (component, net), so no net's terminals meet each other.
+    """
+    t = netlist["terminals"].filter("net IS NOT NULL").select("parent_component", "net", "id")
+    first = pairs.join(t.select(F.col("parent_component").alias("one"), "net", F.col("id").alias("terminal_1")), "one")
+    return first.join(t.select(F.col("parent_component").alias("two"), "net", F.col("id").alias("terminal_2")), ["two", "net"]).select("one", "two", "net", "terminal_1", "terminal_2")
+
+
 def power_domains(netlist: dict[str, DataFrame]) -> DataFrame:
     return netlist["components"].groupBy("power_domain").agg(F.count("*").alias("n"))
 
