@@ -26,14 +26,14 @@ def _sign(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(vertex, component) of all vertices of edges (a, b) but the least of each component, which names it.
 
     A vertex keeps an edge to some lower vertex throughout, so hubs only grow at the names; their rows are summed
     before they are dealt.  Each round is written to the shared folder, in place of the one before; rounds grow with
-    the logarithm of the vertices.
+    the logarithm of the vertices.  The result reads a table named "stars" of tables.
     """
-    tables = Tables(edges.sparkSession)
+    tables = tables or Tables(edges.sparkSession)
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = tables.cut(edges, "stars")
     before = None

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.matching import greedy_match
 from ..sources import plant
+from ..sources.bridge import table
 from . import kg, netlist, query
 from .registry import registered
 
@@ -180,3 +182,20 @@ def plant_fragments(spark, sf_dir):
 def plant_prose(spark, sf_dir):
     """The entity, with its prose, of every row of every sheet."""
     return kg.build(_plant(spark, sf_dir))["entities"].drop("file_path")
+
+
+@registered("sheet_matching", """
+WITH RECURSIVE c AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY page ORDER BY gap, label, role) AS n FROM (
+    SELECT o_custkey AS page, l_partkey AS label, l_suppkey % 10 AS role, min(l_extendedprice) AS gap FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+), s(page, n, labels, roles, took) AS (
+  SELECT DISTINCT page, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false FROM c
+  UNION ALL
+  SELECT page, n, CASE WHEN free THEN list_append(labels, label) ELSE labels END, CASE WHEN free THEN list_append(roles, role) ELSE roles END, free FROM (
+    SELECT c.*, labels, roles, NOT list_contains(labels, label) AND NOT list_contains(roles, role) AS free FROM s JOIN c ON c.page = s.page AND c.n = s.n + 1)
+) SELECT page, label, role, gap FROM s JOIN c USING (page, n) WHERE took""")
+def sheet_matching(spark, sf_dir):
+    """Parts of each customer's orders given to groups of its suppliers, the cheapest first, each once."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = items.groupBy(F.col("o_custkey").alias("page"), F.col("l_partkey").alias("label"), (F.col("l_suppkey") % 10).alias("role")).agg(F.min("l_extendedprice").alias("gap"))
+    return greedy_match(pairs, ["page", "label"], ["page", "role"], ["page", "gap", "label", "role"])

@@ -78,13 +78,15 @@ class Tables:
                 remove(self.spark, self.paths.pop(what))
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, tables: Tables | None = None) -> DataFrame:
     """df with each row's place, from 0 on, in the order of these columns, nulls first.
 
     Rows are dealt and sorted by ranges of the order; only one count for each partition is brought together.
+    The result reads a table named "ranged" of tables, which the caller may drop once it has written the result.
     """
+    tables = tables or Tables(df.sparkSession)
     at, part, before, size = (f"wireloom_{x}" for x in ("at", "part", "before", "size"))
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranged")
+    ranged = tables.cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranged")
     bits = 33  # of a monotonically increasing id, which tell a row's place in its partition
     ranged = ranged.withColumn(part, F.shiftright(at, bits))
     counts = ranged.groupBy(part).agg(F.count("*").alias(size))
