@@ -51,7 +51,12 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """The ids, each in so many bits, most significant bit first; the last byte is filled up with zeros."""
+    """The ids, each in so many bits, most significant bit first; the last byte is filled up with zeros.
+
+    An id that so many bits don't hold is an error.
+    """
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} needs more than {bits} bits: the vocabulary is larger than stated")
     if bits in (8, 16, 32):
         return ids.astype(f">u{bits // 8}").tobytes()
     places = np.arange(bits - 1, -1, -1, dtype=np.uint32)
@@ -213,6 +218,8 @@ def encode(df: DataFrame, path: str | None = None, size: int = VOCABULARY, end_i
 
     def run(batches):
         for docs, ids, lengths in encoded(batches, path, end_id):
+            if step == 2 and len(ids) and int(ids.max()) >> 16:
+                raise ValueError(f"id {int(ids.max())} is none of {size}")
             yield pa.RecordBatch.from_arrays([docs, as_binary(ids.astype(f"<u{step}"), lengths)], names=["doc_id", "ids"])
 
     return df.select(doc_id, text).mapInArrow(run, "doc_id long, ids binary")
