@@ -119,6 +119,34 @@ def test_more_scenarios_than_a_run_takes(small, monkeypatch):
         simulate.simulate(netlist, small.createDataFrame([(64 * k, "A#P", True) for k in range(3)], "scenario long, component string, closed boolean"))
 
 
+@pytest.mark.parametrize("held", [0, 40])
+def test_sheets_settle_in_tasks_as_in_rounds(small, monkeypatch, held):
+    rnd = random.Random(5)
+    made = [circuit(rnd, sheet) for sheet in ("A", "B")]
+    parts, pins = [p for m in made for p in m[0]], [p for m in made for p in m[1]]
+    parts += [(f"C#Y{k}", "push_button") for k in range(60)]  # a larger sheet
+    pins += [(f"C#Y{k}", p, f"C#{n}") for k in range(60) for p, n in (("1", "24E-1" if k == 0 else f"N{k}"), ("4", f"N{k + 1}"))]
+    settings = small.createDataFrame([(s, c, rnd.random() < 0.9 and (s % 2 > 0 or not c.endswith("#P"))) for s in range(8) for c, kind in parts if kind != "relay"], "scenario long, component string, closed boolean")
+    netlist = {
+        "components": small.createDataFrame(parts, "id string, class string"),
+        "terminals": small.createDataFrame([(f"{c}:{p}", c, n) for c, p, n in pins], "id string, parent_component string, net string"),
+        "nets": small.createDataFrame([(n,) for n in sorted({n for _, _, n in pins})], "id string"),
+    }
+
+    def shown():
+        out = simulate.simulate(netlist, settings)
+        moving = {(r.scenario, r.sheet) for r in out["oscillating"].collect()}
+        settled = lambda r, c: (r.scenario, r[c].split("#")[0]) not in moving
+        return moving, {tuple(r) for r in out["coils"].collect() if settled(r, "component")}, {tuple(r) for r in out["nets"].collect() if settled(r, "net")}
+
+    whole, in_rounds = shown(), []
+    monkeypatch.setattr(simulate, "HELD", held)
+    rounds = simulate._rounds
+    monkeypatch.setattr(simulate, "_rounds", lambda devices, tables: in_rounds.append({r.sheet for r in devices.select("sheet").distinct().collect()}) or rounds(devices, tables))
+    assert shown() == whole and whole[1]
+    assert in_rounds == [{"C"} if held else {"A", "B", "C"}]
+
+
 # paths
 
 

@@ -1,16 +1,18 @@
 """Relay logic to a fixpoint, 64 scenarios in a long: closed contacts join nets, joined nets energise coils.
 
 A switch has a mask of the scenarios in which it is closed, a net one of those in which it is tied to the source and one
-for the return, a coil one of those in which it is energised.  Masks spread over the switches by joins on (block, net) in
-which only what a round added takes part, so scenarios multiply no rows but for each further block of 64.
+for the return, a coil one of those in which it is energised, so scenarios multiply no rows but for each further block of
+64.  Nothing passes from sheet to sheet: a sheet of a bounded number of devices is settled in the task it is dealt to.
+Larger ones run in rounds for all of them, where masks spread by joins on (block, net) of what a round added.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import Tables
+from ..shared import Tables, walk
 from .netlist import SHEET, bare
 
 SOURCE, RETURN = "24E-1", "0V"
@@ -18,6 +20,9 @@ SOURCE, RETURN = "24E-1", "0V"
 BLOCKS = 4096
 #: Switches that masks pass in one job.
 HOPS = 2
+FULL = (1 << 64) - 1
+#: Switches, coils and poles of a sheet in a block up to which one task settles it; larger sheets run in rounds.
+HELD = 20_000
 
 
 def _pairs(netlist: dict[str, DataFrame], ends: list[tuple[str, str, str]], name: str) -> DataFrame:
@@ -81,6 +86,69 @@ def _hop(labels: DataFrame, closed: DataFrame) -> DataFrame:
     return met.select("block", "net", F.expr("p | mp").alias("p"), F.expr("z | mz").alias("z"), F.expr("mp & ~p").alias("dp"), F.expr("mz & ~z").alias("dz"))
 
 
+def _settled(devices: list[tuple], live: int) -> list[tuple]:
+    """The nets, coils and oscillating scenarios of one sheet and block, by the rounds of ``simulate_masks``."""
+    coils = [(c, a, b) for role, c, a, b, *_ in devices if role == "coil"]
+    switches = [d[1:] for d in devices if d[0] == "switch"]
+    start = {SOURCE: {}, RETURN: {}}
+    for role, name, net, *_ in devices:
+        if role == "pole":
+            start[name][net] = live
+    on, saved, done, turn = {}, {}, 0, 0
+    while True:
+        ways: dict[str, list[tuple[str, int]]] = {}
+        for component, a, b, hand, when_on, opened in switches:
+            lit_up = on.get(component, 0)
+            mask = live & (~opened if hand else lit_up if when_on else ~lit_up)
+            if mask:
+                ways.setdefault(a, []).append((b, mask))
+                ways.setdefault(b, []).append((a, mask))
+        tied = {}
+        for pole, nets in start.items():
+            has, new = dict(nets), dict(nets)
+            while new:
+                net, bits = new.popitem()
+                for other, mask in ways.get(net, ()):
+                    if came := bits & mask & ~has.get(other, 0):
+                        has[other] = has.get(other, 0) | came
+                        new[other] = new.get(other, 0) | came
+            tied[pole] = has
+        p, z = tied[SOURCE], tied[RETURN]
+        fed: dict[str, int] = {}
+        for component, a, b in coils:
+            fed[component] = fed.get(component, 0) | (p.get(a, 0) & z.get(b, 0)) | (z.get(a, 0) & p.get(b, 0))
+        if turn & (turn - 1) == 0:
+            saved = on
+        changed = differ = 0
+        for component, bits in fed.items():
+            changed |= bits ^ on.get(component, 0)
+            differ |= bits ^ saved.get(component, 0)
+        on, turn, done = fed, turn + 1, done | (live & ~changed) | (live & ~differ)
+        if done == live:
+            break
+    out = [("net", n, p.get(n, 0), z.get(n, 0)) for n in {**p, **z}]
+    out += [("coil", c, bits, 0) for c, bits in on.items() if bits]
+    return out + ([("oscillates", None, changed, 0)] if changed else [])
+
+
+def _sheet_walk():
+    at, devices = None, []
+
+    def step(row):
+        nonlocal at
+        if row is not None:
+            at = row[:3]
+            devices.append(row[3:])
+            return []
+        block, sheet, live = at
+        long = lambda m: m - (1 << 64) if m >> 63 else m
+        # masks are without sign here, so that ~ and & keep to 64 bits
+        mine = [(*d[:6], d[6] & FULL) for d in devices]
+        return [(kind, block, sheet, name, long(x), long(y)) for kind, name, x, y in _settled(mine, live & FULL)]
+
+    return step
+
+
 def simulate(netlist: dict[str, DataFrame], settings: DataFrame) -> dict[str, DataFrame]:
     """``simulate_masks`` for settings (scenario, component, closed), scenario by scenario.
 
@@ -110,12 +178,46 @@ def simulate_masks(netlist: dict[str, DataFrame], live: DataFrame, opened: DataF
     blocks = F.explode(F.arrays_zip(F.lit([r["block"] for r in found]).cast("array<long>").alias("block"), F.lit([r["live"] for r in found]).cast("array<long>").alias("live")))
     dealt = lambda df: df.withColumn("wireloom_block", blocks).select("wireloom_block.block", "wireloom_block.live", *df.columns)
     none = F.lit(0).cast("long")
-    switches = dealt(switch_edges(netlist).filter("net_1 <> net_2").select("component", "net_1", "net_2", "hand", "when_on").distinct())
-    switches = tables.cut(switches.join(opened, ["block", "component"], "left").withColumn("opened", F.coalesce("opened", none)), "switches")
-    coil_of = tables.cut(dealt(_pairs(netlist, COILS, "coil").select("component", "net_1", "net_2").distinct()), "coil_of")
+    sheet = lambda c: F.when(F.contains(c, F.lit(SHEET)), F.substring_index(c, SHEET, 1)).otherwise("")
+    switches = switch_edges(netlist).filter("net_1 <> net_2").select("component", "net_1", "net_2", "hand", "when_on").distinct()
+    switches = dealt(tables.cut(switches, "edges")).join(opened, ["block", "component"], "left").withColumn("opened", F.coalesce("opened", none))
+    coil_of = dealt(_pairs(netlist, COILS, "coil").select("component", "net_1", "net_2").distinct())
     poles = dealt(netlist["terminals"].select("net").filter(bare(F.col("net")).isin(SOURCE, RETURN)).distinct())
-    pole = lambda name: F.when(bare(F.col("net")) == name, F.col("live")).otherwise(none)
-    poles = tables.cut(poles.select("block", "net", pole(SOURCE).alias("p"), pole(RETURN).alias("z"), pole(SOURCE).alias("dp"), pole(RETURN).alias("dz")), "poles")
+    no = F.lit(None)
+    rows = switches.select("block", sheet("component").alias("sheet"), "live", F.lit("switch").alias("role"), "component", "net_1", "net_2", "hand", "when_on", "opened")
+    rows = rows.union(coil_of.select("block", sheet("component"), "live", F.lit("coil"), "component", "net_1", "net_2", no, no, none))
+    rows = rows.union(poles.select("block", sheet("net"), "live", F.lit("pole"), bare(F.col("net")), "net", "net", no, no, none))
+    # a device whose nets lie on another sheet ties sheets together, which then all run in rounds
+    strays = (sheet("net_1") != F.col("sheet")) | (sheet("net_2") != F.col("sheet"))
+    rows, astray = tables.counted(rows, "devices", strays)
+    size = rows.groupBy("block", "sheet").agg(F.count("*").alias("size")).filter(F.lit(bool(astray)) | (F.col("size") > HELD))
+    large = tables.cut(size.select("block", "sheet"), "large")
+    if large.isEmpty():
+        held, beyond = rows, None
+    else:
+        held, beyond = rows.join(large, ["block", "sheet"], "left_anti"), rows.join(large, ["block", "sheet"], "left_semi")
+    out = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("sheet", pa.string()), ("name", pa.string()), ("x", pa.int64()), ("y", pa.int64())])
+    key = ["block", "sheet", "live"]
+    made = tables.cut(walk(held.select(*key, "role", "component", "net_1", "net_2", "hand", "when_on", "opened"), key, [], _sheet_walk, "kind string, block long, sheet string, name string, x long, y long", out), "made")
+    labels = made.filter("kind = 'net'").select("block", F.col("name").alias("net"), F.col("x").alias("p"), F.col("y").alias("z"))
+    coils = made.filter("kind = 'coil'").select("block", F.col("name").alias("component"), F.col("x").alias("on"))
+    moving = made.filter("kind = 'oscillates'").select("block", "sheet", F.col("x").alias("changed"))
+    if beyond is not None:
+        more = _rounds(beyond, tables)
+        labels, coils, moving = labels.union(more[0]), coils.union(more[1]), moving.union(more[2])
+    tables.drop("edges", "devices", "large")
+    nets = dealt(netlist["nets"].select(F.col("id").alias("net"))).join(labels.select("block", "net", F.col("p").alias("has24"), F.col("z").alias("has0")), ["block", "net"], "left")
+    nets = nets.select("block", "net", "live", F.coalesce("has24", none).alias("has24"), F.coalesce("has0", none).alias("has0"))
+    return {"nets": nets, "coils": coils, "oscillating": moving}
+
+
+def _rounds(devices: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(block, net, p, z), (block, component, on), (block, sheet, changed) of sheets of any size, in rounds for all of them."""
+    none = F.lit(0).cast("long")
+    switches = tables.cut(devices.filter("role = 'switch'").select("block", "component", "live", "net_1", "net_2", "hand", "when_on", "opened"), "switches")
+    coil_of = tables.cut(devices.filter("role = 'coil'").select("block", "live", "component", "net_1", "net_2"), "coil_of")
+    pole = lambda name: F.when(F.col("component") == name, F.col("live")).otherwise(none)
+    poles = tables.cut(devices.filter("role = 'pole'").select("block", F.col("net_1").alias("net"), pole(SOURCE).alias("p"), pole(RETURN).alias("z"), pole(SOURCE).alias("dp"), pole(RETURN).alias("dz")), "poles")
     sheet = F.when(F.contains("component", F.lit(SHEET)), F.substring_index("component", SHEET, 1)).otherwise("")
     state = tables.cut(coil_of.select("block", "live", "component", *[none.alias(c) for c in ("on", "was", "saved")]).limit(0), "state")
     done = tables.cut(state.select("block", sheet.alias("sheet"), none.alias("done")), "done")
@@ -146,6 +248,4 @@ def simulate_masks(netlist: dict[str, DataFrame], live: DataFrame, opened: DataF
             break
         turn += 1
     tables.drop("switches", "closed", "coil_of", "poles")
-    nets = dealt(netlist["nets"].select(F.col("id").alias("net"))).join(labels.select("block", "net", F.col("p").alias("has24"), F.col("z").alias("has0")), ["block", "net"], "left")
-    nets = nets.select("block", "net", "live", F.coalesce("has24", none).alias("has24"), F.coalesce("has0", none).alias("has0"))
-    return {"nets": nets, "coils": state.filter("on <> 0").select("block", "component", "on"), "oscillating": done.filter("changed <> 0").select("block", "sheet", "changed")}
+    return labels.select("block", "net", "p", "z"), state.filter("on <> 0").select("block", "component", "on"), done.filter("changed <> 0").select("block", "sheet", "changed")

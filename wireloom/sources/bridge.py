@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
+#: Line items that one task deals by net, so that what it holds does not grow with the table.
+ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,7 +73,8 @@ def relay_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     own = lambda c: F.concat_ws("#", F.col("sheet").cast("string"), c)
     component = own(F.col("brand").cast("string"))
     rows = rows.withColumn("pin", F.get(F.split(pins, " "), F.col("place") - 1)).filter("pin IS NOT NULL")
-    terminals_ = rows.select(F.concat_ws(":", component, "pin").alias("id"), component.alias("parent_component"), own(F.col("net")).alias("net"), "sheet", "brand")
+    # made once: each device's pairs of terminals read it again
+    terminals_ = cut(rows.select(F.concat_ws(":", component, "pin").alias("id"), component.alias("parent_component"), own(F.col("net")).alias("net"), "sheet", "brand"), "relay-terminals")
     kind = F.element_at(F.create_map(*[F.lit(x) for k, c in RELAY_CLASSES.items() for x in (k, c)]), F.col("brand") % 5)
     return {
         "terminals": terminals_, "nets": terminals_.select(F.col("net").alias("id")).distinct(),
