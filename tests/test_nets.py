@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 from wireloom.plans.queries import QUERIES
+from wireloom.sources import bridge
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def union_find(edges) -> dict[int, int]:
@@ -46,3 +49,11 @@ def test_nets_of_light_items_hubs_and_chains(spark, tmp_path):
 
 def test_flagship_covers_the_table(spark):
     assert found(entry.entry(spark)) == union_find(terminals(spark, entry.SMALL))
+
+
+def test_terminals_are_dealt_in_bounded_tasks(spark, monkeypatch):
+    whole = {tuple(r) for r in bridge.terminals(spark, SMALL).collect()}
+    monkeypatch.setattr(bridge, "ROWS", 100)
+    dealt = bridge.terminals(spark, SMALL)
+    assert dealt.rdd.getNumPartitions() >= spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 100
+    assert {tuple(r) for r in dealt.collect()} == whole

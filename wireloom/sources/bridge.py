@@ -21,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, part, net)."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("part")).repartition("net").distinct()  # the distinct and what follows by net share one exchange
+    items = table(spark, sf_dir, "lineitem")
+    tasks = -(-items.count() // ROWS) or 1
+    rows = items.select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("part")).repartition(tasks, "net").distinct()  # the distinct and what follows by net share one exchange
     return rows.select(F.concat_ws(":", F.col("part").cast("string"), F.col("net").cast("string")).alias("id"), "part", "net")
 
 
