@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
+
 import __spark_entry__ as entry
+from wireloom.operators import components as components_
 from wireloom.plans.queries import QUERIES
 from wireloom.sources import bridge
 
@@ -57,3 +60,17 @@ def test_terminals_are_dealt_in_bounded_tasks(spark, monkeypatch):
     dealt = bridge.terminals(spark, SMALL)
     assert dealt.rdd.getNumPartitions() >= spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 100
     assert {tuple(r) for r in dealt.collect()} == whole
+
+
+@pytest.mark.parametrize("hubs", [1, 4, 10**9])
+def test_hubs_are_looked_up_apart(spark, monkeypatch, hubs):
+    monkeypatch.setattr(components_, "HUBS", hubs)
+    pairs = [(k, 0) for k in range(1, 60)] + [(k, 7) for k in range(60, 90)] + [(200, 100), (201, 100), (202, 201)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, {a}).add(b)
+        around.setdefault(b, {b}).add(a)
+    want = {(w, min(near)) for v, near in around.items() for w in near if w > v}
+    got = [tuple(r) for r in components_._large(df, len(pairs)).collect()]
+    assert set(got) == want and len(got) == len(want)

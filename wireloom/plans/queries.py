@@ -11,6 +11,7 @@ from ..operators import graph, lines
 from ..operators.components import components
 from ..operators.matching import greedy_match
 from ..operators.spatial import band_join, nearest
+from ..shared import Tables, small_tasks
 from ..sources import sheet
 from ..sources.bridge import net_edges, points, table, terminals, wires
 from ..streaming.events import sessions, windowed
@@ -256,8 +257,14 @@ r(v, low) USING KEY (v) AS (
 
 
 def _named(e: DataFrame) -> DataFrame:
+    tables = Tables(e.sparkSession)
+    e = tables.cut(e, "edges")
     every = e.select("a").union(e.select("b")).distinct()
-    return every.join(components(e), F.col("vertex") == F.col("a"), "left").select(F.col("a").alias("vertex"), F.coalesce("component", "a").alias("component"))
+    named = every.join(components(e, tables), F.col("vertex") == F.col("a"), "left").select(F.col("a").alias("vertex"), F.coalesce("component", "a").alias("component"))
+    with small_tasks(e.sparkSession):
+        named = tables.cut(named, "named")
+    tables.drop("edges", "stars")
+    return named
 
 
 @registered("nets_whole", CC_SQL + "SELECT v AS vertex, low AS component FROM r")

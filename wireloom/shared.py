@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,6 +79,22 @@ class Tables:
                 remove(self.spark, self.paths.pop(what))
 
 
+#: Bytes of shuffled rows that Spark puts together for one task of ``small_tasks``.
+TASK_BYTES = "8MB"
+
+
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gets tasks of a bounded share of the rows; Spark's own bound of 64 MB lets them grow with the input."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, TASK_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def numbered(df: DataFrame, order: list[str], name: str, tables: Tables | None = None) -> DataFrame:
     """df with each row's place, from 0 on, in the order of these columns, nulls first.
 
