@@ -343,3 +343,24 @@ def test_parameter_files_load():
     assert (prm.node_tol, prm.ortho_tol, prm.ocr_dpi, prm.gap_factor, prm.bind_radius, prm.ocr_pad) == (0.5, 0.1, 300, 2, 9.0, 2.5)
     with pytest.raises(TypeError):
         Params.merged('{"nowhere": 1}')
+
+
+def test_short_runs_are_ordered_in_their_task_and_long_ones_in_rounds(small, monkeypatch):
+    rnd = random.Random(11)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(36)] + [(100 + k, 101 + k) for k in range(9)] + [(200 + k, 200 + (k + 1) % 7) for k in range(7)] + [(300, 300), (301, 302), (301, 302)]
+    rows = [("p", f"e{k}", a, b, float(a), 0.0, float(b), 0.0, 1.0) for k, (a, b) in enumerate(pairs)]
+    edges = small.createDataFrame(rows, "page string, edge string, a long, b long, ax double, ay double, bx double, by double, length double")
+    long_, rounds = [], graph._ordered
+
+    def noted(own, tables):
+        long_.append(own.count())
+        return rounds(own, tables)
+
+    monkeypatch.setattr(graph, "_ordered", noted)
+    found = lambda: sorted(tuple(r) for r in graph.ordered(edges).drop("run").collect())
+    whole = found()
+    assert len(whole) == len(pairs) and not long_
+    monkeypatch.setattr(graph, "HELD", 5)
+    assert found() == whole and long_ and long_[0] < len(pairs)
+    monkeypatch.setattr(graph, "HELD", 0)
+    assert found() == whole

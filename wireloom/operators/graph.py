@@ -6,9 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..params import Params
-from ..shared import Tables, cut, numbered, walk
+from ..shared import Tables, cut, numbered, small_tasks, walk
 from .components import components
 
 
@@ -211,6 +212,49 @@ def _ranked(darts: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, Dat
     return ended, go.select("dart", "low")
 
 
+#: Edges of a run that one task holds.
+HELD = 20_000
+PLACED = ["page", "run", "place", "edge", "length", "node", "x", "y", "to_node", "to_x", "to_y", "closed", "conductor"]
+
+
+def _run_walk():
+    """Edges of one run, which is put in order at its end."""
+    edges: dict[int, tuple] = {}
+
+    def ordered_() -> list[tuple]:
+        leads, leaving = {}, {}
+        for row, (_, _, _, a, b, *_, joint_a, joint_b) in edges.items():
+            leads[2 * row], leads[2 * row + 1] = (b, joint_b), (a, joint_a)
+            for dart, at, joint in ((2 * row, a, joint_a), (2 * row + 1, b, joint_b)):
+                if joint:
+                    leaving.setdefault(at, []).append(dart)
+        # a dart's next one leaves the joint that it leads to by the other edge
+        after = {d: next((o for o in leaving[at] if o != d ^ 1), d) if joint else None for d, (at, joint) in leads.items()}
+        last, box = [d for d in leads if after[d] is None], False
+        if not last:  # a loop is cut at its least node
+            low, box = min(at for at, _ in leads.values()), True
+            last = [d for d, (at, _) in leads.items() if at == low]
+        rank = lambda x: (x is not None, x)
+        end = max(last, key=lambda d: (rank(leads[d][0]), rank(edges[d >> 1][1]), d))
+        back = [end ^ 1]
+        while len(back) < len(edges):
+            back.append(after[back[-1]])
+        made, start = [], leads[back[-1]][0]
+        for place, d in enumerate(x ^ 1 for x in reversed(back)):
+            page, edge, length, a, b, ax, ay, bx, by, _, _ = edges[d >> 1]
+            one, two = ((a, ax, ay), (b, bx, by)) if d % 2 == 0 else ((b, bx, by), (a, ax, ay))
+            made.append((page, end, place, edge, length, *one, *two, start == leads[end][0], not box))
+        return made
+
+    def step(row):
+        if row is None:
+            return ordered_()
+        edges[row[1]] = row[2:]
+        return []
+
+    return step
+
+
 def ordered(edges: DataFrame) -> DataFrame:
     """Each edge's place in its maximal run between nodes whose degree is not two.
 
@@ -218,18 +262,52 @@ def ordered(edges: DataFrame) -> DataFrame:
     from 0, an edge leads from node to to_node.  A run starts at the lower of its end nodes; a loop through one junction
     at it, and a loop without any, which is a box and no conductor, at its least node, both with the lower edge.
 
-    An edge is two darts, one each way; a dart's next one leaves the node of degree two that it leads to.  Lists of darts
-    are ranked by pointer doubling, so rounds grow with the logarithm of the longest run and no task holds a run.
+    Edges that meet at a node of degree two are tied, and components of these ties are the runs.  A run of up to ``HELD``
+    edges is put in order in the task that it is dealt to; longer ones are ranked in rounds (``_ordered``).
     """
     tables = Tables(edges.sparkSession)
     own = tables.cut(edges.withColumn("row", F.monotonically_increasing_id()), "own")
-    side = lambda k, a, b: F.struct(F.lit(k).alias("way"), F.col(a).alias("from"), F.col(b).alias("node"))
-    darts = own.select("page", "edge", "row", F.explode(F.array(side(0, "a", "b"), side(1, "b", "a"))).alias("d")).select("page", "edge", (F.col("row") * 2 + F.col("d.way")).alias("dart"), "d.from", "d.node")
+    side = lambda k, at: F.struct(F.lit(k).alias("way"), F.col(at).alias("node"))
+    darts = own.select("page", "row", F.explode(F.array(side(0, "a"), side(1, "b"))).alias("d")).select("page", "d.node", (F.col("row") * 2 + F.col("d.way")).alias("dart")).filter("page IS NOT NULL AND node IS NOT NULL")
+    joints = darts.groupBy("page", "node").agg(F.count("*").alias("degree"), F.min("dart").alias("one"), F.max("dart").alias("two")).filter("degree = 2")
+    joints = tables.cut(joints.select("one", "two"), "joints")
+    row = lambda c: F.shiftright(c, 1)
+    found = components(joints.select(row("one").alias("a"), row("two").alias("b")), tables)
+    with small_tasks(edges.sparkSession):
+        at = joints.select(F.explode(F.array("one", "two")).alias("dart")).groupBy(row("dart").alias("row")).agg(F.bool_or(F.col("dart") % 2 == 0).alias("joint_a"), F.bool_or(F.col("dart") % 2 == 1).alias("joint_b"))
+        no = F.lit(False)
+        tied = own.join(at, "row", "left").join(found.withColumnRenamed("vertex", "row"), "row", "left")
+        columns = ["row", "page", "edge", "length", "a", "b", "ax", "ay", "bx", "by"]
+        tied = tables.cut(tied.select(F.coalesce("component", "row").alias("of"), *columns, F.coalesce("joint_a", no).alias("joint_a"), F.coalesce("joint_b", no).alias("joint_b")), "tied")
+        large, n = tables.counted(found.groupBy("component").count().filter(F.col("count") >= HELD).select(F.col("component").alias("of")), "large", F.lit(True))
+        small = tied.join(large, "of", "left_anti") if n else tied
+        kind = {f.name: f.dataType for f in own.schema}
+        of = {"node": "a", "x": "ax", "y": "ay", "to_node": "a", "to_x": "ax", "to_y": "ay", "page": "page", "edge": "edge", "length": "length"}
+        schema = StructType()
+        for name in PLACED:
+            schema = schema.add(name, kind[of[name]] if name in of else "boolean" if name in ("closed", "conductor") else "long")
+        out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+        placed = walk(small, ["of"], [], _run_walk, schema, out)
+        if n:
+            placed = placed.union(_ordered(tied.join(large, "of", "left_semi").drop("of"), tables))
+        placed = tables.cut(placed, "placed")
+    tables.drop(*[name for name in list(tables.paths) if name != "placed"])
+    return placed
+
+
+def _ordered(own: DataFrame, tables: Tables) -> DataFrame:
+    """``ordered`` for runs of any length, whose edges know by joint_a and joint_b which ends are nodes of degree two.
+
+    An edge is two darts, one each way; a dart's next one leaves the node of degree two that it leads to.  Lists of darts
+    are ranked by pointer doubling, so rounds grow with the logarithm of the longest run and no task holds a run.
+    """
+    side = lambda k, a, b, joint: F.struct(F.lit(k).alias("way"), F.col(a).alias("from"), F.col(b).alias("node"), F.col(joint).alias("joint"))
+    darts = own.select("page", "edge", "row", F.explode(F.array(side(0, "a", "b", "joint_b"), side(1, "b", "a", "joint_a"))).alias("d")).select("page", "edge", (F.col("row") * 2 + F.col("d.way")).alias("dart"), "d.from", "d.node", "d.joint")
     # at a node of degree two, the dart that leaves by the other edge
-    leaving = darts.groupBy("page", F.col("from").alias("node")).agg(F.count("*").alias("degree"), F.min("dart").alias("one"), F.max("dart").alias("two"))
+    leaving = darts.groupBy("page", F.col("from").alias("node")).agg(F.min("dart").alias("one"), F.max("dart").alias("two"))
     back = F.col("dart").bitwiseXOR(F.lit(1).cast("long"))
-    led = darts.join(leaving, ["page", "node"])
-    darts = tables.cut(led.select("page", "edge", "dart", "from", "node", F.when(F.col("degree") == 2, F.when(F.col("one") == back, F.col("two")).otherwise(F.col("one"))).alias("next"), (F.col("degree") != 2).alias("broken")), "darts")
+    led = darts.join(leaving, ["page", "node"], "left")
+    darts = tables.cut(led.select("page", "edge", "dart", "from", "node", F.when(F.col("joint"), F.when(F.col("one") == back, F.col("two")).otherwise(F.col("one"))).alias("next")), "darts")
     ended, loops = _ranked(darts, tables, "open")
     # a loop is cut at its least node and ranked once more
     opened = tables.cut(darts.join(loops, "dart").select("dart", F.when(F.col("node") != F.col("low"), F.col("next")).alias("next"), "node"), "opened")
@@ -248,9 +326,7 @@ def ordered(edges: DataFrame) -> DataFrame:
         "page", "run", (F.col("longest") - F.col("hops")).cast("long").alias("place"), "edge", "length", F.col("from").alias("node"), at("ax", "bx", "x"), at("ay", "by", "y"),
         F.col("node").alias("to_node"), at("bx", "ax", "to_x"), at("by", "ay", "to_y"), (F.col("start.from") == F.col("end")).alias("closed"), (~F.col("box")).alias("conductor"),
     )
-    placed = tables.cut(placed, "placed")
-    tables.drop(*[name for name in list(tables.paths) if name != "placed"])
-    return placed
+    return placed.select(*PLACED)
 
 
 def contract(edges: DataFrame) -> DataFrame:
