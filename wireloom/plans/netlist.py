@@ -81,7 +81,7 @@ def derive(authored: dict[str, DataFrame]) -> dict[str, DataFrame]:
     cables = members(authored["cables"], wires, "cable", "id", "member_wires")
     return {
         "drawing": authored["drawing"], "components": authored["components"], "terminals": terminals, "nets": nets, "wires": wires,
-        "cables": cables, "subsystems": authored["subsystems"], "relationships": edges(authored, terminals, nets, wires),
+        "cables": cables, "subsystems": authored["subsystems"], "relationships": edges(authored, terminals, authored["nets"], wires),  # whose nets need no members
     }
 
 

@@ -46,8 +46,8 @@ def _with(sql: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{BASE}{sql}"
 
 
-def _plant(spark, sf_dir) -> dict[str, DataFrame]:
-    return netlist.derive(netlist.qualified(plant.authored(spark, sf_dir)))
+def _plant(spark, sf_dir, once: bool = True) -> dict[str, DataFrame]:
+    return netlist.derive(netlist.qualified(plant.authored(spark, sf_dir, once)))
 
 
 _SHEETS = "(SELECT DISTINCT sh FROM s)"
@@ -56,12 +56,12 @@ _SHEETS = "(SELECT DISTINCT sh FROM s)"
 @registered("plant_metadata", _with(f""" SELECT sh AS drawing_no, unnest(['drawing_number', 'revision', 'title', 'date', 'assembly', 'reference', 'note']) AS field,
   unnest([sh, 'A', concat('Sheet ', sh), NULL, NULL, reverse(sh), 'As built.']) AS value FROM {_SHEETS}"""))
 def plant_metadata(spark, sf_dir):
-    return query.metadata(_plant(spark, sf_dir))
+    return query.metadata(_plant(spark, sf_dir, once=False))
 
 
 @registered("plant_inventory", _with(" SELECT class, count(*) AS n FROM c GROUP BY 1"))
 def plant_inventory(spark, sf_dir):
-    return query.inventory(_plant(spark, sf_dir)).select("class", "n")
+    return query.inventory(_plant(spark, sf_dir, once=False)).select("class", "n")
 
 
 @registered("plant_breakers", _with(" SELECT id, rating AS value, id IN (SELECT src FROM a WHERE type = 'PROTECTS') AS protects FROM c WHERE class = 'circuit_breaker' AND rating IS NOT NULL"))
@@ -124,7 +124,7 @@ def plant_cables(spark, sf_dir):
 
 @registered("plant_power_domains", _with(" SELECT power_domain, count(*) AS n FROM c GROUP BY 1"))
 def plant_power_domains(spark, sf_dir):
-    return query.power_domains(_plant(spark, sf_dir))
+    return query.power_domains(_plant(spark, sf_dir, once=False))
 
 
 @registered("plant_subsystems", _with(" SELECT id AS subsystem, count(*) AS n FROM g GROUP BY 1"))

@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(items: DataFrame, rows: int = ROWS) -> int:
+    """Tasks that items are dealt to, so that each gets about so many of them."""
+    return -(-items.count() // rows) or 1
+
+
 def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, part, net)."""
     items = table(spark, sf_dir, "lineitem")
-    tasks = -(-items.count() // ROWS) or 1
-    rows = items.select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("part")).repartition(tasks, "net").distinct()  # the distinct and what follows by net share one exchange
+    rows = items.select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("part")).repartition(tasks(items), "net").distinct()  # the distinct and what follows by net share one exchange
     return rows.select(F.concat_ws(":", F.col("part").cast("string"), F.col("net").cast("string")).alias("id"), "part", "net")
 
 

@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bridge import table
+from ..shared import cut
+from .bridge import table, tasks
 
 #: A component's class, by the remainder of its part's size.
 CLASSES = ["relay", "circuit_breaker", "push_button", "external_drawing", "external_machine", "power_supply", "terminal_block", "ground"]
 #: Every so many-th order is on no net; of every so many, one's wires end at no terminal and one's name another net.
 BARE, FAULTY, UNLISTED = 10, 50, 97
+#: Line items of a task.
+DEALT = 50_000
 
 
 def _text(c: Column | str) -> Column:
@@ -26,20 +29,26 @@ def _named(letter: str, c: Column | str) -> Column:
     return F.concat(F.lit(letter), _text(c))
 
 
-def authored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The authored tables, as ``netlist.derive`` takes them, with drawing_no in each."""
+def authored(spark: SparkSession, sf_dir: str, once: bool = True) -> dict[str, DataFrame]:
+    """The authored tables, as ``netlist.derive`` takes them, with drawing_no in each.
+
+    The rows of orders and parts that they are made of are written once, unless they are read at most once.
+    """
     sheet = F.concat("c_mktsegment", _text("c_nationkey")).alias("drawing_no")
     customers = table(spark, sf_dir, "customer").select("c_custkey", sheet)
     orders = table(spark, sf_dir, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey"))
     orders = orders.select("drawing_no", F.col("o_orderkey").alias("order"), "o_custkey", (F.col("o_orderpriority") == "1-URGENT").alias("power"))
     part = table(spark, sf_dir, "part").withColumn("class", F.get(F.array(*map(F.lit, CLASSES)), F.col("p_size") % len(CLASSES)))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part")).distinct().join(orders, "order")
+    lead = F.when(F.col("order") % BARE > 0, F.lead("part").over(Window.partitionBy("order").orderBy("part")))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"))
+    items = rows.repartition(tasks(rows, DEALT), "order").distinct().join(orders, "order").withColumn("next", lead)
+    if once:  # terminals, wires and components are all made of these rows, some of them many times
+        items = cut(items, "plant-items")
     ord_ = (F.col("order") * 1_000_000 + F.col("part")).alias("ord")
     net = F.when(F.col("order") % BARE > 0, _named("N", "order"))
     terminals = items.select("drawing_no", _named("P", "part").alias("component"), _text("order").alias("terminal"), F.when(F.col("power"), "supply_in").alias("function"), net.alias("net"), ord_)
 
-    lead = F.lead("part").over(Window.partitionBy("order").orderBy("part"))
-    joined = items.filter(F.col("order") % BARE > 0).withColumn("next", lead).filter("next IS NOT NULL")
+    joined = items.filter("next IS NOT NULL")
     end = lambda p: F.concat_ws(":", _named("P", p), _text("order"))
     wires = joined.select(
         "drawing_no", end("part").alias("from_terminal"), F.when(F.col("order") % FAULTY == 1, F.concat(_named("P", "next"), F.lit(":X"))).otherwise(end("next")).alias("to_terminal"),
