@@ -364,3 +364,20 @@ def test_short_runs_are_ordered_in_their_task_and_long_ones_in_rounds(small, mon
     assert found() == whole and long_ and long_[0] < len(pairs)
     monkeypatch.setattr(graph, "HELD", 0)
     assert found() == whole
+
+
+def test_pieces_of_small_nets_are_found_in_their_task(small, monkeypatch):
+    rnd = random.Random(3)
+    names = [(f"t{k}", f"n{k % 4}") for k in range(40)] + [("alone", None), (None, "n1")]
+    wires = [(f"n{n}", f"t{4 * rnd.randrange(10) + n}", f"t{4 * rnd.randrange(10) + n}") for n in range(3) for _ in range(6)] + [("n1", None, "t1"), ("n1", "t5", None), (None, "t2", "t6"), ("n3", "t3", "off"), ("n3", "off", "t7")]
+    netlist = {"terminals": small.createDataFrame(names, "id string, net string"), "wires": small.createDataFrame(wires, "net string, from_terminal string, to_terminal string")}
+    want = {}
+    for net in {n for _, n in names if n}:
+        own = {t for t, n in names if n == net and t}
+        edges = [(k, a, b) for k, (n, a, b) in enumerate(wires) if n == net and a and b]
+        want[net] = len({min(reached(edges, [t])) for t in own})
+    monkeypatch.setattr(query, "components", None)
+    assert dict(tuple(r) for r in query.wire_fragments(netlist).collect()) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(query, "HELD", 14)
+    assert dict(tuple(r) for r in query.wire_fragments(netlist).collect()) == want

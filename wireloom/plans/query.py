@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bridges import cut_off
 from ..operators.components import components
 from ..operators.paths import trace
-from ..shared import Tables
+from ..shared import Tables, walk
 
 EXTERNAL = ("external_drawing", "external_machine")
 
@@ -178,12 +179,52 @@ def counts(netlist: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Terminals and wires of a net that one task holds.
+HELD = 20_000
+
+
+def _pieces_walk():
+    """Terminals and wires of one net, joined as they come; (net, pieces) at its end, if it has terminals."""
+    net, above, own = None, {}, set()
+
+    def top(v):
+        while (up := above.setdefault(v, v)) != v:
+            above[v] = v = above[up]
+        return v
+
+    def step(row):
+        nonlocal net
+        if row is None:
+            return [(net, len({top(v) for v in own}))] if own else []
+        net, a, b = row
+        if b is None:
+            own.add(a)
+        else:
+            above[top(a)] = top(b)
+        return []
+
+    return step
+
+
 def wire_fragments(netlist: dict[str, DataFrame]) -> DataFrame:
-    """(net, pieces): components of a net's terminals over its wires alone; terminal blocks join what wires leave apart."""
-    t = netlist["terminals"].filter("net IS NOT NULL").select("net", "id", F.xxhash64("net", "id").alias("v"))
-    w = netlist["wires"].select(F.xxhash64("net", "from_terminal").alias("a"), F.xxhash64("net", "to_terminal").alias("b"))
-    named = t.join(components(w), F.col("vertex") == F.col("v"), "left")
-    return named.groupBy("net").agg(F.count_distinct(F.coalesce("component", "v")).alias("pieces"))
+    """(net, pieces): components of a net's terminals over its wires alone; terminal blocks join what wires leave apart.
+
+    A net of up to ``HELD`` terminals and wires is settled in the task that it is dealt to, larger ones by rounds of
+    components.  Terminals without an id and wires without an end are left out.
+    """
+    tables = Tables(netlist["terminals"].sparkSession)
+    t = netlist["terminals"].filter("net IS NOT NULL AND id IS NOT NULL").select("net", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
+    w = netlist["wires"].filter("net IS NOT NULL AND from_terminal IS NOT NULL AND to_terminal IS NOT NULL").select("net", "from_terminal", "to_terminal")
+    rows = t.union(w)
+    large, n = tables.counted(rows.groupBy("net").count().filter(F.col("count") > HELD).select("net"), "large", F.lit(True))
+    small = rows.join(large, "net", "left_anti") if n else rows
+    found = walk(small, ["net"], [], _pieces_walk, "net string, pieces long", pa.schema([("net", pa.string()), ("pieces", pa.int64())]))
+    if not n:
+        return found
+    v = lambda c, name: F.xxhash64("net", c).alias(name)
+    beyond = rows.join(large, "net", "left_semi")
+    named = beyond.filter("b IS NULL").select("net", v("a", "v")).join(components(beyond.filter("b IS NOT NULL").select(v("a", "a"), v("b", "b")), tables), F.col("vertex") == F.col("v"), "left")
+    return found.union(named.groupBy("net").agg(F.count_distinct(F.coalesce("component", "v")).alias("pieces")))
 
 
 def path_status(netlist: dict[str, DataFrame], start: str, goal: str) -> DataFrame:
