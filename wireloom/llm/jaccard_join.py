@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..shared import Tables
+from ..shared import Tables, small_batches
 from .common import table
 from .words import gather, hashes, mixed, offsets, portions, release, runs, words
 
@@ -45,6 +45,8 @@ FREQUENT = 20_000
 NEAREST = 2
 #: Bytes of a bucket's keys and ids, of the texts that one leader meets at once, and of the sketches of a tile or task.
 BUCKET_BYTES, PART_BYTES, TILE_BYTES = 2 << 20, 1 << 20, 4 << 20
+#: Bytes of keys that a task deals at once; numpy takes about 25 times as much for it.
+DEALT_BYTES = 4 << 20
 TILE, TASK_ROWS, LOCAL_ROWS = 2048, 20_000, 100_000
 
 
@@ -310,7 +312,7 @@ def _dealt(keyed: DataFrame, buckets: int) -> DataFrame:
     names = ["bucket", "docs", "keys", "more"]
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1, DEALT_BYTES, TASK_ROWS):
             blobs = batch.column(1).to_pylist()
             n = np.array([len(b) // KEY_BYTES for b in blobs], np.int64)
             key = _unpacked(b"".join(blobs))
@@ -343,6 +345,7 @@ def _grouped(rows: pa.Table) -> pa.Table:
     The leader is the member that comes first in a hashed order of documents, the same order in all groups and batches.
     Where members of other members are elsewhere the leader has a second row, without a leader, as it has not met all.
     """
+    release()
     names = ["key", "doc_id", "leader"]
     key, doc = _unpacked(b"".join(rows["keys"].to_pylist())), np.frombuffer(b"".join(rows["docs"].to_pylist()), np.int64)
     more = b"".join(rows["more"].to_pylist())
@@ -411,7 +414,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(one, F.col("d1") == F.col("leader")).join(two, F.col("d2") == F.col("doc_id")).select("leader", "doc_id", "n1", "n2", "s1", "s2")
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 4, TILE_BYTES):
             s1, s2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             differ = np.array([differences(folded(x, min(len(x), len(y))), folded(y, min(len(x), len(y)))) for x, y in zip(s1, s2, strict=True)], np.int64)
             keep = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), differ, percent)
@@ -427,6 +430,7 @@ def _crossing(percent: int, limit: int):
         Of two members the one of the later component reports the pair, and of its pairs the limit most alike; more
         tells that it has others.
         """
+        release()
         rows = rows.combine_chunks().sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("component", "ascending")])
         key, low, high, tile, doc, component, n = (rows[c].to_numpy() for c in ("key", "low", "high", "tile", "doc_id", "component", "n"))
         sketch = rows["sketch"].to_pylist()
@@ -529,8 +533,12 @@ def _holding(docs: DataFrame, wanted: DataFrame, tables: Tables) -> DataFrame:
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links from each row, itself included."""
+    with small_batches(docs.sparkSession):
+        return _joined(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), width, percent, sizes)
+
+
+def _joined(docs: DataFrame, width: int, percent: int, sizes: Sizes) -> DataFrame:
     tables = Tables(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.filter("doc_id IS NOT NULL")
     everything = tables.cut(_described(docs, width), "described")
     described = everything.filter("NOT shingle").select("doc_id", "n", "a", "b")

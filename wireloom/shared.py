@@ -83,18 +83,30 @@ class Tables:
 TASK_BYTES = "8MB"
 
 
+#: Rows of a batch that Spark hands to a Python worker in ``small_batches``.
+BATCH_ROWS = 2048
+
+
 @contextlib.contextmanager
-def small_tasks(spark: SparkSession) -> Iterator[None]:
-    """What runs inside gets tasks of a bounded share of the rows; Spark's own bound of 64 MB lets them grow with the input."""
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+def _with(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, TASK_BYTES)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def small_tasks(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What runs inside gets tasks of a bounded share of the rows; Spark's own bound of 64 MB lets them grow with the input."""
+    return _with(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What runs inside hands few rows at once to Python workers, which the JVM and the worker both hold."""
+    return _with(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def numbered(df: DataFrame, order: list[str], name: str, tables: Tables | None = None) -> DataFrame:
     """df with each row's place, from 0 on, in the order of these columns, nulls first.
 
