@@ -15,6 +15,7 @@ from wireloom.operators.bridges import cut_off
 from wireloom.operators.paths import shortest, within
 from wireloom.params import Params
 from wireloom.plans import query, simulate
+from wireloom.sources import bridge
 
 
 @pytest.fixture
@@ -381,3 +382,10 @@ def test_pieces_of_small_nets_are_found_in_their_task(small, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(query, "HELD", 14)
     assert dict(tuple(r) for r in query.wire_fragments(netlist).collect()) == want
+
+
+def test_sheets_of_breakers_are_made_once(small):
+    """What impact reads again comes from tables in the shared folder, not from the line items."""
+    made = bridge.breaker_sheets(small, "/root/testdata/sf0.001")
+    for what in ("components", "terminals", "sources"):
+        assert not [f for f in made[what].inputFiles() if "/lineitem" in f], what

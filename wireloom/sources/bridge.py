@@ -106,10 +106,12 @@ def breaker_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     Urgent orders are ``sources`` (net); each pair of a size's consecutive orders is a breaker named by the first one.
     """
-    rows = sheet_terminals(spark, sf_dir, "p_size").select(F.concat_ws("#", F.col("sheet").cast("string"), F.col("component").cast("string")).alias("size"), "at", "urgency")
-    lead = F.lead("at").over(Window.partitionBy("size").orderBy("at"))
-    name = F.concat_ws("-", "size", F.col("at").cast("string"))
-    breakers = rows.select(name.alias("id"), F.col("at").alias("net_1"), lead.alias("net_2")).filter("net_2 IS NOT NULL")
+    # rows and breakers are made once, as several steps read each again
+    rows = cut(sheet_terminals(spark, sf_dir, "p_size"), "breaker-rows")
+    lead = F.lead("at").over(Window.partitionBy("sheet", "component").orderBy("at"))
+    name = F.concat(F.concat_ws("#", F.col("sheet").cast("string"), F.col("component").cast("string")), F.lit("-"), F.col("at").cast("string"))
+    pairs = rows.select("sheet", "component", "at").withColumn("net_2", lead).filter("net_2 IS NOT NULL")
+    breakers = cut(pairs.select(name.alias("id"), F.col("at").alias("net_1"), "net_2"), "breakers")
     pins = F.explode(F.array(F.struct(F.lit("1").alias("pin"), F.col("net_1").alias("net")), F.struct(F.lit("2").alias("pin"), F.col("net_2").alias("net")))).alias("p")
     ends = breakers.select("id", pins).select(F.concat_ws(":", "id", "p.pin").alias("id"), F.col("id").alias("parent_component"), F.col("p.net").cast("string").alias("net"))
     return {
