@@ -14,7 +14,7 @@ from wireloom.operators import graph, paths
 from wireloom.operators.bridges import cut_off
 from wireloom.operators.paths import shortest, within
 from wireloom.params import Params
-from wireloom.plans import query, simulate
+from wireloom.plans import circuits, query, simulate
 from wireloom.sources import bridge
 
 
@@ -389,3 +389,15 @@ def test_sheets_of_breakers_are_made_once(small):
     made = bridge.breaker_sheets(small, "/root/testdata/sf0.001")
     for what in ("components", "terminals", "sources"):
         assert not [f for f in made[what].inputFiles() if "/lineitem" in f], what
+
+
+def test_short_chains_run_in_tasks_of_a_bounded_share(small, monkeypatch):
+    """Parts of shuffles follow from the line items, and the session's own settings come back."""
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    settings = lambda: [small.conf.get(n, None) for n in names]
+    before, seen = settings(), []
+    monkeypatch.setattr(bridge, "tasks", lambda *a: 50)
+    monkeypatch.setattr(circuits, "within", lambda *a: seen.append(settings()) or within(*a))
+    circuits.short_chains(small, "/root/testdata/sf0.001")
+    assert seen == [[shared.TASK_BYTES, "50"]]
+    assert settings() == before

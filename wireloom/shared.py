@@ -97,9 +97,18 @@ def _with(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
-def small_tasks(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
-    """What runs inside gets tasks of a bounded share of the rows; Spark's own bound of 64 MB lets them grow with the input."""
-    return _with(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
+    """What runs inside gets tasks of a bounded share of the rows; Spark's own bound of 64 MB lets them grow with the input.
+
+    parts: shuffles are dealt to so many parts at least before small ones are put together, as rows in a part would else
+    grow with the input.
+    """
+    with contextlib.ExitStack() as stack:
+        stack.enter_context(_with(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES))
+        if parts and parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            stack.enter_context(_with(spark, "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts)))
+        yield
 
 
 def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
