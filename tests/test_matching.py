@@ -73,3 +73,12 @@ def test_empty_and_what_stays(few):
     rows = [(k + j, k, 2 * k + j, "c") for k in range(60) for j in range(2)]
     assert matched(spark, rows) == walked(rows)
     assert len(tables() - before) == 1  # the matching itself
+
+
+def test_first_choices_read_what_is_open_twice(few, monkeypatch):
+    """Once for each side: the rows of the first choices are not looked up in the whole again."""
+    plans, cut = [], matching.Tables.cut
+    monkeypatch.setattr(matching.Tables, "cut", lambda self, df, what, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if what == "taken-0" else None, cut(self, df, what, *a))[1])
+    rows = [(1, 1, 2, "x"), (1, 2, 1, "y"), (2, 2, 3, "z"), (2, 1, 4, "w")]
+    assert matched(few, rows) == walked(rows)
+    assert plans[0].count("FileScan parquet") == 2

@@ -68,9 +68,11 @@ def greedy_match(candidates: DataFrame, left: list[str], right: list[str], order
     n = 1
     for _ in range(ROUNDS):
         if n:
-            a = open_.groupBy(*left).agg(F.min(AT).alias(AT))
-            b = open_.groupBy(*right).agg(F.min(AT).alias(AT))
-            n = claim(open_.join(a, [*left, AT], "left_semi").join(b, [*right, AT], "left_semi"))
+            # places are unique, so the first of a left side brings its right one along, and only firsts are dealt again
+            others = [c for c in sides if c not in (AT, *left)]
+            a = open_.groupBy(*left).agg(F.min(F.struct(AT, *others)).alias("wireloom_first")).select(*left, "wireloom_first.*")
+            b = open_.groupBy(*right).agg(F.min(AT).alias(AT)).select(AT)
+            n = claim(a.join(b, AT, "left_semi"))
     bounds = [int(x) for x in open_.approxQuantile(AT, list(PREFIXES), 0.01)] if n else []
     for bound in bounds:
         some = tables.cut(open_.filter(F.col(AT) <= bound), "prefix")
