@@ -1,12 +1,14 @@
 """Label text: token and line correction, and the role of a label, as column expressions.
 
-Only the fuzzy match of a token against the lexicon runs in Python, once for each distinct token.
+Only the fuzzy match of a token against the lexicon runs in Python, a batch of distinct tokens at a time.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ VOLTAGE = r"(?i)^[+-]?\d{1,3}\s*V(AC|DC)?$"
 TERMINAL = r"^([A-Z]{1,2}\d{0,2}|\d{1,2}|[+-])$"
 GLYPHS, DIGITS = "ILODGSB", "1100658"
 CUTOFF = 0.8
+#: Readings that are held against the lexicon at once.
+PAIRED = 4096
 
 
 def trimmed(value: Column) -> Column:
@@ -90,37 +94,63 @@ def known_token(token: Column, known_designators: list[str] | None = None) -> Co
     )
 
 
-def _closest(token: str) -> tuple[str, float]:
-    for reading in dict.fromkeys([token, token.replace("D", "O"), token.replace("0", "O"), token.replace("O", "0")]):
-        # a ratio of CUTOFF needs lengths within a factor of CUTOFF / (2 - CUTOFF)
-        words = [w for w in LEXICON if min(len(w), len(reading)) >= max(len(w), len(reading)) * CUTOFF / (2 - CUTOFF)]
-        if match := difflib.get_close_matches(reading, words, n=1, cutoff=CUTOFF):
-            return match[0], round(difflib.SequenceMatcher(None, reading, match[0]).ratio() * 0.9, 2)
-    return token, 0.4
+def _near(readings: list[str]) -> np.ndarray:
+    """Which lexicon words (columns) have enough letters in common with a reading (row) for a ratio of CUTOFF, in whatever order.
+
+    This is difflib's quick ratio, of all pairs at once.
+    """
+    sizes = np.array([len(r) for r in readings], dtype=np.int64)
+    letters = np.frombuffer("".join(readings).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    rows = np.repeat(np.arange(len(readings)), sizes)
+    common = np.zeros((len(readings), len(LEXICON)), dtype=np.int16)
+    for letter in set("".join(LEXICON)):
+        held = np.bincount(rows[letters == ord(letter)], minlength=len(readings)).astype(np.int16)
+        common += np.minimum.outer(held, np.array([w.count(letter) for w in LEXICON], dtype=np.int16))
+    return 2.0 * common / (sizes[:, None] + [len(w) for w in LEXICON]) >= CUTOFF
+
+
+def _closest(tokens: Iterable[str]) -> dict[str, tuple[str, float]]:
+    """The closest lexicon word of each token and the confidence in it: of the first reading that has one."""
+    # a ratio of CUTOFF needs lengths within a factor of CUTOFF / (2 - CUTOFF), which is not an exact number
+    longest = max(map(len, LEXICON)) * (2 - CUTOFF) / CUTOFF + 1
+    pairs = [(t, r) for t in dict.fromkeys(tokens) for r in dict.fromkeys([t, t.replace("D", "O"), t.replace("0", "O"), t.replace("O", "0")]) if len(r) <= longest]
+    found = {}
+    for start in range(0, len(pairs), PAIRED):
+        some = pairs[start : start + PAIRED]
+        near = _near([r for _, r in some])
+        for at in np.flatnonzero(near.any(axis=1)):
+            token, reading = some[at]
+            if token not in found and (match := difflib.get_close_matches(reading, [LEXICON[k] for k in np.flatnonzero(near[at])], n=1, cutoff=CUTOFF)):
+                found[token] = match[0], round(difflib.SequenceMatcher(None, reading, match[0]).ratio() * 0.9, 2)
+    return found
 
 
 @F.pandas_udf(StructType().add("text", StringType()).add("confidence", DoubleType()))
 def fuzzy_token(tokens: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_closest(t) for t in tokens], columns=["text", "confidence"])
+    """Null stays null."""
+    found = _closest(t for t in tokens if isinstance(t, str))
+    return pd.DataFrame([found.get(t, (t, 0.4)) if isinstance(t, str) else (None, None) for t in tokens], columns=["text", "confidence"])
 
 
 def corrections(tokens: DataFrame, known_designators: list[str] | None = None) -> DataFrame:
     """(token, text, confidence) of the distinct upper-case tokens of tokens (token).
 
-    Compound colours such as WHITE/BLUE are corrected part by part, where every part is a colour.
+    Compound colours such as WHITE/BLUE are corrected part by part, where every part is a colour.  tokens are read once,
+    and nothing is filtered by what a rule says: Spark would try the rule on each row below the distinct instead.
     """
     upper = tokens.select(F.upper(trimmed(F.col("token"))).alias("token")).distinct()
-    parts = upper.filter(F.contains("token", F.lit("/"))).select(F.col("token").alias("whole"), F.posexplode(F.filter(F.split("token", "/"), lambda p: p != "")).alias("at", "piece"))
-    pieces = upper.union(parts.select("piece")).distinct().withColumn("known", known_token(F.col("token"), known_designators))
-    sure = pieces.filter("known IS NOT NULL").select("token", "known.*")
-    open_ = pieces.filter("known IS NULL").select("token", fuzzy_token("token").alias("f")).select("token", "f.*")
-    single = sure.union(open_)
-    joined = parts.join(single, F.col("piece") == F.col("token")).groupBy("whole")
-    compound = joined.agg(
-        F.bool_and(F.col("text").isin(COLOURS)).alias("colours"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "/").alias("both"), F.min("confidence").alias("least")
-    ).filter("colours")
-    out = upper.join(single, "token").join(compound, F.col("whole") == F.col("token"), "left")
-    return out.select("token", F.coalesce("both", "text").alias("text"), F.coalesce("least", "confidence").alias("confidence"))
+    # the token itself is at 0, the parts of a compound follow
+    parts = F.when(F.contains("token", F.lit("/")), F.filter(F.split("token", "/"), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
+    pieces = upper.select("token", F.posexplode(F.concat(F.array("token"), parts)).alias("at", "piece")).withColumn("known", known_token(F.col("piece"), known_designators))
+    read = pieces.withColumn("fuzzy", fuzzy_token(F.when(F.col("known").isNull(), F.col("piece"))))
+    read = read.select("token", "at", F.coalesce("known.text", "fuzzy.text").alias("text"), F.coalesce("known.confidence", "fuzzy.confidence").alias("confidence"))
+    whole, part = F.col("at") == 0, F.col("at") > 0
+    both = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part, F.struct("at", "text")))), lambda x: x["text"]), "/")
+    out = read.groupBy("token").agg(
+        F.max(F.when(whole, F.col("text"))).alias("text"), F.max(F.when(whole, F.col("confidence"))).alias("confidence"),
+        F.bool_and(F.when(part, F.col("text").isin(COLOURS))).alias("colours"), both.alias("both"), F.min(F.when(part, F.col("confidence"))).alias("least"),
+    )
+    return out.select("token", F.when(F.col("colours"), F.col("both")).otherwise(F.col("text")).alias("text"), F.when(F.col("colours"), F.col("least")).otherwise(F.col("confidence")).alias("confidence"))
 
 
 def corrected_lines(lines: DataFrame, known_designators: list[str] | None = None) -> DataFrame:
