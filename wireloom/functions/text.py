@@ -34,19 +34,30 @@ VOLTAGE = r"(?i)^[+-]?\d{1,3}\s*V(AC|DC)?$"
 TERMINAL = r"^([A-Z]{1,2}\d{0,2}|\d{1,2}|[+-])$"
 GLYPHS, DIGITS = "ILODGSB", "1100658"
 CUTOFF = 0.8
+#: White space, as a pattern's \\s has it.
+BLANKS = " \t\n\x0b\f\r"
 #: Readings that are held against the lexicon at once.
 PAIRED = 4096
 
 
 def trimmed(value: Column) -> Column:
     """Without white space around; null is empty."""
-    return F.coalesce(F.regexp_replace(value.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.trim(value.cast("string"), F.lit(BLANKS)), F.lit(""))
+
+
+def clean(value: Column) -> Column:
+    """Without white space around; null where nothing is left."""
+    return F.nullif(trimmed(value), F.lit(""))
+
+
+def joined(*parts: Column) -> Column:
+    """Clean parts joined by one blank; nulls and a stop after a stop go."""
+    return F.regexp_replace(F.concat_ws(" ", *parts), r"\.\s*\.(\s|$)", r".$1")
 
 
 def sentence(*parts: Column) -> Column:
     """The parts that are not blank, joined by one blank; a stop after a stop goes."""
-    kept = [F.when(trimmed(p) != "", trimmed(p)) for p in parts]
-    return F.regexp_replace(F.concat_ws(" ", *kept), r"\.\s*\.(\s|$)", r".$1")
+    return joined(*map(clean, parts))
 
 
 def readings(token: Column) -> Column:

@@ -53,7 +53,7 @@ def terminal_id(component: Column, terminal: Column) -> Column:
 
 def members(groups: DataFrame, rows: DataFrame, key: str, member: str, name: str) -> DataFrame:
     """groups (id, ...) with the sorted members among rows (key, member); groups without any keep an empty list."""
-    listed = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("wireloom_key")).agg(F.array_sort(F.collect_list(member)).alias(name))
+    listed = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("wireloom_key")).agg(F.sort_array(F.collect_list(member)).alias(name))
     return groups.join(listed, F.col("wireloom_key") == F.col("id"), "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("wireloom_key")
 
 
@@ -69,7 +69,7 @@ def _sheet(df: DataFrame) -> list[str]:
 
 def _wire_id(wires: DataFrame) -> Column:
     """W and the wire's number; after its drawing where the ends are qualified."""
-    own = F.format_string("W%03d", "ord")
+    own = F.when(F.col("ord") >= 100, F.concat(F.lit("W"), F.col("ord").cast("string"))).otherwise(F.format_string("W%03d", "ord"))
     return F.when(F.contains("from_terminal", F.lit(SHEET)), F.concat(F.substring_index("from_terminal", SHEET, 1), F.lit(SHEET), own)).otherwise(own)
 
 

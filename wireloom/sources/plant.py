@@ -69,7 +69,7 @@ def authored(spark: SparkSession, sf_dir: str, once: bool = True) -> dict[str, D
         F.lit(None).cast("string").alias("part_number"), F.lit(None).cast("string").alias("power_domain"), F.lit(-1).cast("long").alias("ord"),
     )
     brand = F.regexp_extract("power_domain", r"(\d+)$", 1)
-    groups = components.groupBy("drawing_no", brand.alias("brand")).agg(F.array_sort(F.collect_list("id")).alias("member_components"))
+    groups = components.groupBy("drawing_no", brand.alias("brand")).agg(F.sort_array(F.collect_list("id")).alias("member_components"))
 
     cls = part.select(F.col("p_partkey").alias("part"), "class")
     after = cls.select(F.col("part").alias("next"), F.col("class").alias("next_class"))
