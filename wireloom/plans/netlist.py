@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Between the number of a drawing and an id of it.
@@ -51,9 +51,14 @@ def terminal_id(component: Column, terminal: Column) -> Column:
     return F.concat_ws(":", component, terminal)
 
 
+def _listed(rows: DataFrame, key: str, member: str, name: str) -> DataFrame:
+    """(wireloom_key, name): the sorted members of each key among rows (key, member)."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("wireloom_key")).agg(F.sort_array(F.collect_list(member)).alias(name))
+
+
 def members(groups: DataFrame, rows: DataFrame, key: str, member: str, name: str) -> DataFrame:
     """groups (id, ...) with the sorted members among rows (key, member); groups without any keep an empty list."""
-    listed = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("wireloom_key")).agg(F.sort_array(F.collect_list(member)).alias(name))
+    listed = _listed(rows, key, member, name)
     return groups.join(listed, F.col("wireloom_key") == F.col("id"), "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("wireloom_key")
 
 
@@ -112,23 +117,53 @@ def edges(authored: dict[str, DataFrame], terminals: DataFrame, nets: DataFrame,
     return out
 
 
-def completeness(netlist: dict[str, DataFrame]) -> DataFrame:
-    """(check, id): what a reviewer of a netlist has to look at; a clean netlist has no problems but may have notes."""
-    t, w, c, n = netlist["terminals"], netlist["wires"], netlist["components"], netlist["nets"]
-    ends = w.select(F.col("id").alias("wire"), F.col("net").alias("wire_net"), F.explode(F.array("from_terminal", "to_terminal")).alias("terminal"))
-    known = ends.join(t.select(F.col("id").alias("t"), "net"), F.col("t") == F.col("terminal"), "left")
-    found = [
-        ("wire end is no terminal", known.filter("t IS NULL").select(F.col("terminal").alias("id"))),
-        ("wire and end are on different nets", known.filter("t IS NOT NULL AND NOT net <=> wire_net").select(F.col("wire").alias("id"))),
-        ("component without terminals", c.join(t, F.col("parent_component") == c["id"], "left_anti").select("id")),
-        ("terminal of an unknown component", t.join(c.select(F.col("id").alias("c")), F.col("c") == F.col("parent_component"), "left_anti").select("id")),
-        ("terminal on an unknown net", t.filter("net IS NOT NULL").join(n.select(F.col("id").alias("n")), F.col("n") == F.col("net"), "left_anti").select("id")),
-        ("net without members", n.filter(F.size("member_terminals") == 0).select("id")),
-        ("terminal with several wires", ends.groupBy("terminal").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("terminal").alias("id"))),
-        ("terminal without a net", t.filter("net IS NULL").select("id")),
-    ]
-    out = None
-    for name, rows in found:
-        part = rows.distinct().select(F.lit(name).alias("check"), "id")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _dealt(rows: DataFrame, parts: int | None) -> tuple[DataFrame, WindowSpec]:
+    """Rows dealt by key, and the window of those with the same key.
+
+    Ids of a sheet begin alike, which makes them slow to sort, so each task sorts them by a hash first.
+    """
+    rows = rows.repartition(parts, "key") if parts else rows.repartition("key")
+    return rows.withColumn("hash", F.xxhash64("key")), Window.partitionBy("hash", "key")
+
+
+def _ends_checked(t: DataFrame, w: DataFrame, parts: int | None) -> DataFrame:
+    """(check, id) of the checks that hold wire ends against terminals.
+
+    Both are dealt by terminal once, for all these checks; each row is judged by what else has its terminal.
+    """
+    ends = w.select(F.explode(F.array("from_terminal", "to_terminal")).alias("key"), F.lit(True).alias("is_end"), F.col("id").alias("wire"), "net")
+    rows, own = _dealt(ends.union(t.select("id", F.lit(False), F.lit(None).cast("string"), "net")), parts)
+    net = F.when(~F.col("is_end"), F.col("net"))
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("is_end"))).withColumns(
+        {"ends": F.count_if("is_end").over(own), "terminals": F.count_if(F.col("key").isNotNull() & ~F.col("is_end")).over(own), "bare": F.count_if(~F.col("is_end") & F.col("net").isNull()).over(own), "low": F.min(net).over(own), "high": F.max(net).over(own)}
+    )
+    first = F.col("place") == 1  # speaks for its terminal
+    apart = F.when(F.col("net").isNull(), F.col("low").isNotNull()).otherwise((F.col("bare") > 0) | (F.col("low") != F.col("net")) | (F.col("high") != F.col("net")))
+    said = lambda when, check, c: F.when(when, F.struct(F.lit(check).alias("check"), F.col(c).alias("id")))
+    found = F.array_compact(F.array(
+        said(first & (F.col("ends") > 0) & (F.col("terminals") == 0), "wire end is no terminal", "key"),
+        said(first & (F.col("ends") > 1), "terminal with several wires", "key"),
+        said(first & (F.col("bare") > 0), "terminal without a net", "key"),
+        said(F.col("is_end") & (F.col("terminals") > 0) & apart, "wire and end are on different nets", "wire"),
+    ))
+    return rows.select(F.explode(found).alias("found")).select("found.*")
+
+
+def _components_checked(t: DataFrame, c: DataFrame, parts: int | None) -> DataFrame:
+    """(check, id) of components without terminals and of terminals without a component, dealt by component once."""
+    rows, own = _dealt(t.select(F.col("parent_component").alias("key"), F.lit(True).alias("is_terminal"), "id").union(c.select("id", F.lit(False), F.lit(None).cast("string"))), parts)
+    other = F.when(F.col("is_terminal"), F.count_if(~F.col("is_terminal")).over(own)).otherwise(F.count_if("is_terminal").over(own))
+    alone = rows.withColumn("other", other).filter("key IS NULL OR other = 0")
+    return alone.select(F.when(F.col("is_terminal"), "terminal of an unknown component").otherwise("component without terminals").alias("check"), F.when(F.col("is_terminal"), F.col("id")).otherwise(F.col("key")).alias("id"))
+
+
+def completeness(netlist: dict[str, DataFrame], parts: int | None = None) -> DataFrame:
+    """(check, id): what a reviewer of a netlist has to look at; a clean netlist has no problems but may have notes.
+
+    parts: of the shuffles that bring terminals together with wire ends and with components; else as the session has it.
+    """
+    t, n = netlist["terminals"], netlist["nets"]
+    # nets' members are listed as derive() lists them, so the two can share a shuffle
+    unknown = _listed(t, "net", "id", "ids").join(n.select(F.col("id").alias("n")), F.col("n") == F.col("wireloom_key"), "left_anti").select(F.lit("terminal on an unknown net"), F.explode("ids"))
+    empty = n.filter(F.size("member_terminals") == 0).select(F.lit("net without members"), "id")
+    return _ends_checked(t, netlist["wires"], parts).union(_components_checked(t, netlist["components"], parts)).union(unknown).union(empty).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import greedy_match
 from ..sources import plant
-from ..sources.bridge import table
+from ..sources.bridge import table, tasks
 from . import kg, netlist, query
 from .registry import registered
 
@@ -154,7 +154,7 @@ UNION ALL SELECT 'terminal with several wires', terminal FROM e GROUP BY termina
 UNION ALL SELECT 'terminal without a net', id FROM t WHERE net IS NULL"""))
 def plant_completeness(spark, sf_dir):
     """What a reviewer has to look at: the faults that the plant has."""
-    return netlist.completeness(_plant(spark, sf_dir))
+    return netlist.completeness(_plant(spark, sf_dir), tasks(table(spark, sf_dir, "lineitem")))
 
 
 @registered("plant_fragments", _with(""", e AS MATERIALIZED (
