@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tasks(items: DataFrame, rows: int = ROWS) -> int:
-    """Tasks that items are dealt to, so that each gets about so many of them."""
-    return -(-items.count() // rows) or 1
+def tasks(items: DataFrame, rows: int | None = None) -> int:
+    """Tasks that items are dealt to, so that each gets about so many of them, else ``ROWS``."""
+    return -(-items.count() // (rows or ROWS)) or 1
 
 
 def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
